@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import byte_bpe, substring_dedup, token_counts
+from offerlake.llm import byte_bpe, substring_dedup, suffix_dedup, token_counts
 from offerlake.llm.tables import table, tokenizer_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -37,14 +37,23 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.start).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
     return removed.select(
         "doc_id",
         "n_words",
-        F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.start), F.lit(0))
-        .cast("long")
-        .alias("n_removed"),
+        F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.start).cast("long").alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
 
@@ -52,6 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

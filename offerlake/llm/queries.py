@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import byte_bpe, substring_dedup, suffix_dedup, token_counts
+from offerlake.llm import byte_bpe, language_id, substring_dedup, suffix_dedup, token_counts
 from offerlake.llm.tables import table, tokenizer_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = language_id.learn(docs.where(~held_out()))
+    return language_id.predict(docs, sample).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return removed.select(
@@ -61,6 +72,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op7_language_id": op7_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import byte_bpe, language_id, substring_dedup, suffix_dedup, token_counts
+from offerlake.llm import byte_bpe, decontamination, language_id, substring_dedup, suffix_dedup, token_counts, url_filters
 from offerlake.llm.tables import table, tokenizer_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,12 +15,36 @@ PIECES = "piece_bpe_32k.model"
 MAX_TOKENS = 4096
 
 
+#: Rules that the contract of op1 fixes.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
 def _pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
 
 
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the label of the document of the same id: block if it is toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL OR quality IS NOT NULL")
+    block = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    label = labels.select(F.col("doc_id").alias("page_id"), F.when(block, "block").otherwise("allow").alias("label"))
+    return table(spark, sf_dir, "pages").select("page_id", "url").join(label, "page_id")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filters.mine_rules(labelled_pages(spark, sf_dir))
+    judged = url_filters.judge(table(spark, sf_dir, "pages"), rules, URL_RULES)
+    return judged.withColumn("evidence", F.array_join("evidence", " "))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_file(RANKS)
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, _pattern(), offsets=False)
@@ -37,6 +61,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -70,11 +98,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+OP6_SQL = r"""
+WITH texts AS (
+  SELECT 'doc' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'item', item_id, text FROM benchmark
+), split AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w
+  FROM texts WHERE id IS NOT NULL AND text IS NOT NULL
+), grams AS (
+  SELECT DISTINCT kind, id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram
+  FROM split
+), sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'item' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) / any_value(s.n) AS containment
+FROM grams d JOIN grams i ON d.gram = i.gram AND d.kind = 'doc' AND i.kind = 'item' JOIN sizes s ON s.id = i.id
+GROUP BY d.id, i.id HAVING count(*) / any_value(s.n) >= 0.8
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}

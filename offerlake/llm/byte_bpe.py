@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker keeps before it starts again; bounds its memory only.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 120_000
+#: Bytes of text that one step encodes.
+STEP_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -81,7 +83,10 @@ class _Memo(dict):
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens end to end, and how many each of them has."""
         if self.new:
-            fresh = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
+            fresh = []
+            for i in range(0, len(self.new), 5_000):
+                encoded = self.tokenizer.encode_batch_fast(self.new[i : i + 5_000], add_special_tokens=False)
+                fresh += [e.ids for e in encoded]
             counts = np.fromiter(map(len, fresh), np.int64, len(fresh))
             self.ids = np.concatenate([self.ids, np.fromiter((i for ids in fresh for i in ids), np.int32, counts.sum())])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
@@ -128,7 +133,7 @@ def _encode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str, off
 
     cut = regex.compile(pattern).findall
     widths = np.array([len(token) for token in _token_bytes(rank_file)], np.int64)
-    for batch in (part for whole in batches for part in _slices(whole, 4 << 20)):
+    for batch in (part for whole in batches for part in _slices(whole, STEP_BYTES)):
         memo = _memo(rank_file)
         texts = pc.fill_null(batch.column("text"), "").to_pylist()
         numbers, tokens_of = [], []
@@ -174,7 +179,7 @@ def _decode(batches: Iterator[pa.RecordBatch], rank_file: str, at: int) -> Itera
     ends = np.cumsum([len(token) for token in table])
     widths = np.array([len(token) for token in table], np.int64)
     starts = ends - widths
-    for batch in batches:
+    for batch in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
         lists = batch.column(at)
         ids = lists.flatten().to_numpy(zero_copy_only=False)
         n = widths[ids]

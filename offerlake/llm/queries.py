@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import byte_bpe, decontamination, language_id, substring_dedup, suffix_dedup, token_counts, url_filters
+from offerlake.llm import byte_bpe, decontamination, language_id, license_scan, substring_dedup, suffix_dedup, token_counts, url_filters
 from offerlake.llm.tables import table, tokenizer_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -76,6 +76,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, sample).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return removed.select(
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import byte_bpe, decontamination, language_id, license_scan, substring_dedup, suffix_dedup, token_counts, url_filters
+from offerlake.llm import byte_bpe, decontamination, fingerprints, language_id, license_scan, substring_dedup, suffix_dedup, token_counts, url_filters
 from offerlake.llm.tables import table, tokenizer_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.with_successors(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -105,6 +118,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,

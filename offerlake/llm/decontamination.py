@@ -28,13 +28,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(text: Column, n: int) -> Column:
-    """Hashes of the distinct word n-grams; fewer than n words make one of all of them."""
-    split = words(text)
-    return F.array_distinct(_hashes(split, n))
+def with_words(df: DataFrame, text: Column) -> DataFrame:
+    """Add the words as a generated column, so that no expression splits the text anew."""
+    return df.select("*", F.explode(F.array(words(text))).alias("words"))
 
 
-def _hashes(split: Column, n: int) -> Column:
+def shingles(split: Column, n: int) -> Column:
+    """Hashes of the word n-grams; fewer than n words make one of all of them."""
     ends = F.greatest(F.size(split) - F.lit(n), F.lit(0))
     grams = F.transform(F.sequence(F.lit(0), ends), lambda i: F.xxhash64(F.slice(split, i + 1, n)))
     return F.when(F.size(split) > 0, grams).otherwise(F.array().cast("array<bigint>"))
@@ -79,14 +79,15 @@ def find_contained(
     its equals; null and empty texts, and rows with a null id, are in no pair. Other
     columns are ignored.
     """
-    sets = items.where(F.col(item_col).isNotNull()).select(
-        F.col(item_col).alias("item"), shingles(F.col(item_text_col), n).alias("shingles")
+    named = items.where(F.col(item_col).isNotNull()).select(
+        F.col(item_col).alias("item"), F.col(item_text_col).alias("text")
     )
+    sets = with_words(named, F.col("text")).select("item", F.array_distinct(shingles(F.col("words"), n)).alias("shingles"))
     sets = sets.withColumn("n_shingles", F.size("shingles")).where("n_shingles > 0").distinct()
     probe = checkpointed(probes(sets, threshold, miss))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    split = texts.select("id", words(F.col("text")).alias("words"))
-    grams = split.select("id", F.size("words").alias("n_words"), F.explode(_hashes(F.col("words"), n)).alias("probe"))
+    split = with_words(texts, F.col("text"))
+    grams = split.select("id", F.size("words").alias("n_words"), F.explode(shingles(F.col("words"), n)).alias("probe"))
     probe_rows = probe.count()
     enough = F.greatest(F.col("n_words") - (n - 1), F.lit(1)) >= F.col("n_shingles") * threshold
     found = grams.join(_small(probe, probe_rows), "probe").where(enough).select("id", "item").distinct()
@@ -94,8 +95,9 @@ def find_contained(
     pairs = found.join(_small(sets, probe_rows), "item")
     wanted = pairs.groupBy("id").agg(F.collect_list(F.struct("item", "shingles", "n_shingles")).alias("sought"))
     rows = found.count()
-    whole = texts.join(_small(wanted, rows), "id").select("id", "sought", shingles(F.col("text"), n).alias("own"))
-    pair = whole.select("id", "own", F.explode("sought").alias("pair"))
+    whole = with_words(texts.join(_small(wanted, rows), "id"), F.col("text"))
+    own = F.explode(F.array(F.array_distinct(shingles(F.col("words"), n)))).alias("own")
+    pair = whole.select("id", "sought", own).select("id", "own", F.explode("sought").alias("pair"))
     shared = F.size(F.array_intersect("own", "pair.shingles")) / F.col("pair.n_shingles")
     verified = pair.select("id", F.col("pair.item").alias("item"), shared.alias("containment"))
     return (

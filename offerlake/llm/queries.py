@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import byte_bpe, decontamination, fingerprints, language_id, license_scan, substring_dedup, suffix_dedup, token_counts, url_filters
+from offerlake.llm import byte_bpe, decontamination, fingerprints, jaccard_join, language_id, license_scan, substring_dedup, suffix_dedup, token_counts, url_filters
 from offerlake.llm.tables import table, tokenizer_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("evidence", F.array_join("evidence", " "))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_file(RANKS)
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, _pattern(), offsets=False)
@@ -117,6 +121,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,

@@ -40,8 +40,8 @@ def shingles(split: Column, n: int) -> Column:
     return F.when(F.size(split) > 0, grams).otherwise(F.array().cast("array<bigint>"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark the table for broadcast where its size has been checked to be bounded."""
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark the table for broadcast where its number of rows has been checked to be bounded."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
@@ -90,12 +90,12 @@ def find_contained(
     grams = split.select("id", F.size("words").alias("n_words"), F.explode(shingles(F.col("words"), n)).alias("probe"))
     probe_rows = probe.count()
     enough = F.greatest(F.col("n_words") - (n - 1), F.lit(1)) >= F.col("n_shingles") * threshold
-    found = grams.join(_small(probe, probe_rows), "probe").where(enough).select("id", "item").distinct()
+    found = grams.join(small(probe, probe_rows), "probe").where(enough).select("id", "item").distinct()
     found = checkpointed(found)
-    pairs = found.join(_small(sets, probe_rows), "item")
+    pairs = found.join(small(sets, probe_rows), "item")
     wanted = pairs.groupBy("id").agg(F.collect_list(F.struct("item", "shingles", "n_shingles")).alias("sought"))
     rows = found.count()
-    whole = with_words(texts.join(_small(wanted, rows), "id"), F.col("text"))
+    whole = with_words(texts.join(small(wanted, rows), "id"), F.col("text"))
     own = F.explode(F.array(F.array_distinct(shingles(F.col("words"), n)))).alias("own")
     pair = whole.select("id", "sought", own).select("id", "own", F.explode("sought").alias("pair"))
     shared = F.size(F.array_intersect("own", "pair.shingles")) / F.col("pair.n_shingles")

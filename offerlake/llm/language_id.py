@@ -218,16 +218,20 @@ def _predict(batches: Iterator[pa.RecordBatch], sample: Sample) -> Iterator[pa.R
         )
 
 
-def predict(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(
+    docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Predict the language of each whole text: `id_col`, `lang_pred`, `score`, `bits`.
 
+    The columns named in `keep` stand between the id and the prediction.
+
     `score` is how much fewer bits the best language needs than the second (0 to 1; 1 if
     only one was learned); ties go to the language that sorts first; `bits` is the best
     language's cost for each symbol. A text that is null, empty or without a letter gives
     `und`, score 0 and null bits, as does every text where nothing was learned. One row
     per input row; only the text decides.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    schema = f"`{id_col}` {kind}, lang_pred string, score double, bits double"
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *keep)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    schema = f"{kinds}, lang_pred string, score double, bits double"
     return rows.mapInArrow(lambda batches: _predict(batches, sample), schema)

@@ -25,7 +25,7 @@ URL_RULES = [
 ]
 
 
-def _pattern() -> str:
+def pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -51,7 +51,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_file(RANKS)
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, _pattern(), offsets=False)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern(), offsets=False)
     return byte_bpe.decode(encoded, ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

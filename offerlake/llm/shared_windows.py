@@ -274,5 +274,7 @@ def by_document(flags: pa.Table, width: int) -> dict[int, tuple[np.ndarray, np.n
     return {int(d): covered(start[part], stop[part], width) for d, part in zip(names, parts, strict=True)}
 
 
-def read_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def read_chunks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ids, whole texts and, as a struct, the columns that only pass through."""
+    columns = [F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    return docs.select(*columns, *([F.struct(*keep).alias("rest")] if keep else []))

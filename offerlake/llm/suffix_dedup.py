@@ -186,9 +186,11 @@ def _remove(docs: pa.Table, flags: pa.Table, width: int) -> pa.Table:
         kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     sizes = pa.array(list(map(len, texts)), pa.int64())
-    return pa.Table.from_arrays(
-        [ordered["id"], sizes, pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"]
-    )
+    columns = {"id": ordered["id"], "n_bytes": sizes, "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())}
+    if "rest" in ordered.column_names:
+        columns["rest"] = ordered["rest"]
+        columns["kept_text"] = pa.array([k.decode("utf-8", errors="ignore") for k in kept], pa.string())
+    return pa.table(columns)
 
 
 def remove_repeats(
@@ -199,6 +201,7 @@ def remove_repeats(
     gram: int = 20,
     chunk_bytes: int = 8 << 20,
     hot_rows: int = 2000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Remove every byte covered by a `width`-byte string that starts in a document with a smaller id.
 
@@ -206,10 +209,12 @@ def remove_repeats(
     runs of bytes, end exclusive) and `kept` (the other bytes). Strings are judged on the
     input and never cross documents. Texts that are null, empty or shorter than `width`
     bytes lose nothing; rows with equal ids are no copies of each other, and a null id
-    counts as greater than all; other columns are ignored.
+    counts as greater than all; other columns are ignored. With columns named in `keep`
+    the result has them too, after `kept_text`: the kept bytes as text, without the bytes
+    of characters that were cut.
     """
     spark = docs.sparkSession
-    rows, buckets = chunked(sw.read_chunks(docs, id_col, text_col), "id", "text", chunk_bytes, 64)
+    rows, buckets = chunked(sw.read_chunks(docs, id_col, text_col, keep), "id", "text", chunk_bytes, 64)
     by_chunk = rows.groupBy("chunk")
     answers = sw.shared_anchors(rows, False, width, gram, buckets)
     runs = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(
@@ -234,7 +239,10 @@ def remove_repeats(
         .sortWithinPartitions("place")
         .mapInArrow(lambda batches: _settle_all(batches, width), "chunk int, doc int, start int, stop int")
     )
+    kinds = ",".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{_SCHEMA}, rest struct<{kinds}>, kept_text string" if keep else _SCHEMA
     result = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(
-        lambda docs, flags: _remove(docs, flags, width), _SCHEMA
+        lambda docs, flags: _remove(docs, flags, width), schema
     )
-    return result.withColumnRenamed("id", id_col)
+    result = result.withColumnRenamed("id", id_col)
+    return result.select(id_col, "n_bytes", "spans", "kept", "kept_text", "rest.*") if keep else result

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker keeps before it starts again; bounds its memory only.
-MEMO_ENTRIES = 120_000
+#: Pre-tokens whose ids a worker keeps, those it meets first; bounds its memory only.
+MEMO_ENTRIES = 250_000
 #: Bytes of text that one step encodes.
 STEP_BYTES = 1 << 20
 
@@ -67,7 +67,10 @@ def _token_bytes(rank_file: str) -> list[bytes]:
 
 
 class _Memo(dict):
-    """Numbers pre-tokens, and keeps the ids of those numbered so far end to end."""
+    """Numbers pre-tokens, and keeps the ids of those numbered so far end to end.
+
+    Beyond `MEMO_ENTRIES` a pre-token is kept for one step only.
+    """
 
     def __init__(self, rank_file: str):
         super().__init__()
@@ -93,17 +96,17 @@ class _Memo(dict):
             self.new = []
         starts, counts = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
-        return self.ids[shift + np.arange(len(shift))], counts
-
-
-_memos: dict[str, _Memo] = {}
+        gathered = self.ids[shift + np.arange(len(shift))]
+        while len(self) > MEMO_ENTRIES:
+            self.popitem()
+        self.ends = self.ends[: MEMO_ENTRIES + 1]
+        self.ids = self.ids[: self.ends[-1]]
+        return gathered, counts
 
 
+@lru_cache(maxsize=2)
 def _memo(rank_file: str) -> _Memo:
-    memo = _memos.get(rank_file)
-    if memo is None or len(memo) > MEMO_ENTRIES:
-        memo = _memos[rank_file] = _Memo(rank_file)
-    return memo
+    return _Memo(rank_file)
 
 
 def char_offsets(text_bytes: np.ndarray, token_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +135,9 @@ def _encode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str, off
     import regex
 
     cut = regex.compile(pattern).findall
+    memo = _memo(rank_file)
     widths = np.array([len(token) for token in _token_bytes(rank_file)], np.int64)
     for batch in (part for whole in batches for part in _slices(whole, STEP_BYTES)):
-        memo = _memo(rank_file)
         texts = pc.fill_null(batch.column("text"), "").to_pylist()
         numbers, tokens_of = [], []
         for text in texts:

@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from offerlake.functions.text import ABBREVIATIONS, PRODUCER_SUFFIXES, VARIANTS
 
@@ -197,13 +198,13 @@ def score(candidate: str | None, producer: str | None, style: str | None, expect
     return 70 if min(len(a), len(b)) >= 4 and SequenceMatcher(None, a, b).ratio() >= TYPO else 0
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def match_score(candidate: pd.Series, producer: pd.Series, style: pd.Series, expected: pd.Series, maker: pd.Series) -> pd.Series:
     rows = zip(*(s.where(s.notna(), None) for s in (candidate, producer, style, expected, maker)), strict=True)
     return pd.Series([score(*row) for row in rows], dtype="int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all of them, by longest common blocks; null if either is."""
     return pd.Series(

@@ -361,10 +361,10 @@ def usage_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.add_usage(state, calls.where("event_id % 3 <> 0"))
 
 
-_EVENTS_SQL = "e AS (SELECT CAST(user_id AS VARCHAR) AS url, event_type = 'purchase' AS ok, event_type AS reason, ts AS at FROM events)"
-_LEDGER_SQL = f"""WITH {_EVENTS_SQL}, solved AS (SELECT url, max(at) FILTER (WHERE ok) AS solved_at FROM e GROUP BY url),
-bad AS (SELECT e.url, count(*) AS attempts, arg_max(reason, (at, reason)) AS reason, min(at) AS first_at, max(at) AS last_at
-  FROM e JOIN solved s ON e.url = s.url WHERE NOT ok AND (solved_at IS NULL OR at > solved_at) GROUP BY e.url)
+_EVENTS_SQL = "e AS (SELECT CAST(user_id AS VARCHAR) AS url, event_type = 'purchase' AS ok, event_type AS reason, ts AS tried FROM events)"
+_LEDGER_SQL = f"""WITH {_EVENTS_SQL}, solved AS (SELECT url, max(tried) FILTER (WHERE ok) AS solved_at FROM e GROUP BY url),
+bad AS (SELECT e.url, count(*) AS attempts, arg_max(reason, (tried, reason)) AS reason, min(tried) AS first_at, max(tried) AS last_at
+  FROM e JOIN solved s ON e.url = s.url WHERE NOT ok AND (solved_at IS NULL OR tried > solved_at) GROUP BY e.url)
 SELECT s.url, coalesce(attempts, 0) AS attempts, reason, first_at, last_at, solved_at IS NOT NULL AND attempts IS NULL AS resolved
 FROM solved s LEFT JOIN bad b ON s.url = b.url"""
 

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Encodings that a page's bytes are tried in.
@@ -89,12 +90,12 @@ def page_blocks(pages: DataFrame, classes: list[str]) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(blocks, "page_id long, pos int, class string, text string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode(data: pd.Series) -> pd.Series:
     """Bytes as text in the first encoding that fits, else UTF-8 with replacements."""
 

@@ -12,7 +12,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType
 
 from offerlake.functions.text import ABBREVIATIONS, PRODUCER_SUFFIXES, VARIANTS
 
@@ -204,6 +204,13 @@ def match_score(candidate: pd.Series, producer: pd.Series, style: pd.Series, exp
     return pd.Series([score(*row) for row in rows], dtype="int32")
 
 
+@F.pandas_udf(BooleanType())
+def producers_match(candidate: pd.Series, expected: pd.Series) -> pd.Series:
+    """Whether two producers can be one; unknown ones agree."""
+    rows = zip(*(s.where(s.notna(), None) for s in (candidate, expected)), strict=True)
+    return pd.Series([producers_agree(*row) for row in rows], dtype="bool")
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all of them, by longest common blocks; null if either is."""

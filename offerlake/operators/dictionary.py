@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.functions import text
 
 #: Words that name no entity. Fixed values.
 STOP_WORDS = ("brewery", "brewing", "beer", "beer co", "company", "co", "craft beer", "brewing co", "brewing company")
+#: Words that are no alias on their own. Fixed values.
+COMMON_WORDS = (
+    "black", "white", "red", "blue", "green", "yellow", "gold", "silver", "west", "east", "north", "south", "central",
+    "company", "co.", "corp.", "ltd.", "inc.", "the", "a", "an", "my", "our", "your", "new", "old", "big", "small", "great",
+    "best", "beer", "brewery", "brewing", "craft", "ale", "lager", "ipa", "top", "one", "two", "three", "four", "five", "six",
+    "seven", "eight", "nine", "ten", "triple", "el", "la", "le", "les", "de", "du", "des", "van", "von", "st.", "saint", "mt.",
+    "mount",
+)
 
 
 def entries(entities: DataFrame) -> DataFrame:
@@ -27,18 +35,62 @@ def find_in_texts(texts: DataFrame, id_col: str, column: str, dictionary: DataFr
     """Dictionary keys that a text holds as a substring: `id_col`, `entity`, `key` (the longest).
 
     Keys may begin and end inside words, so texts and keys meet by a trigram: the first
-    of the key, wherever it is in the text. Keys of fewer than three characters are left out.
+    of the key, wherever it is in the text. Only ids travel with the trigrams; the text
+    comes back for the keys it may hold. Keys of fewer than three characters are left out.
     """
     low = F.lower(F.col(column))
     keyed = dictionary.where(F.length("key") >= 3).withColumn("gram", F.substring("key", 1, 3))
-    grams = texts.select(
-        id_col,
-        low.alias("low"),
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))).alias("gram"),
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
+    grams = texts.select(id_col, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(3))))).alias("gram"))
+    likely = grams.join(keyed, "gram").select(id_col, "entity", "key").distinct()
+    found = texts.select(id_col, low.alias("low")).join(likely, id_col).where(F.contains("low", F.col("key")))
+    best = F.min(F.struct((-F.length("key")).alias("n"), "key")).alias("best")  # the longest, ties by text
+    return found.groupBy(id_col, "entity").agg(best).select(id_col, "entity", "best.key")
+
+
+def propose_aliases(entities: DataFrame) -> DataFrame:
+    """Aliases that an entity's names suggest: `entity`, `alias`.
+
+    The English name without company suffixes, the first of several words unless it is
+    common or short, and the Japanese name.
+    """
+    base = text.strip_producer(F.col("name_en"))
+    words = F.split(base, r"\s+")
+    first = F.when((F.size(words) > 1) & (F.length(words[0]) > 2) & ~F.lower(words[0]).isin(*COMMON_WORDS), words[0])
+    shorter = F.when(base != F.col("name_en"), base)
+    every = F.array_distinct(F.array_compact(F.array(shorter, first, F.nullif("name_jp", F.lit("")))))
+    return entities.select("entity", F.explode(every).alias("alias")).where("alias <> ''")
+
+
+def summary(entities: DataFrame) -> DataFrame:
+    """One row of counts: entities, those with a Japanese name, those with aliases, and all aliases."""
+    n = F.coalesce(F.size("aliases"), F.lit(0))
+    return entities.agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count_if(F.coalesce("name_jp", F.lit("")) != "").alias("with_japanese"),
+        F.count_if(n > 0).alias("with_aliases"),
+        F.sum(n.cast("long")).alias("aliases"),
+    )
+
+
+def match_entities(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """Match found producers (`url`, `name_en`) to entities (`entity`, `url`, `name_en`), by address, else by name.
+
+    Adds `entity` and `action`: update, insert, or skip where the name's owner has another address.
+    """
+    by_url = entities.where("url IS NOT NULL").groupBy("url").agg(F.min("entity").alias("by_url"))
+    owner = F.min(F.struct("entity", F.col("url").alias("own_url"))).alias("owner")
+    by_name = entities.groupBy(F.lower(F.trim("name_en")).alias("key")).agg(owner)
+    joined = found.join(by_url, "url", "left").join(by_name, F.lower(F.trim(found["name_en"])) == F.col("key"), "left")
+    other = F.col("owner.own_url").isNotNull() & F.col("url").isNotNull() & (F.col("owner.own_url") != F.col("url"))
+    action = (
+        F.when(F.col("by_url").isNotNull(), "update").when(F.col("owner").isNull(), "insert").when(other, "skip").otherwise("update")
+    )
+    return joined.select(
+        *found.columns,
+        F.when(action == "update", F.coalesce("by_url", "owner.entity")).alias("entity"),
+        action.alias("action"),
     )
-    found = grams.join(keyed, "gram").where(F.contains("low", F.col("key")))
-    longest = Window.partitionBy(id_col, "entity").orderBy(F.desc(F.length("key")), "key")
-    return found.withColumn("nth", F.row_number().over(longest)).where("nth = 1").select(id_col, "entity", "key")
 
 
 def conflicts(entities: DataFrame) -> DataFrame:

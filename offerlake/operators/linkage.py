@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.functions import text
-from offerlake.functions.matching import match_score
+from offerlake.functions import text, titles
+from offerlake.functions.matching import match_score, producers_match
 from offerlake.operators.catalog import has_product
 
+# What a title says of mixed drinks and of cask ale.
+MIXED_DRINKS = ("cocktail", "rtd", "ハードセイツァー", "カクテル", "チューハイ")
+CASK = ("real", "リアルエール", "カスク", "cask")
 REASONS = ("missing_info", "no_results", "validation_failed")
 
 
@@ -57,19 +60,134 @@ def choose(scores: DataFrame) -> DataFrame:
     return scores.where("score > 0").withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
-def validated(chosen: DataFrame) -> Column:
-    """Whether a choice stands: no vintage that the title lacks, and cask marks in both or neither."""
-    year = F.regexp_substr("product_name", F.lit(r"\b20\d{2}\b"))
-    vintage = year.isNull() | F.contains("name", year)
-    cask = lambda c: F.lower(c).rlike(r"\b(?:cask|real ale)\b")
-    return vintage & (cask(F.col("product_name")) == cask(F.col("name")))
+def validated(title: Column, product_name: Column, style: Column, producer: Column, maker: Column | None = None) -> Column:
+    """Whether a choice stands against the shop's title.
+
+    The producers must agree where the maker is known; a mixed drink needs a title that
+    says so; a vintage must be in the title; and so must real ale or cask.
+    """
+    low, name = F.lower(title), F.lower(product_name)
+    says = lambda words: low.rlike("|".join(words))
+    drink = ~F.coalesce(F.lower(style).rlike("rtd|cocktail|hard seltzer"), F.lit(False)) | says(MIXED_DRINKS)
+    year = F.regexp_substr(name, F.lit(r"\b20\d{2}(?:by)?\b"))
+    vintage = year.isNull() | F.contains(low, year) | F.contains(low, F.replace(year, F.lit("by"), F.lit("")))
+    cask = ~name.rlike("real ale|cask") | says(CASK)
+    agree = F.lit(True) if maker is None else producers_match(producer, maker)
+    checked = F.coalesce(drink & vintage & cask & agree, F.lit(False))
+    return F.when((F.coalesce(title, F.lit("")) == "") | (F.coalesce(producer, F.lit("")) == ""), True).otherwise(checked)
+
+
+def plausible(title: Column, product_name: Column, producer: Column) -> Column:
+    """The verdict on a pair where no model can be asked: a word of four letters or more of each name is in the title."""
+    low = F.lower(title)
+
+    def there(name: Column) -> Column:
+        words = F.filter(F.split(F.lower(name), r"\s+"), lambda w: F.length(w) >= 4)
+        return F.contains(low, F.lower(name)) | F.exists(words, lambda w: F.contains(low, w))
+
+    full = (F.coalesce(c, F.lit("")) != "" for c in (title, product_name, producer))
+    return F.coalesce(next(full) & next(full) & next(full) & there(product_name) & there(producer), F.lit(False))
+
+
+def repair(wanted: DataFrame, dictionary_hits: DataFrame, shops: tuple[str, ...] = ()) -> DataFrame:
+    """Mend maker and name of offers (`url`, `title`, `maker`, `name`) before they are linked.
+
+    A maker that is one of the shops' own names is none. A title that begins with the
+    maker in square brackets overrules both; a missing maker is the longest dictionary
+    key that the title holds (`dictionary_hits`: url, maker, key); a missing name is the
+    title. Offers that still lack one get no candidates and the reason `missing_info`.
+    """
+    own = F.when(F.lower(F.trim("maker")).isin(*shops), None).otherwise(F.col("maker")) if shops else F.col("maker")
+    by_title, rest = titles.bracketed_title(F.col("title"))
+    named = F.when(~F.lower(by_title).isin(*shops), by_title) if shops else by_title
+    best = dictionary_hits.groupBy("url").agg(F.max_by("maker", F.struct(F.length("key"), "key", "maker")).alias("held"))
+    mended = wanted.withColumn("_named", named)
+    return mended.join(best, "url", "left").select(
+        *(c for c in wanted.columns if c not in ("maker", "name")),
+        titles.first_named(F.col("_named"), own, F.col("held")).alias("maker"),
+        titles.first_named(F.when(F.col("_named").isNotNull(), rest), F.col("name"), F.col("title")).alias("name"),
+    )
+
+
+def keep_valid_links(linked: DataFrame, products: DataFrame) -> DataFrame:
+    """Links that an offer already has (`url`, `product_url`, `name`, `maker`): clear those whose product scores 0.
+
+    A product that isn't known counts as valid.
+    """
+    known = products.groupBy("product_url").agg(F.max(F.struct("product_name", "producer_name", "style")).alias("p"))
+    pairs = linked.join(known, "product_url").select("url", "product_url", "name", "maker", "p.*")
+    wrong = scored(pairs).where("score = 0").select("url", "product_url").distinct().withColumn("wrong", F.lit(True))
+    return linked.join(wrong, ["url", "product_url"], "left").select(
+        *(c for c in linked.columns if c != "product_url"),
+        F.when(F.col("wrong").isNull(), F.col("product_url")).alias("product_url"),
+    )
+
+
+def in_stages(found: DataFrame, enough: int = 5) -> DataFrame:
+    """Candidates (`url`, `product_url`, `stage` from 1, `pos`) of the stages that are needed.
+
+    A stage counts only where those before it brought fewer than `enough` candidates of
+    the offer; a product found twice stays with its first stage.
+    """
+    first = found.groupBy("url", "product_url").agg(F.min(F.struct("stage", "pos")).alias("at"))
+    counts = first.groupBy("url", "at.stage").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("url").orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("had") < enough)
+    kept = first.select("url", "product_url", "at.stage", "at.pos").join(needed.select("url", "stage"), ["url", "stage"], "left_semi")
+    return kept.select("url", "product_url", "stage", "pos")
+
+
+def with_web(scores: DataFrame, web: DataFrame) -> DataFrame:
+    """Add web results (`url`, `product_url`, `title`) for offers with too few or too weak candidates.
+
+    Offers with no candidate, or with fewer than three of which none scores 90, get the
+    results that lead to a product and whose title holds the offer's maker and name.
+    """
+    state = scores.where("score > 0").groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
+    offers = scores.select("url", "name", "maker").distinct()
+    weak = offers.join(state, "url", "left").where("n IS NULL OR (n < 3 AND top < 90)").select("url", "name", "maker")
+    said = text.key(F.col("title"))
+    fits = F.contains(said, text.key(text.strip_producer(F.col("maker")))) & F.contains(said, text.key(text.without_year(F.col("name"))))
+    more = web.where(has_product(F.col("product_url"))).join(weak, "url").where(fits).select("url", "product_url").distinct()
+    old = scores.select("url", "product_url", "score", F.lit("search").alias("source"))
+    new = more.join(old, ["url", "product_url"], "left_anti")
+    return old.unionByName(new.select("url", "product_url", F.lit(80).alias("score"), F.lit("web").alias("source")))
+
+
+def decide(scores: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Choose one candidate of each offer: `url`, `product_url`, `score`.
+
+    `verdicts` (`url`, `product_url`; null: all rejected) are what a model said. Its
+    choice stands; where it rejected all, the best is taken only if it scores 90 or is
+    from the web; where it said nothing, the best with a score above 0.
+    """
+    scores = scores if "source" in scores.columns else scores.withColumn("source", F.lit("search"))
+    best = Window.partitionBy("url").orderBy(F.desc("score"), "product_url")
+    if verdicts is None:
+        verdicts = scores.select("url", "product_url").limit(0)
+    said = verdicts.groupBy("url").agg(F.max("product_url").alias("chosen"), F.lit(True).alias("asked"))
+    joined = scores.where("score > 0").join(said, "url", "left")
+    strong = (F.col("score") >= 90) | (F.col("source") == "web")
+    allowed = F.when(F.col("chosen").isNotNull(), F.col("product_url") == F.col("chosen")).when(F.col("asked"), strong).otherwise(True)
+    ranked = joined.where(allowed).withColumn("nth", F.row_number().over(best)).where("nth = 1")
+    return ranked.select("url", "product_url", "score")
 
 
 def link(wanted: DataFrame, products: DataFrame) -> DataFrame:
-    """Link offers: `url`, `product_url`, `score`, `reason` (null for a link, else one of REASONS)."""
+    """Link offers: `url`, `product_url`, `score`, `reason` (null for a link, else one of REASONS).
+
+    Offers whose name has a year and that find nothing are tried once more without it.
+    """
     known = wanted.where(F.col("name").isNotNull() & F.col("maker").isNotNull())
-    chosen = choose(scored(candidates(known, products)))
-    judged = chosen.select("url", "product_url", "score", validated(chosen).alias("ok"))
+    pairs = candidates(known, products)
+    plain = pairs.where(F.col("name").rlike(r"\b20\d{2}\b")).withColumn("name", text.without_year(F.col("name")))
+    first = scored(pairs).withColumn("retry", F.lit(False))
+    again = scored(plain).withColumn("retry", F.lit(True))
+    best = Window.partitionBy("url").orderBy("retry", F.desc("score"), "product_url")
+    chosen = first.unionByName(again).where("score > 0").withColumn("nth", F.row_number().over(best)).where("nth = 1")
+    titled = chosen.drop("name").join(known.select("url", "name").distinct(), "url")
+    ok = validated(F.col("name"), F.col("product_name"), F.col("style"), F.col("producer_name"))
+    judged = titled.select("url", "product_url", "score", ok.alias("ok"))
     joined = wanted.select("url", "name", "maker").join(judged, "url", "left")
     reason = (
         F.when(F.col("name").isNull() | F.col("maker").isNull(), REASONS[0])

@@ -84,6 +84,18 @@ def producer_facet(wide: DataFrame) -> DataFrame:
     )
 
 
+def available_filters(wide: DataFrame, styles: int = 200) -> DataFrame:
+    """The options that filters offer: `kind` (style or producer), `value`, `n`, `location`, `search_text`."""
+    none = F.lit(None).cast("string")
+    top = top_values(wide.where(F.col("style").isNotNull()), "style", styles)
+    by_style = top.select(F.lit("style").alias("kind"), F.col("style").alias("value"), "n", none.alias("location"), none.alias("search_text"))
+    counts = count_by(wide.where(F.col("producer_name").isNotNull()), "producer_name")
+    producers = producer_facet(wide).join(counts, "producer_name")
+    return by_style.unionByName(
+        producers.select(F.lit("producer").alias("kind"), F.col("producer_name").alias("value"), "n", "location", "search_text")
+    )
+
+
 def statistics(wide: DataFrame) -> DataFrame:
     """One row of counts over all offers."""
     return wide.agg(

@@ -132,3 +132,14 @@ def apply_stock_checks(offers: DataFrame, checks: DataFrame) -> DataFrame:
         F.coalesce("_p", "price_value").alias("price_value"),
         F.coalesce("_t", "last_seen").alias("last_seen"),
     )
+
+
+def run_statistics(merged: DataFrame, shop: str) -> DataFrame:
+    """Per shop how many offers a merge found new, restocked and seen, and how many it wrote."""
+    change = F.col("change")
+    return merged.groupBy(shop).agg(
+        F.count_if(change == "new").alias("new"),
+        F.count_if(change == "restock").alias("restocked"),
+        F.count_if(change == "seen").alias("seen"),
+        F.count_if(change != "absent").alias("written"),
+    )

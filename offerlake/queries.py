@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerlake.functions import matching, text
-from offerlake.operators import catalog, dictionary, ingest, linkage, search
+from offerlake.functions import display, matching, text, titles
+from offerlake.operators import catalog, dictionary, ingest, linkage, search, stock
 from offerlake.plans.roles import benchmark_roles, read
 from offerlake.plans.spec import SearchSpec
 from offerlake.sources import html, json_api
@@ -621,9 +621,193 @@ def html_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_facts(read(spark, sf_dir, "pages"))
 
 
+# Titles, addresses and display
+
+_TITLES = """SELECT p_partkey, concat('【', p_size, '月入荷予定】', p_name, ' (', p_brand, ')', CASE p_size % 4 WHEN 0 THEN ' SALE!!'
+  WHEN 1 THEN ' 6本セット' WHEN 2 THEN ' グラス' ELSE '' END, ' ', p_size, ',000円(税込)') AS t, p_name, p_brand, p_size FROM part"""
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    end = F.when(size % 4 == 0, " SALE!!").when(size % 4 == 1, " 6本セット").when(size % 4 == 2, " グラス").otherwise("")
+    title = F.concat(F.lit("【"), size.cast("string"), F.lit("月入荷予定】"), "p_name", F.lit(" ("), "p_brand", F.lit(")"), end, F.lit(" "), size.cast("string"), F.lit(",000円(税込)"))
+    return read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", title.alias("t"))
+
+
+@query(
+    f"""SELECT p_partkey, concat(p_name, ' (', p_brand, ')', CASE p_size % 4 WHEN 1 THEN ' 6本セット' WHEN 2 THEN ' グラス' ELSE '' END) AS plain,
+    p_size % 4 = 1 AS is_pack, CASE p_size % 4 WHEN 1 THEN 'set' WHEN 2 THEN 'other' ELSE 'beer' END AS kind FROM ({_TITLES})"""
+)
+def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    kind = titles.product_type(t, F.lit("other"), F.lit(False), F.col("p_brand"))
+    return _titles(spark, sf_dir).select("p_partkey", titles.ingest_title(t).alias("plain"), titles.is_set_pack(t).alias("is_pack"), kind.alias("kind"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_brand END AS maker, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_name END AS name FROM part")
+def title_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way = F.col("p_size") % 3
+    title = F.when(way == 0, F.concat(F.lit("【"), "p_name", F.lit(" / "), "p_brand", F.lit("】"))).otherwise(F.concat(F.lit("jp ["), "p_brand", F.lit("/"), "p_name", F.lit("]")))
+    form = F.when(way == 0, "name_slash_maker").when(way == 1, "maker_slash_name").otherwise("pipe_maker_colon_name")
+    maker, name = titles.split_title(title, form)
+    return read(spark, sf_dir, "part").select("p_partkey", maker.alias("maker"), name.alias("name"))
+
+
+@query(
+    """SELECT p_partkey, concat('https://s/shopdetail/', p_partkey) AS detail, concat('https://s/v?product_id=', p_partkey) AS product,
+    replace(p_name, ' ', '%20') AS encoded, concat(CAST(floor(p_retailprice) AS BIGINT), '円') AS yen FROM part"""
+)
+def address_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    detail = titles.absolute(F.concat(F.lit("/shopdetail/"), key, F.lit("/page2/")), "https://s")
+    product = F.concat(F.lit("https://s/v?mode=x&product_id="), key, F.lit("&page=3"))
+    price = F.format_number("p_retailprice", 2)
+    return read(spark, sf_dir, "part").where("p_retailprice IS NOT NULL").select(
+        "p_partkey",
+        titles.canonical_url(detail).alias("detail"),
+        titles.canonical_url(product).alias("product"),
+        titles.percent_encoded(F.col("p_name")).alias("encoded"),
+        titles.yen(price).alias("yen"),
+    )
+
+
+_FLAG_SQL = " ".join(f"WHEN regexp_matches(lower(n_name), '{words}') THEN '{sign}'" for words, sign in titles.FLAGS)
+
+
+@query(f"SELECT n_nationkey, CASE {_FLAG_SQL} ELSE '{titles.NO_FLAG}' END AS flag FROM nation")
+def flag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select("n_nationkey", titles.flag(F.col("n_name")).alias("flag"))
+
+
+@query(
+    f"""WITH {ROLES} SELECT url, CASE WHEN product_url IS NOT NULL AND product_type = 'beer' THEN coalesce(product_name, name) ELSE name END AS shown,
+    concat('¥', format('{{:,}}', CAST(floor(price_value) AS BIGINT))) AS money, strftime(first_seen, '%Y/%m/%d') AS day,
+    first_seen BETWEEN TIMESTAMP '1998-08-02' - INTERVAL 24 HOUR AND TIMESTAMP '1998-08-02' AS is_new FROM wide"""
+)
+def shown_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = display.shown_name(F.col("product_url"), F.col("product_type"), F.col("product_name"), F.col("name"))
+    return wide(spark, sf_dir).select(
+        "url",
+        shown.alias("shown"),
+        display.money(F.floor("price_value")).alias("money"),
+        display.day(F.col("first_seen")).alias("day"),
+        display.is_new(F.col("first_seen"), F.lit(AS_OF)).alias("is_new"),
+    )
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Dead Link' WHEN page_id % 7 = 0 THEN 'Error'
+    WHEN contains(lower(html), '"soldout') OR contains(lower(html), ' soldout') THEN 'Sold Out' ELSE 'In Stock' END AS status FROM pages"""
+)
+def stock_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 7 == 0, 503).otherwise(200)
+    rules = {"s": stock.StockRule(words=(), classes=("soldout",))}
+    found = stock.status(html.visible_text(F.col("html")), F.col("html"), code, rules, F.lit("s"))
+    return read(spark, sf_dir, "pages").select("page_id", found.alias("status"))
+
+
+# More statistics, facets and queues
+
+
+@query(
+    f"""WITH {ROLES} (SELECT 'style' AS kind, style AS value, count(*) AS n, NULL AS location, NULL AS search_text FROM wide WHERE style <> ''
+      GROUP BY style ORDER BY n DESC, style LIMIT 3)
+    UNION ALL SELECT 'producer', producer_name, count(*), max(location), coalesce(string_agg(DISTINCT style, ' ' ORDER BY style), '') FROM wide
+    WHERE producer_name IS NOT NULL GROUP BY producer_name"""
+)
+def available_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.available_filters(wide(spark, sf_dir), 3)
+
+
+@query(
+    f"""WITH merged AS ({_MERGE_SQL.format("change <> 'absent'")}) SELECT stock_status, count(*) FILTER (WHERE change = 'new') AS "new",
+    count(*) FILTER (WHERE change = 'restock') AS restocked, count(*) FILTER (WHERE change = 'seen') AS seen,
+    count(*) FILTER (WHERE change <> 'absent') AS written FROM merged GROUP BY stock_status"""
+)
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.run_statistics(upsert_merge(spark, sf_dir), "stock_status")
+
+
+@query(
+    f"""WITH {ROLES} SELECT url, product_url, first_seen AS fetched_at FROM wide WHERE product_url IS NOT NULL AND product_url NOT LIKE '%/search?%'
+    AND NOT contains(lower(coalesce(stock_status, '')), 'out')
+    AND (first_seen < TIMESTAMP '1998-08-02' - INTERVAL 5 DAY OR first_seen IS NULL OR product_name IS NULL)
+    ORDER BY first_seen NULLS FIRST, url LIMIT 50"""
+)
+def stale_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wide(spark, sf_dir).withColumn("fetched_at", F.col("first_seen"))
+    return linkage.to_refresh(rows, F.lit(AS_OF).cast("timestamp_ntz")).limit(50).select("url", "product_url", "fetched_at")
+
+
+@query(
+    """SELECT o.o_orderkey, c.c_name FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200) o
+    JOIN customer c ON o.o_custkey = c.c_custkey"""
+)
+def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = read(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "o_custkey")
+    names = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return newest.join(names, "o_custkey").select("o_orderkey", "c_name")
+
+
+@query(
+    """SELECT o_orderkey, coalesce(CASE WHEN l.v > 40 THEN concat('x', l.v) END, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_custkey AS VARCHAR) END) AS link
+    FROM orders LEFT JOIN (SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey"""
+)
+def cached_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").cast("long").alias("v"))
+    stored = F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("/search?q="), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    first = F.when(F.col("v") > 40, F.concat(F.lit("x"), F.col("v").cast("string")))
+    own = F.when(catalog.has_product(F.col("stored")), F.col("stored"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", stored.alias("stored"))
+    return rows.join(best, "o_orderkey", "left").select("o_orderkey", F.coalesce(first, own).alias("link"))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY p_brand IN ('Brand#12', 'Brand#34') DESC, lower(p_brand), p_brand LIMIT 10")
+def selected_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = catalog.count_by(read(spark, sf_dir, "part"), "p_brand")
+    return counts.orderBy(F.col("p_brand").isin("Brand#12", "Brand#34").desc(), F.lower("p_brand"), "p_brand").limit(10)
+
+
 # Record linkage
 
 
+@query(
+    """WITH found AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS url, CAST(event_id % 13 AS VARCHAR) AS product_url, 1 + event_id % 3 AS stage FROM events WHERE user_id % 4 <> 0 OR event_id % 13 < 4),
+    first AS (SELECT url, product_url, min(stage) AS stage FROM found GROUP BY ALL),
+    counts AS (SELECT url, stage, count(*) AS n FROM first GROUP BY ALL),
+    needed AS (SELECT url, stage FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY url ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM counts) WHERE had < 5)
+    SELECT url, product_url, stage FROM first SEMI JOIN needed USING (url, stage)"""
+)
+def link_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "events").where("user_id % 4 <> 0 OR event_id % 13 < 4")
+    rows = found.select(F.col("user_id").cast("string").alias("url"), (F.col("event_id") % 13).cast("string").alias("product_url"), (F.col("event_id") % 3 + 1).alias("stage"), F.lit(0).alias("pos"))
+    return linkage.in_stages(rows).select("url", "product_url", "stage")
+
+
+@query(
+    """SELECT p_partkey, NOT (p_size % 4 = 1 AND p_size % 3 <> 0) AND NOT (p_size % 4 = 2 AND p_size % 3 <> 1) AS ok FROM part"""
+)
+def link_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    title = F.concat("p_name", F.when(size % 3 == 0, " 2023").when(size % 3 == 1, " cask").otherwise(""))
+    name = F.concat("p_name", F.when(size % 4 == 1, " 2023BY").when(size % 4 == 2, " (Cask)").otherwise(""))
+    ok = linkage.validated(title, name, F.col("p_type"), F.col("p_brand"))
+    return read(spark, sf_dir, "part").select("p_partkey", ok.alias("ok"))
+
+
+@query(
+    f"WITH {_ENTITIES} SELECT entity, split_part(name_en, ' ', 1) AS alias FROM ent WHERE contains(name_en, ' ') AND length(split_part(name_en, ' ', 1)) > 2"
+    + f" AND lower(split_part(name_en, ' ', 1)) NOT IN ({', '.join(repr(w) for w in dictionary.COMMON_WORDS)})"
+)
+def dictionary_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.propose_aliases(_entities(spark, sf_dir))
+
+
+@query(f"WITH {_ENTITIES} SELECT count(*) AS entities, 0::BIGINT AS with_japanese, count(*) AS with_aliases, CAST(sum(len(string_split(name_en, ' '))) AS BIGINT) AS aliases FROM ent")
+def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.summary(_entities(spark, sf_dir))
+
+
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part")
     return parts.select(

@@ -103,51 +103,50 @@ class _Automata:
         self.symbol_of[alphabet] = np.arange(len(alphabet))
         self.width = len(alphabet) + 2
         self.pad = len(alphabet) + 1
-        tables, self.roots = [], []
+        self.roots, states = [], 0
+        # an automaton has at most twice as many states as symbols; untouched rows take no memory
+        self.table = np.empty(sum(2 * len(codes) + 1 for _, codes in texts) * self.width, np.int32)
         for _, codes in texts:
-            self.roots.append(sum(map(len, tables)))
-            tables.append(self._automaton(self.symbol_of[codes].tolist(), self.roots[-1]))
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            self.roots.append(states)
+            states = self._automaton(self.symbol_of[codes].tolist(), states)
+        self.table = self.table[: states * self.width]
         self.stride = (np.int32 if len(self.table) < 1 << 31 else np.int64)(self.width)
         self.bits = np.log2([max(2, len(codes)) for _, codes in texts])
 
-    def _automaton(self, symbols: list[int], base: int) -> np.ndarray:
-        moves: list[dict[int, int]] = [{}]
-        links, lengths, last = [-1], [0], 0
+    def _automaton(self, symbols: list[int], root: int) -> int:
+        """Write a text's automaton to the table from state `root` on; return the next free state."""
+        width, table = self.width, self.table
+        moves = memoryview(table)
+        table[root * width : (root + 1) * width] = -1
+        links, lengths, last, free = [-1], [0], root, root + 1
         for symbol in symbols:
-            state = len(moves)
-            moves.append({})
-            lengths.append(lengths[last] + 1)
-            links.append(0)
+            state, free = free, free + 1
+            table[state * width : free * width] = -1
+            lengths.append(lengths[last - root] + 1)
+            links.append(root)
             at = last
-            while at >= 0 and symbol not in moves[at]:
-                moves[at][symbol] = state
-                at = links[at]
+            while at >= 0 and moves[at * width + symbol] < 0:
+                moves[at * width + symbol] = state
+                at = links[at - root]
             if at >= 0:
-                after = moves[at][symbol]
-                if lengths[after] == lengths[at] + 1:
-                    links[state] = after
+                after = moves[at * width + symbol]
+                if lengths[after - root] == lengths[at - root] + 1:
+                    links[state - root] = after
                 else:
-                    clone = len(moves)
-                    moves.append(dict(moves[after]))
-                    lengths.append(lengths[at] + 1)
-                    links.append(links[after])
-                    links[after] = links[state] = clone
-                    while at >= 0 and moves[at].get(symbol) == after:
-                        moves[at][symbol] = clone
-                        at = links[at]
+                    clone, free = free, free + 1
+                    table[clone * width : free * width] = table[after * width : (after + 1) * width]
+                    lengths.append(lengths[at - root] + 1)
+                    links.append(links[after - root])
+                    links[after - root] = links[state - root] = clone
+                    while at >= 0 and moves[at * width + symbol] == after:
+                        moves[at * width + symbol] = clone
+                        at = links[at - root]
             last = state
-        restart = np.full(self.width, base, np.int32)
-        for symbol, state in moves[0].items():
-            restart[symbol] = base + state
-        table = np.tile(~restart, (len(moves), 1))
-        sizes = [len(m) for m in moves]
-        rows = np.repeat(np.arange(len(moves)), sizes)
-        table[rows, np.fromiter((s for m in moves for s in m), np.int32, sum(sizes))] = base + np.fromiter(
-            (t for m in moves for t in m.values()), np.int32, sum(sizes)
-        )
-        table[:, self.pad] = base + np.arange(len(moves))
-        return table
+        rows = table[root * width : free * width].reshape(-1, width)
+        restart = np.where(rows[0] < 0, root, rows[0])
+        np.copyto(rows, ~restart, where=rows < 0)
+        rows[:, self.pad] = np.arange(root, free)
+        return free
 
     def phrases(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each text in each language; `symbols` holds the texts end to end."""

@@ -209,3 +209,17 @@ def decode(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col:
     kind = rows.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary, decoded_text string"
     return rows.mapInArrow(lambda batches: _decode(batches, rank_file, 1), schema)
+
+
+def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode each whole text and decode the ids again: `id_col`, `ids`, `decoded`, `decoded_text`.
+
+    The same as `decode(encode(...))` without offsets, but in one Python worker for each
+    task, so the ids don't travel to the JVM and back in between.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    return rows.mapInArrow(
+        lambda batches: _decode(_encode(batches, rank_file, pattern, False), rank_file, 1),
+        f"`{id_col}` {kind}, ids array<int>, decoded binary, decoded_text string",
+    )

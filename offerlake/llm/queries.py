@@ -50,9 +50,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = tokenizer_file(RANKS)
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern(), offsets=False)
-    return byte_bpe.decode(encoded, ranks).select(
+    decoded = byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file(RANKS), pattern())
+    return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -55,6 +55,8 @@ def test_bpe_round_trip_of_odd_texts(spark, odd):
     want = sorted((str(i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows)
     assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in got) == want
     assert all(r.decoded_text == bytes(r.decoded).decode() for r in got)
+    both = byte_bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
     assert byte_bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 

@@ -149,4 +149,67 @@ FROM grams d JOIN grams i ON d.gram = i.gram AND d.kind = 'doc' AND i.kind = 'it
 GROUP BY d.id, i.id HAVING count(*) / any_value(s.n) >= 0.8
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram
+  FROM split
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b, shared.n = x.n AND shared.n = y.n AS same FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE shared.n >= 0.8 * (x.n + y.n - shared.n) - 1e-9
+), reached AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT id, b FROM reached JOIN links ON a = other
+), classes AS (SELECT id, min(other) AS class_id FROM reached GROUP BY id
+), counts AS (SELECT a, count(*) AS n, count(*) FILTER (WHERE same) AS equal FROM links GROUP BY a)
+SELECT id AS doc_id, class_id, coalesce(n, 0) AS n_links, coalesce(equal, 0) + 1 AS n_copies FROM classes LEFT JOIN counts ON a = id
+"""
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)
+), firsts AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s HAVING min(doc_id) <> max(doc_id)
+), hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > first_id
+), runs AS (
+  SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits)
+), spans AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since
+  FROM (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY ALL)
+), cut AS (
+  SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS rest, sum(b - a) AS removed, count(*) AS n
+  FROM spans JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(rest, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split)
+), firsts AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s HAVING min(doc_id) <> max(doc_id)
+), hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > first_id
+), covered AS (SELECT DISTINCT doc_id, i + k AS j FROM hits, range(0, 50) AS r(k)
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM split
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN covered USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_jaccard_join": OP2_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op10_substring_dedup": OP10_SQL,
+}

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerlake.llm.tables import one_model, slices
+
 #: Pre-tokens whose ids a worker keeps, those it meets first; bounds its memory only.
 MEMO_ENTRIES = 250_000
 #: Bytes of text that one step encodes.
@@ -39,7 +41,6 @@ def load_ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
 def load_tokenizer(rank_file: str):
     """A tokenizer of the tokenizers library with the merges that the ranks imply."""
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -104,11 +105,6 @@ class _Memo(dict):
         return gathered, counts
 
 
-@lru_cache(maxsize=2)
-def _memo(rank_file: str) -> _Memo:
-    return _Memo(rank_file)
-
-
 def char_offsets(text_bytes: np.ndarray, token_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one-past-last character of each token, from the bytes of a text.
 
@@ -120,24 +116,13 @@ def char_offsets(text_bytes: np.ndarray, token_bytes: np.ndarray) -> tuple[np.nd
     return char_of[ends - token_bytes] - 1, char_of[ends - 1]
 
 
-def _slices(batch: pa.RecordBatch, bound: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its texts pass `bound` bytes."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(batch):
-        before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + bound, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def _encode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
     import regex
 
     cut = regex.compile(pattern).findall
-    memo = _memo(rank_file)
+    memo = one_model(("byte-level BPE", rank_file), lambda: _Memo(rank_file))
     widths = np.array([len(token) for token in _token_bytes(rank_file)], np.int64)
-    for batch in (part for whole in batches for part in _slices(whole, STEP_BYTES)):
+    for batch in (part for whole in batches for part in slices(whole, "text", STEP_BYTES)):
         texts = pc.fill_null(batch.column("text"), "").to_pylist()
         numbers, tokens_of = [], []
         for text in texts:

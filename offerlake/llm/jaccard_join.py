@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from offerlake.llm.components import components
 from offerlake.llm.shared_windows import mix, passes, rolling, segment_hashes
-from offerlake.llm.tables import checkpointed, parallelism
+from offerlake.llm.tables import checkpointed, no_model, parallelism
 
 SLOTS = 64
 BRANCH = 2
@@ -84,6 +84,7 @@ _SKETCHED = "id long, node long, check long, tokens binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    no_model()
     seeds = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * _BASE)
     for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
         values, owner = shingle_sets(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), n)

@@ -18,11 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlake.llm.tables import one_model, slices
+
 #: Symbols parsed before a phrase is cut; lets all parts of all texts advance together.
 PART = 256
+#: Bytes of text that one step parses.
+STEP_BYTES = 1 << 20
 #: The prediction for texts without a letter.
 UNDECIDED = "und"
 
@@ -173,47 +178,30 @@ class _Automata:
         return total
 
 
-@lru_cache(maxsize=1)
-def _automata(sample: Sample) -> _Automata:
-    return _Automata(sample)
-
-
-def _predict(batches: Iterator[pa.RecordBatch], sample: Sample) -> Iterator[pa.RecordBatch]:
-    model = _automata(sample)
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        best, score, bits = [], [], []
-        at = 0
-        while at < len(texts):
-            held, size = [], 0
-            while at < len(texts) and (not held or size + len(texts[at] or "") <= 1 << 20):
-                held.append(texts[at] or "")
-                size, at = size + len(held[-1]), at + 1
-            plain = [_plain(text) for text in held]
-            lengths = np.fromiter(map(len, plain), np.int64, len(plain))
-            lettered = np.array([bool(codes.any()) for codes in plain])
-            if not model.languages:
-                best += [UNDECIDED] * len(held)
-                score += [0.0] * len(held)
-                bits += [None] * len(held)
-                continue
+def _predict(batches: Iterator[pa.RecordBatch], sample: Sample, with_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """Predict from the first column, `_text`; it stays with `with_text`."""
+    model = one_model(("language ID", sample), lambda: _Automata(sample))
+    for batch in (part for whole in batches for part in slices(whole, "_text", STEP_BYTES)):
+        held = pc.fill_null(batch.column("_text"), "").to_pylist()
+        plain = [_plain(text) for text in held]
+        lengths = np.fromiter(map(len, plain), np.int64, len(plain))
+        lettered = np.array([bool(codes.any()) for codes in plain])
+        if model.languages:
             symbols = model.symbol_of[np.concatenate(plain)]
             cost = model.phrases(symbols, lengths) * model.bits / np.maximum(1, lengths)[:, None]
             order = np.argsort(cost, axis=1, kind="stable")
             first = cost[np.arange(len(held)), order[:, 0]]
             second = cost[np.arange(len(held)), order[:, min(1, len(model.languages) - 1)]]
             margin = 1 - first / np.maximum(second, 1e-12) if len(model.languages) > 1 else np.ones(len(held))
-            best += [model.languages[i] if ok else UNDECIDED for i, ok in zip(order[:, 0], lettered, strict=True)]
-            score += np.where(lettered, np.clip(margin, 0, 1), 0.0).tolist()
-            bits += [float(b) if ok else None for b, ok in zip(first, lettered, strict=True)]
+            best = [model.languages[i] if ok else UNDECIDED for i, ok in zip(order[:, 0], lettered, strict=True)]
+            score = np.where(lettered, np.clip(margin, 0, 1), 0.0).tolist()
+            bits = [float(b) if ok else None for b, ok in zip(first, lettered, strict=True)]
+        else:
+            best, score, bits = [UNDECIDED] * len(held), [0.0] * len(held), [None] * len(held)
+        kept = range(0 if with_text else 1, batch.num_columns)
         yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(i) for i in range(batch.num_columns) if i != 1),
-                pa.array(best, pa.string()),
-                pa.array(score, pa.float64()),
-                pa.array(bits, pa.float64()),
-            ],
-            names=[*(n for i, n in enumerate(batch.schema.names) if i != 1), "lang_pred", "score", "bits"],
+            [*(batch.column(i) for i in kept), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
+            names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score", "bits"],
         )
 
 
@@ -230,7 +218,11 @@ def predict(
     `und`, score 0 and null bits, as does every text where nothing was learned. One row
     per input row; only the text decides.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *keep)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    schema = f"{kinds}, lang_pred string, score double, bits double"
-    return rows.mapInArrow(lambda batches: _predict(batches, sample), schema)
+    passed = (id_col, *(c for c in keep if c != text_col))
+    with_text = text_col in keep
+    rows = docs.select(F.col(text_col).alias("_text"), *passed)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
+    schema = "_text string, " * with_text + f"{kinds}, lang_pred string, score double, bits double"
+    found = rows.mapInArrow(lambda batches: _predict(batches, sample, with_text), schema)
+    kept = [F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in keep]
+    return found.select(id_col, *kept, "lang_pred", "score", "bits")

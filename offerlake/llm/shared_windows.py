@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerlake.llm.tables import no_model
+
 #: Windows in one run at most; longer runs, as in periodic text, are cut.
 LONGEST_RUN = 64
 #: Symbols that one numpy pass handles.
@@ -136,6 +138,7 @@ def runs(symbols: np.ndarray, owner: np.ndarray, width: int, gram: int):
 
 def in_order(docs: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:
     """A chunk's rows by id and text, so that a row's number is the same in every pass."""
+    no_model()
     docs = docs.sort_by([("id", "ascending"), ("text", "ascending")])
     ids = pc.fill_null(docs["id"], np.iinfo(np.int64).max).to_numpy()
     return docs, ids, pc.fill_null(docs["text"], "").cast(pa.binary()).to_pylist()
@@ -213,12 +216,12 @@ def candidate_runs(docs: pa.Table, answers: pa.Table, words: bool, width: int, g
     _, ids, texts = in_order(docs)
     elsewhere = _member(answers, buckets)
     parts = []
-    for first, symbols, owner in passes(texts, words):
+    for _, symbols, owner in passes(texts, words):
         starts, counts, anchors = runs(symbols, owner, width, gram)
-        parts.append((first, symbols, owner, starts, counts, anchors, owner[starts]))
+        parts.append((starts, counts, anchors, owner[starts]))
     if not parts:
         return {k: np.zeros(0, np.int64) for k in ("anchor", "id", "doc", "start", "count", "context")}, np.zeros(0, np.uint64)
-    anchors, doc = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+    anchors, doc = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     order = np.argsort(anchors, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], anchors[order][1:] != anchors[order][:-1]]))
     several = np.zeros(len(anchors), bool)
@@ -227,7 +230,8 @@ def candidate_runs(docs: pa.Table, answers: pa.Table, words: bool, width: int, g
         several[order] = np.repeat(low != high, np.diff(np.append(edges, len(order))))
     wanted = several | elsewhere(anchors)
     columns, windows, at = [], [], 0
-    for _, symbols, owner, starts, counts, own, docs_of in parts:
+    # the symbols are made once more: held since the first pass they would take many times the text
+    for (starts, counts, own, docs_of), (_, symbols, owner) in zip(parts, passes(texts, words), strict=True):
         keep = wanted[at : at + len(own)]
         at += len(own)
         starts, counts, own, docs_of = starts[keep], counts[keep], own[keep], docs_of[keep]

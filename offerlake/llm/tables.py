@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Hashable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,30 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+_model: dict[Hashable, object] = {}
+
+
+def one_model(key: Hashable, build: Callable[[], object]):
+    """What a Python worker builds once and keeps for its next tasks: one thing, so that memory stays bounded."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = build()
+    return _model[key]
+
+
+def no_model() -> None:
+    """Let go of what an earlier operator's tasks have left in this worker."""
+    _model.clear()
+
+
+def slices(batch: pa.RecordBatch, text: str, bound: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where its texts pass `bound` bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(batch):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + bound, side="right")))
+        yield batch.slice(start, end - start)
+        start = end

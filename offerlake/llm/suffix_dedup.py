@@ -27,8 +27,8 @@ from offerlake.llm.tables import chunked, parallelism
 _RUNS = "anchor long, settled boolean, context long, id long, chunk int, doc int, start int, stop int"
 _SOUGHT = "place long, id long, chunk int, doc int, start int, stop int, context binary"
 _SCHEMA = "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
-#: Rows that one suffix sort takes, where groups allow it.
-_SORTED_ROWS = 20_000
+#: Rows that one suffix sort takes, where groups allow it: some 20 MB of suffixes, and as much for comparing them.
+_SORTED_ROWS = 5_000
 
 
 def _table(schema: str, columns: list) -> pa.Table:
@@ -161,7 +161,7 @@ def _settle(rows: pa.Table, width: int) -> pa.Table:
 def _settle_all(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Settle rows sorted by place, as many whole groups at a time as fit."""
     held: pa.Table | None = None
-    for batch in batches:
+    for batch in (whole.slice(i, _SORTED_ROWS) for whole in batches for i in range(0, len(whole), _SORTED_ROWS)):
         rows = pa.Table.from_batches([batch])
         held = rows if held is None else pa.concat_tables([held, rows])
         if len(held) < _SORTED_ROWS:

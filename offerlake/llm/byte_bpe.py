@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import one_model, slices
+from offerlake.llm.tables import in_small_batches, one_model, slices
 
 #: Pre-tokens whose ids a worker keeps, those it meets first; bounds its memory only.
 MEMO_ENTRIES = 250_000
@@ -158,7 +158,7 @@ def encode(
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _encode(batches, rank_file, pattern, offsets), schema)
+    return in_small_batches(rows).mapInArrow(lambda batches: _encode(batches, rank_file, pattern, offsets), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], rank_file: str, at: int) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def decode(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col:
     rows = encoded.select(F.col(id_col), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias(ids_col))
     kind = rows.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary, decoded_text string"
-    return rows.mapInArrow(lambda batches: _decode(batches, rank_file, 1), schema)
+    return in_small_batches(rows).mapInArrow(lambda batches: _decode(batches, rank_file, 1), schema)
 
 
 def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +204,7 @@ def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(
+    return in_small_batches(rows).mapInArrow(
         lambda batches: _decode(_encode(batches, rank_file, pattern, False), rank_file, 1),
         f"`{id_col}` {kind}, ids array<int>, decoded binary, decoded_text string",
     )

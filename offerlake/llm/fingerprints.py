@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.llm.shared_windows import mix, segment_hashes
-from offerlake.llm.tables import checkpointed, parallelism
+from offerlake.llm.tables import checkpointed, in_small_batches, parallelism
 
 SLOTS = 64
 #: Hexadecimal digits of a slot.
@@ -174,7 +174,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     One row per input row; a null text is empty; equal texts have equal fingerprints.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_fingerprint, f"`{id_col}` {kind}, fingerprint string")
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(_fingerprint, f"`{id_col}` {kind}, fingerprint string")
 
 
 def edited(text: str, after: str) -> str:
@@ -249,7 +249,7 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     both = ranged.select("range", "id", "text", F.lit(False).alias("bound")).unionByName(bounds)
     pairs = (
-        both.repartition(parallelism(spark), "range")
+        in_small_batches(both).repartition(parallelism(spark), "range")
         .sortWithinPartitions("range", "bound", F.col("id").asc_nulls_first(), "text")
         .mapInArrow(
             _pairs,

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from offerlake.llm.components import components
 from offerlake.llm.shared_windows import mix, passes, rolling, segment_hashes
-from offerlake.llm.tables import checkpointed, no_model, parallelism
+from offerlake.llm.tables import checkpointed, in_small_batches, no_model, parallelism
 
 SLOTS = 64
 BRANCH = 2
@@ -297,7 +297,7 @@ def similarity_classes(
     and their own id as class. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = checkpointed(rows.where("id IS NOT NULL").mapInArrow(lambda batches: _sketch(batches, n), _SKETCHED))
     classes = checkpointed(
         sketched.groupBy("node", "check").agg(

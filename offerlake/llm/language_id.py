@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import one_model, slices
+from offerlake.llm.tables import in_small_batches, one_model, slices
 
 #: Symbols parsed before a phrase is cut; lets all parts of all texts advance together.
 PART = 256
@@ -223,6 +223,6 @@ def predict(
     rows = docs.select(F.col(text_col).alias("_text"), *passed)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
     schema = "_text string, " * with_text + f"{kinds}, lang_pred string, score double, bits double"
-    found = rows.mapInArrow(lambda batches: _predict(batches, sample, with_text), schema)
+    found = in_small_batches(rows).mapInArrow(lambda batches: _predict(batches, sample, with_text), schema)
     kept = [F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in keep]
     return found.select(id_col, *kept, "lang_pred", "score", "bits")

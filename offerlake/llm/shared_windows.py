@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import no_model
+from offerlake.llm.tables import in_small_batches, no_model
 
 #: Windows in one run at most; longer runs, as in periodic text, are cut.
 LONGEST_RUN = 64
@@ -281,4 +281,4 @@ def by_document(flags: pa.Table, width: int) -> dict[int, tuple[np.ndarray, np.n
 def read_chunks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Ids, whole texts and, as a struct, the columns that only pass through."""
     columns = [F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
-    return docs.select(*columns, *([F.struct(*keep).alias("rest")] if keep else []))
+    return in_small_batches(docs).select(*columns, *([F.struct(*keep).alias("rest")] if keep else []))

@@ -57,6 +57,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; where the session sets nothing else, batches for Python get `BATCH_BYTES` from now on.
+
+    By default a batch has 10,000 rows, however long their texts are, and stands in the
+    memory of the JVM and of the Python worker several times.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 _model: dict[Hashable, object] = {}
 
 

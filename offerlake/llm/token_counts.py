@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import parallelism
+from offerlake.llm.tables import in_small_batches, parallelism
 
 MARK = "▁"
 _PARTIAL = "id long, text_key int, rows int, n_bytes long, token string, n long"
@@ -135,7 +135,7 @@ def count_tokens(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("text_key"), text.alias("text"))
-    local = rows.mapInArrow(lambda batches: _count_local(batches, model_file, chunk_bytes), _PARTIAL)
+    local = in_small_batches(rows).mapInArrow(lambda batches: _count_local(batches, model_file, chunk_bytes), _PARTIAL)
     place = F.coalesce(F.xxhash64("token") * F.when(F.col("token").isNotNull(), 1), F.xxhash64("id", "text_key"))
     counted = (
         local.withColumn("place", place)

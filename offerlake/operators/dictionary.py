@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.functions import text
@@ -35,13 +35,19 @@ def find_in_texts(texts: DataFrame, id_col: str, column: str, dictionary: DataFr
     """Dictionary keys that a text holds as a substring: `id_col`, `entity`, `key` (the longest).
 
     Keys may begin and end inside words, so texts and keys meet by a trigram: the first
-    of the key, wherever it is in the text. Only ids travel with the trigrams; the text
-    comes back for the keys it may hold. Keys of fewer than three characters are left out.
+    of the key, wherever it is in the text; keys of one and two characters by themselves.
+    Only ids travel with the grams; the text comes back for the keys it may hold.
     """
     low = F.lower(F.col(column))
-    keyed = dictionary.where(F.length("key") >= 3).withColumn("gram", F.substring("key", 1, 3))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
-    grams = texts.select(id_col, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(3))))).alias("gram"))
+    keyed = dictionary.where(F.length("key") > 0).withColumn("gram", F.substring("key", 1, 3))
+    lengths = [r.n for r in keyed.select(F.length("gram").alias("n")).distinct().collect()]
+
+    def cut(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(n))))
+
+    cuts = F.concat(*map(cut, sorted(lengths))) if lengths else F.array().cast("array<string>")
+    grams = texts.select(id_col, F.explode(F.array_distinct(cuts)).alias("gram"))
     likely = grams.join(keyed, "gram").select(id_col, "entity", "key").distinct()
     found = texts.select(id_col, low.alias("low")).join(likely, id_col).where(F.contains("low", F.col("key")))
     best = F.min(F.struct((-F.length("key")).alias("n"), "key")).alias("best")  # the longest, ties by text

@@ -203,3 +203,10 @@ def test_stream(spark, tmp_path):
         stream.start_ingest(spark, incoming, folder, str(tmp_path / "ck")).awaitTermination()
     state = stream.state_at(spark, folder, 1).collect()
     assert [(r.url, r.price_value, r.stock_status, r.first_seen, r.product_url) for r in state] == [("a", 2.0, "In Stock", T(2024, 1, 2), "p")]
+
+
+def test_dictionary_finds_short_keys(spark):
+    keys = spark.createDataFrame([("\u4eac", 1), ("\u5fd7\u8cc0", 2), ("yo", 3), ("yo-ho", 3), ("west coast", 4), ("", 5)], "key string, entity long")
+    texts = [(1, "\u5fd7\u8cc0\u9ad8\u539f IPA"), (2, "YO"), (3, "\u4eac"), (4, "a yo-ho ale, \u6771\u4eac"), (5, "y"), (6, ""), (7, None), (8, "West Coast")]
+    found = dictionary.find_in_texts(spark.createDataFrame(texts, "id long, t string"), "id", "t", keys)
+    assert {tuple(r) for r in found.collect()} == {(1, 2, "\u5fd7\u8cc0"), (2, 3, "yo"), (3, 1, "\u4eac"), (4, 3, "yo-ho"), (4, 1, "\u4eac"), (8, 4, "west coast")}

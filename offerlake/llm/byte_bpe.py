@@ -3,7 +3,8 @@
 The vocabulary comes from a rank file: base64 of a token's bytes and its rank. The
 bytes are written with the printable byte alphabet of byte-level BPE, every split of a
 token into two known tokens becomes a merge in order of rank, and the tokenizers
-library applies the merges. Texts are cut by the pattern first; a task keeps the ids
+library applies the merges. Decoding reads the tokens back through the same alphabet,
+reversed. Texts are cut by the pattern first; a task keeps the ids
 of the pre-tokens it has met, so the library sees each of them once.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from offerlake.llm.tables import in_small_batches, one_model, slices
 
 #: Pre-tokens whose ids a worker keeps, those it meets first; bounds its memory only.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 #: Bytes of text that one step encodes.
 STEP_BYTES = 1 << 20
 
@@ -35,7 +36,6 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
 def load_ranks(rank_file: str) -> dict[bytes, int]:
     with open(rank_file, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -58,24 +58,40 @@ def load_tokenizer(rank_file: str):
     return tokenizer
 
 
-@lru_cache(maxsize=2)
-def _token_bytes(rank_file: str) -> list[bytes]:
-    ranks = load_ranks(rank_file)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+def token_bytes(vocabulary: dict[str, int]) -> list[bytes]:
+    """The bytes of each id: the written tokens, read back through the reversed byte alphabet."""
+    bytes_of = {letter: byte for byte, letter in byte_alphabet().items()}
+    table = [b""] * (max(vocabulary.values()) + 1)
+    for token, number in vocabulary.items():
+        table[number] = bytes(bytes_of[letter] for letter in token)
     return table
 
 
+class _Codec:
+    """A tokenizer and its table of bytes, which a Python worker builds once."""
+
+    def __init__(self, rank_file: str):
+        tokenizer = load_tokenizer(rank_file)
+        table = token_bytes(tokenizer.get_vocab(with_added_tokens=False))
+        self.memo = _Memo(tokenizer)
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.widths = np.array([len(token) for token in table], np.int64)
+        self.starts = np.cumsum(self.widths) - self.widths
+
+
+def _codec(rank_file: str) -> _Codec:
+    return one_model(("byte-level BPE", rank_file), lambda: _Codec(rank_file))
+
+
 class _Memo(dict):
     """Numbers pre-tokens, and keeps the ids of those numbered so far end to end.
 
     Beyond `MEMO_ENTRIES` a pre-token is kept for one step only.
     """
 
-    def __init__(self, rank_file: str):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = load_tokenizer(rank_file)
+        self.tokenizer = tokenizer
         self.new: list[str] = []
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -120,8 +136,8 @@ def _encode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str, off
     import regex
 
     cut = regex.compile(pattern).findall
-    memo = one_model(("byte-level BPE", rank_file), lambda: _Memo(rank_file))
-    widths = np.array([len(token) for token in _token_bytes(rank_file)], np.int64)
+    codec = _codec(rank_file)
+    memo, widths = codec.memo, codec.widths
     for batch in (part for whole in batches for part in slices(whole, "text", STEP_BYTES)):
         texts = pc.fill_null(batch.column("text"), "").to_pylist()
         numbers, tokens_of = [], []
@@ -162,11 +178,8 @@ def encode(
 
 
 def _decode(batches: Iterator[pa.RecordBatch], rank_file: str, at: int) -> Iterator[pa.RecordBatch]:
-    table = _token_bytes(rank_file)
-    flat = np.frombuffer(b"".join(table), np.uint8)
-    ends = np.cumsum([len(token) for token in table])
-    widths = np.array([len(token) for token in table], np.int64)
-    starts = ends - widths
+    codec = _codec(rank_file)
+    flat, widths, starts = codec.flat, codec.widths, codec.starts
     for batch in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
         lists = batch.column(at)
         ids = lists.flatten().to_numpy(zero_copy_only=False)

@@ -7,7 +7,8 @@ hashes are in it. Each has a chance equal to the containment to be there. Items
 partitioned by size, and each size class takes as many least hashes as it needs to miss
 an item at the threshold with a probability below `miss`: small items take all. A
 document that holds one of them, and is large enough for the item, is a candidate. The
-candidates are verified by the exact containment of n-grams.
+candidates are verified by the exact containment of n-grams. An item of fewer than n
+words is one shorter n-gram, which is sought among the n-grams of its own length.
 """
 
 from __future__ import annotations
@@ -17,10 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import checkpointed
-
-#: Rows of a side that is broadcast at most; a larger one is shuffled.
-BROADCAST_ROWS = 20_000
+from offerlake.llm.tables import checkpointed, small
 
 
 def words(text: Column) -> Column:
@@ -34,15 +32,16 @@ def with_words(df: DataFrame, text: Column) -> DataFrame:
 
 
 def shingles(split: Column, n: int) -> Column:
-    """Hashes of the word n-grams; fewer than n words make one of all of them."""
-    ends = F.greatest(F.size(split) - F.lit(n), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(0), ends), lambda i: F.xxhash64(F.slice(split, i + 1, n)))
-    return F.when(F.size(split) > 0, grams).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of the word n-grams; none if there are fewer than n words."""
+    last = F.size(split) - F.lit(n)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(split, i + 1, n)))
+    return F.when(last >= 0, grams).otherwise(F.array().cast("array<bigint>"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark the table for broadcast where its number of rows has been checked to be bounded."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _own_shingles(split: Column, n: int) -> Column:
+    """An item's n-grams; fewer than n words make one of all of them."""
+    whole = F.when(F.size(split) > 0, F.array(F.xxhash64(split))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(split) >= n, shingles(split, n)).otherwise(whole)
 
 
 def probes(items: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -75,31 +74,43 @@ def find_contained(
 
     Returns one row for each pair, `id_col`, `item_col`, `containment` (0 to 1), however
     often the rows repeat. Texts compare by lower-case words without punctuation. An item
-    or document of fewer than `n` words is one n-gram of all its words, so it meets only
-    its equals; null and empty texts, and rows with a null id, are in no pair. Other
-    columns are ignored.
+    of fewer than `n` words is in every document that has these words one after the other.
+    Null and empty texts, texts without words, and rows with a null id are in no pair.
+    Other columns are ignored.
     """
     named = items.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).alias("item"), F.col(item_text_col).alias("text")
     )
-    sets = with_words(named, F.col("text")).select("item", F.array_distinct(shingles(F.col("words"), n)).alias("shingles"))
-    sets = sets.withColumn("n_shingles", F.size("shingles")).where("n_shingles > 0").distinct()
+    split_items = with_words(named, F.col("text")).where(F.size("words") > 0)
+    sets = checkpointed(
+        split_items.select(
+            "item", F.array_distinct(_own_shingles(F.col("words"), n)).alias("shingles"), F.least(F.size("words"), F.lit(n)).alias("length")
+        )
+        .withColumn("n_shingles", F.size("shingles"))
+        .distinct()
+    )
+    lengths = sorted(r.length for r in sets.select("length").distinct().collect())  # n of them at most
     probe = checkpointed(probes(sets, threshold, miss))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def grams_of(split: Column) -> Column:
+        """The n-grams of every length that an item asks for."""
+        every = [shingles(split, length) for length in lengths]
+        return F.concat(*every) if every else F.array().cast("array<bigint>")
+
     split = with_words(texts, F.col("text"))
-    grams = split.select("id", F.size("words").alias("n_words"), F.explode(shingles(F.col("words"), n)).alias("probe"))
-    probe_rows = probe.count()
+    grams = split.select("id", F.size("words").alias("n_words"), F.explode(grams_of(F.col("words"))).alias("probe"))
     enough = F.greatest(F.col("n_words") - (n - 1), F.lit(1)) >= F.col("n_shingles") * threshold
-    found = grams.join(small(probe, probe_rows), "probe").where(enough).select("id", "item").distinct()
+    found = grams.join(small(probe, F.lit(64)), "probe").where(enough).select("id", "item").distinct()
     found = checkpointed(found)
-    pairs = found.join(small(sets, probe_rows), "item")
-    wanted = pairs.groupBy("id").agg(F.collect_list(F.struct("item", "shingles", "n_shingles")).alias("sought"))
-    rows = found.count()
-    whole = with_words(texts.join(small(wanted, rows), "id"), F.col("text"))
-    own = F.explode(F.array(F.array_distinct(shingles(F.col("words"), n)))).alias("own")
-    pair = whole.select("id", "sought", own).select("id", "own", F.explode("sought").alias("pair"))
-    shared = F.size(F.array_intersect("own", "pair.shingles")) / F.col("pair.n_shingles")
-    verified = pair.select("id", F.col("pair.item").alias("item"), shared.alias("containment"))
+    wanted = found.groupBy("id").agg(F.collect_list("item").alias("sought"))
+    # an id's list has as many items as the benchmark at most
+    whole = with_words(texts.join(small(checkpointed(wanted), 32 + 32 * F.size("sought")), "id"), F.col("text"))
+    own = F.explode(F.array(F.array_distinct(grams_of(F.col("words"))))).alias("own")
+    pair = whole.select("id", "sought", own).select("id", "own", F.explode("sought").alias("item"))
+    pair = pair.join(small(sets, 64 + 8 * F.col("n_shingles")), "item")
+    shared = F.size(F.array_intersect("own", "shingles")) / F.col("n_shingles")
+    verified = pair.select("id", "item", shared.alias("containment"))
     return (
         verified.where(F.col("containment") >= threshold)
         .groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col))

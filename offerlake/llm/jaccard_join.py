@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from offerlake.llm.components import components
 from offerlake.llm.shared_windows import mix, passes, rolling, segment_hashes
-from offerlake.llm.tables import checkpointed, in_small_batches, no_model, parallelism
+from offerlake.llm.tables import checkpointed, in_small_batches, no_model
 
 SLOTS = 64
 BRANCH = 2
@@ -35,8 +35,8 @@ DEPTH = 4
 #: Equal tokens (of SLOTS) from which two members of a small bucket count as alike: four
 #: standard deviations below what sets at the threshold share.
 _SLACK = 4.0
-#: Members of a block of a large cluster.
-BLOCK = 512
+#: Members of a block of a large cluster, and their n-grams (2 MB of hashes), whichever comes first.
+BLOCK, BLOCK_GRAMS = 512, 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -80,7 +80,7 @@ def _keys(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.add.reduceat(mix(values), edges), np.add.reduceat(mix(values ^ _BASE), edges)
 
 
-_SKETCHED = "id long, node long, check long, tokens binary"
+_SKETCHED = "id long, node long, check long, n_grams long, tokens binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -101,9 +101,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 batch.column(0).take(pa.array(owner[edges])),
                 pa.array(node.view(np.int64)),
                 pa.array(check.view(np.int64)),
+                pa.array(np.diff(np.append(edges, len(values)))),
                 pa.array([row.tobytes() for row in tokens], pa.binary()),
             ],
-            names=["id", "node", "check", "tokens"],
+            names=["id", "node", "check", "n_grams", "tokens"],
         )
 
 
@@ -197,19 +198,23 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         ends = np.append(edges[1:], len(values))[ok] if len(edges) else edges
         lists = [values[s:e].view(np.int64) for s, e in zip(edges[ok], ends, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(rows) for c in ("node", "cluster", "copies", "members")), pa.array(lists, pa.list_(pa.int64()))],
-            names=["node", "cluster", "copies", "members", "grams"],
+            [*(batch.column(c).take(rows) for c in ("node", "cluster", "copies", "blocks")), pa.array(lists, pa.list_(pa.int64()))],
+            names=["node", "cluster", "copies", "blocks", "grams"],
         )
 
 
 def _common(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
     """How many values each two of m sets share."""
-    _, name, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count[name] > 1
-    names, owner = np.unique(name[shared], return_inverse=True)[1], owner[shared]
-    total, width = np.zeros((m, m), np.float64), max(64, (8 << 20) // m)
-    order = np.argsort(names, kind="stable")
-    names, owner = names[order], owner[order]
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    del order
+    new = values[1:] != values[:-1]
+    shared = np.zeros(len(values), bool)  # a value that a neighbour has too
+    shared[1:] = ~new
+    shared[:-1] |= ~new
+    names, owner = values[shared], owner[shared]
+    names = np.concatenate([[0], np.cumsum(names[1:] != names[:-1])]) if len(names) else names
+    total, width = np.zeros((m, m), np.float32), max(64, (4 << 20) // m)
     for start in range(0, int(names[-1]) + 1 if len(names) else 0, width):
         a, b = np.searchsorted(names, [start, start + width])
         part = np.zeros((m, min(width, int(names[-1]) + 1 - start)), np.float32)
@@ -218,6 +223,22 @@ def _common(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
     return total
 
 
+def _spanning(alike: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    seen, edges = np.zeros(len(alike), bool), []
+    for start in range(len(alike)):
+        if seen[start]:
+            continue
+        seen[start], reached = True, [start]
+        while reached:
+            one = reached.pop()
+            new = np.flatnonzero(alike[one] & ~seen).tolist()
+            seen[new] = True
+            edges += [(one, other) for other in new]
+            reached += new
+    return edges
+
+
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """All pairs of a block, or between two blocks: links of each class, and a forest."""
     for group in _groups(batches, ["cluster", "one", "two"]):
@@ -234,8 +255,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         if one != two:
             alike &= (block[:, None] != block[None, :])
         links = (alike @ group["copies"].to_numpy().astype(np.float64)).astype(np.int64)
-        forest = _Forest(m)
-        edges = [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(alike))), strict=True) if forest.join(i, j)]
+        edges = _spanning(alike)
         linked = np.flatnonzero(links > 0)
         yield pa.RecordBatch.from_arrays(
             [
@@ -250,7 +270,6 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 def candidate_edges(classes: DataFrame, threshold: float, recall: float, leaf: int) -> DataFrame:
     """Edges that connect all classes which chosen paths bring together: `a`, `b`."""
-    spark = classes.sparkSession
     spread = SLOTS * threshold - _SLACK * math.sqrt(SLOTS * threshold * (1 - threshold))
     least = max(1, math.floor(spread))
     level = classes.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs_for(threshold, recall)).cast("long"))).alias("bucket"), "node", "tokens")
@@ -261,7 +280,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float, leaf: i
         met = checkpointed(rows.join(sizes, "bucket"))
         small = met.where(F.col("members") <= leaf).select("bucket", "node", "brief")
         found.append(
-            small.repartition(parallelism(spark), "bucket")
+            small.repartition("bucket")
             .sortWithinPartitions("bucket")
             .mapInArrow(lambda batches: _compare(batches, least), "a long, b long")
         )
@@ -275,7 +294,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float, leaf: i
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
-    return checkpointed(edges.distinct())
+    return edges
 
 
 def similarity_classes(
@@ -296,31 +315,32 @@ def similarity_classes(
     is one n-gram; texts without words, null texts and rows with a null id have no links,
     and their own id as class. Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = checkpointed(rows.where("id IS NOT NULL").mapInArrow(lambda batches: _sketch(batches, n), _SKETCHED))
     classes = checkpointed(
         sketched.groupBy("node", "check").agg(
-            F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.min("tokens").alias("tokens")
+            F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.min("n_grams").alias("n_grams"), F.min("tokens").alias("tokens")
         )
     )
     edges = candidate_edges(classes, threshold, recall, leaf)
     labels = components(edges).withColumnRenamed("label", "cluster")
-    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    wanted = labels.join(sizes, "cluster").join(classes.select("node", "copies", "rep"), "node")
+    clustered = checkpointed(labels.join(classes.select("node", "copies", "rep", "n_grams"), "node"))
+    sizes = clustered.groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    )
+    wanted = clustered.join(sizes, "cluster").drop("n_grams")
     texts = rows.join(wanted.withColumnRenamed("rep", "id"), "id").where("text IS NOT NULL")
-    sets = texts.select("node", "cluster", "copies", "members", "text").mapInArrow(
-        lambda batches: _sets(batches, n), "node long, cluster long, copies long, members long, grams array<long>"
+    sets = texts.select("node", "cluster", "copies", "blocks", "text").mapInArrow(
+        lambda batches: _sets(batches, n), "node long, cluster long, copies long, blocks int, grams array<long>"
     )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    blocked = sets.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    blocked = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     keyed = blocked.select(
         "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "copies", "grams"
     )
     verified = checkpointed(
-        keyed.repartition(parallelism(spark), "cluster", "one", "two")
+        keyed.repartition("cluster", "one", "two")
         .sortWithinPartitions("cluster", "one", "two")
         .mapInArrow(lambda batches: _verify(batches, threshold), "node long, other long, edge boolean, links long")
     )

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from offerlake.llm.tables import in_small_batches, one_model, slices
 
-#: Symbols parsed before a phrase is cut; lets all parts of all texts advance together.
+#: Symbols of a part of a text; the parts of all texts advance together.
 PART = 256
-#: Bytes of text that one step parses.
-STEP_BYTES = 1 << 20
+#: Bytes and rows of text that one step parses, and the bytes it may take for what the parts went through.
+STEP_BYTES, STEP_ROWS, TRACE_BYTES = 1 << 19, 2000, 24 << 20
+#: Letters from which on a text's cost is held against the calibrated bound.
+JUDGED_LETTERS = 100
 #: The prediction for texts without a letter.
 UNDECIDED = "und"
 
@@ -39,35 +41,66 @@ class Sample:
     texts: tuple[tuple[str, str], ...]
 
 
+def _cut(docs: DataFrame, lang_col: str, id_col: str, text_col: str, chars: int) -> DataFrame:
+    """Labelled rows, each text cut to `chars` characters from a place that a hash of the id names."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    place = F.xxhash64(F.col(id_col))
+    start = F.pmod(place, F.greatest(F.length(text_col) - chars, F.lit(0)) + 1).cast("int") + 1
+    return known.select(
+        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(chars)).alias("text"), place.alias("place")
+    )
+
+
+def _numbered(rows: DataFrame, until: int) -> DataFrame:
+    first = Window.partitionBy("lang").orderBy("place", "text")
+    return rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= until)
+
+
 def learn(
     docs: DataFrame,
     lang_col: str = "lang",
     id_col: str = "doc_id",
     text_col: str = "text",
     rows_per_language: int = 160,
-    chars_per_row: int = 2048,
-    total_chars: int = 400_000,
+    chars_per_row: int = 1024,
+    chars_per_language: int = 80_000,
 ) -> Sample:
     """Gather a bounded sample of labelled rows to learn from.
 
     Each language gives at most `rows_per_language` rows, in order of a hash of the id, of
-    at most `chars_per_row` characters each. The automata hold `total_chars` characters
-    together, the same number for each language as far as its sample reaches, so their
-    size doesn't follow the corpus. Rows whose language or text is null teach nothing.
+    at most `chars_per_row` characters each, and its automaton holds `chars_per_language`
+    characters at most. The bounds hold for each language, however many there are, and
+    don't follow the corpus; what is collected grows with the number of languages only.
+    Rows whose language or text is null teach nothing.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    cut = known.select(
-        F.col(lang_col).alias("lang"),
-        F.substring(text_col, 1, chars_per_row).alias("text"),
-        F.xxhash64(F.col(id_col)).alias("place"),
-    )
-    first = Window.partitionBy("lang").orderBy("place", "text")
-    rows = cut.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows_per_language)
+    rows = _numbered(_cut(docs, lang_col, id_col, text_col, chars_per_row), rows_per_language)
     texts: dict[str, dict[str, None]] = {}
     for row in sorted(rows.collect(), key=lambda r: (r.lang, r.nth)):
         texts.setdefault(row.lang, {})[row.text] = None
-    share = total_chars // max(1, len(texts))
-    return Sample(tuple((lang, "\n".join(parts)[:share]) for lang, parts in texts.items()))
+    return Sample(tuple((lang, "\n".join(parts)[:chars_per_language]) for lang, parts in texts.items()))
+
+
+def calibrate(
+    docs: DataFrame,
+    sample: Sample,
+    lang_col: str = "lang",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rows_per_language: int = 320,
+    learned_rows: int = 160,
+    chars_per_row: int = 2048,
+    slack: float = 1.25,
+) -> float:
+    """The bits for each symbol that texts of the learned languages stay below.
+
+    `slack` times the highest cost of the labelled rows that follow those learned from,
+    where a text has `JUDGED_LETTERS` symbols: short texts can cost anything. The rows are
+    bounded like those of `learn`. Without such a row nothing is too dear.
+    """
+    rows = _numbered(_cut(docs, lang_col, id_col, text_col, chars_per_row), learned_rows + rows_per_language)
+    costs = predict(rows.where(F.col("nth") > learned_rows), sample, id_col="nth")
+    highest = costs.where(F.col("n_symbols") >= JUDGED_LETTERS).agg(F.max("bits")).head()[0]
+    return float("inf") if highest is None else slack * highest
 
 
 @lru_cache(maxsize=1)
@@ -92,10 +125,46 @@ def _plain(text: str) -> np.ndarray:
     return codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])] if len(codes) else codes
 
 
+def _edges(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A text's suffix automaton: its transitions as state * width + symbol and next state, and its states."""
+    moves: dict[int, int] = {}
+    outgoing: list[list[int]] = [[]]
+    links, lengths, last = [-1], [0], 0
+    for symbol in symbols:
+        state = len(lengths)
+        lengths.append(lengths[last] + 1)
+        links.append(0)
+        outgoing.append([])
+        at = last
+        while at >= 0 and at * width + symbol not in moves:
+            moves[at * width + symbol] = state
+            outgoing[at].append(symbol)
+            at = links[at]
+        if at >= 0:
+            after = moves[at * width + symbol]
+            if lengths[after] == lengths[at] + 1:
+                links[state] = after
+            else:
+                clone = len(lengths)
+                lengths.append(lengths[at] + 1)
+                links.append(links[after])
+                outgoing.append(outgoing[after].copy())
+                for other in outgoing[after]:
+                    moves[clone * width + other] = moves[after * width + other]
+                links[after] = links[state] = clone
+                while at >= 0 and moves.get(at * width + symbol) == after:
+                    moves[at * width + symbol] = clone
+                    at = links[at]
+        last = state
+    n = len(moves)
+    return np.fromiter(moves.keys(), np.int64, n), np.fromiter(moves.values(), np.int64, n), len(lengths)
+
+
 class _Automata:
-    """The suffix automata of all languages as one table of transitions.
+    """The suffix automata of all languages as one hash table of transitions.
 
-    An entry >= 0 is the next state; ~entry is the state after a new phrase began.
+    A text of n symbols has at most 3n transitions, whatever the alphabet. Slots are probed
+    one after the other from the key's hash on; an empty one says that the phrase ends.
     """
 
     def __init__(self, sample: Sample):
@@ -106,52 +175,54 @@ class _Automata:
         self.symbol_of = np.zeros(sys.maxunicode + 1, np.int32)
         self.symbol_of[:] = len(alphabet)  # letters of no language
         self.symbol_of[alphabet] = np.arange(len(alphabet))
-        self.width = len(alphabet) + 2
-        self.pad = len(alphabet) + 1
-        self.roots, states = [], 0
-        # an automaton has at most twice as many states as symbols; untouched rows take no memory
-        self.table = np.empty(sum(2 * len(codes) + 1 for _, codes in texts) * self.width, np.int32)
+        self.width = np.int64(len(alphabet) + 1)
+        self.roots, states, parts = [], 0, []
         for _, codes in texts:
+            keys, moves, count = _edges(self.symbol_of[codes].tolist(), int(self.width))
+            parts.append((keys + states * self.width, moves + states))
             self.roots.append(states)
-            states = self._automaton(self.symbol_of[codes].tolist(), states)
-        self.table = self.table[: states * self.width]
-        self.stride = (np.int32 if len(self.table) < 1 << 31 else np.int64)(self.width)
+            states += count
+        self.roots = np.array(self.roots, np.int32)
+        keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)])
+        moves = np.concatenate([m for _, m in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
+        self.power = max(4, int(3 * len(keys)).bit_length())
+        self.keys, self.moves = np.full(1 << self.power, -1, np.int64), np.zeros(1 << self.power, np.int32)
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slots[left]] < 0
+            self.keys[slots[left[free]]] = keys[left[free]]
+            placed = self.keys[slots[left]] == keys[left]
+            self.moves[slots[left[placed]]] = moves[left[placed]]
+            left = left[~placed]
+            slots[left] = (slots[left] + 1) & (len(self.keys) - 1)
+        self.restarts = np.tile(self.roots[:, None], (1, int(self.width)))
+        for nth, (own, root) in enumerate(zip(parts, self.roots, strict=True)):
+            first = own[0] < (int(root) + 1) * self.width
+            self.restarts[nth, own[0][first] - int(root) * self.width] = own[1][first]
         self.bits = np.log2([max(2, len(codes)) for _, codes in texts])
 
-    def _automaton(self, symbols: list[int], root: int) -> int:
-        """Write a text's automaton to the table from state `root` on; return the next free state."""
-        width, table = self.width, self.table
-        moves = memoryview(table)
-        table[root * width : (root + 1) * width] = -1
-        links, lengths, last, free = [-1], [0], root, root + 1
-        for symbol in symbols:
-            state, free = free, free + 1
-            table[state * width : free * width] = -1
-            lengths.append(lengths[last - root] + 1)
-            links.append(root)
-            at = last
-            while at >= 0 and moves[at * width + symbol] < 0:
-                moves[at * width + symbol] = state
-                at = links[at - root]
-            if at >= 0:
-                after = moves[at * width + symbol]
-                if lengths[after - root] == lengths[at - root] + 1:
-                    links[state - root] = after
-                else:
-                    clone, free = free, free + 1
-                    table[clone * width : free * width] = table[after * width : (after + 1) * width]
-                    lengths.append(lengths[at - root] + 1)
-                    links.append(links[after - root])
-                    links[after - root] = links[state - root] = clone
-                    while at >= 0 and moves[at * width + symbol] == after:
-                        moves[at * width + symbol] = clone
-                        at = links[at - root]
-            last = state
-        rows = table[root * width : free * width].reshape(-1, width)
-        restart = np.where(rows[0] < 0, root, rows[0])
-        np.copyto(rows, ~restart, where=rows < 0)
-        rows[:, self.pad] = np.arange(root, free)
-        return free
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.power)).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each, and whether a phrase ended before the symbol."""
+        keys = state * self.width + symbol
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        move = self.moves[slots]
+        other = np.flatnonzero(held != keys)
+        ended = np.zeros(len(keys), bool)
+        while len(other):
+            empty = held[other] < 0
+            ended[other[empty]] = True
+            other = other[~empty]
+            slots[other] = (slots[other] + 1) & (len(self.keys) - 1)
+            held[other] = self.keys[slots[other]]
+            move[other] = self.moves[slots[other]]
+            other = other[held[other] != keys[other]]
+        done = np.flatnonzero(ended)
+        move[done] = self.restarts[language[done], symbol[done]]
+        return move, ended
 
     def phrases(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each text in each language; `symbols` holds the texts end to end."""
@@ -160,28 +231,70 @@ class _Automata:
         owner = np.repeat(np.arange(len(lengths)), parts)
         begin = np.repeat(np.cumsum(lengths) - lengths, parts) + nth * PART
         size = np.minimum(PART, np.repeat(lengths, parts) - nth * PART)
-        order = np.argsort(-size, kind="stable")  # parts that end early leave together
-        begin, size, owner = begin[order], size[order], owner[order]
-        state = np.repeat(np.array(self.roots, np.int32)[None, :], len(begin), axis=0)
-        count = np.ones(state.shape, np.int32)
-        live = len(begin)
-        for step in range(int(size[0]) if len(size) else 0):
-            if size[live - 1] <= step:
-                live = int(np.searchsorted(-size, -step, side="left"))
-            symbol = symbols[begin[:live] + step]
-            move = self.table[state[:live] * self.stride + symbol[:, None]]
-            ended = move >> 31
-            count[:live] -= ended
-            state[:live] = move ^ ended
         total = np.zeros((len(lengths), len(self.roots)), np.int64)
-        np.add.at(total, owner, count)
+        if not len(owner):
+            return total
+        group = max(1, TRACE_BYTES // (6 * int(size.max()) * len(owner)))
+        for first in range(0, len(self.roots), group):
+            chosen = np.arange(first, min(first + group, len(self.roots)))
+            count = self._parse(symbols, begin, size, nth > 0, chosen)
+            for at, language in enumerate(chosen):
+                total[:, language] = np.bincount(owner, count[at], len(lengths))
+        total[lengths > 0] += 1  # the last phrase, which nothing ended
         return total
 
+    def _parse(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, follows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Phrases that end in each part, for each chosen language.
+
+        All parts are parsed from the root first. Then each part that follows another one is
+        parsed again from the state its predecessor ended in, until it is in the same state
+        as before at the same place: from there on both parses are one. This repeats while a
+        part's last state changes, so that the phrases are those of the whole text.
+        """
+        n, m, longest = len(begin), len(chosen), int(size.max())
+        states, counts = np.zeros((longest, m * n), np.int32), np.zeros((longest, m * n), np.int16)
+        size, begin, language = np.tile(size, m), np.tile(begin, m), np.repeat(chosen, n)
+        order = np.argsort(-size, kind="stable")  # parts that end early leave together
+        sorted_sizes = -size[order]
+        state, count = self.roots[language], np.zeros(m * n, np.int16)
+        for step in range(longest):
+            live = order[: np.searchsorted(sorted_sizes, -step, side="left")]
+            move, ended = self.step(state[live], symbols[begin[live] + step], language[live])
+            count[live] += ended
+            state[live] = move
+            states[step, live], counts[step, live] = move, count[live]
+        last = size - 1
+        redo = np.flatnonzero(np.tile(follows, m))
+        start = state[redo - 1]
+        while len(redo):
+            before = states[last[redo], redo]
+            at, now, fresh = np.arange(len(redo)), start, np.zeros(len(redo), np.int16)
+            for step in range(longest):
+                at = at[size[redo[at]] > step]
+                if not len(at):
+                    break
+                part = redo[at]
+                move, ended = self.step(now[at], symbols[begin[part] + step], language[part])
+                fresh[at] += ended
+                now[at] = move
+                met = move == states[step, part]
+                if met.any():
+                    counts[step:, part[met]] += (fresh[at] - counts[step, part])[met]
+                at, part = at[~met], part[~met]
+                states[step, part], counts[step, part] = now[at], fresh[at]
+            after = states[last[redo], redo]
+            changed = redo[after != before] + 1
+            changed = changed[changed < m * n]
+            redo = changed[np.tile(follows, m)[changed]]
+            start = states[last[redo - 1], redo - 1]
+        return counts[last, np.arange(m * n)].reshape(m, n)
+
 
 def _predict(batches: Iterator[pa.RecordBatch], sample: Sample, with_text: bool = False) -> Iterator[pa.RecordBatch]:
     """Predict from the first column, `_text`; it stays with `with_text`."""
     model = one_model(("language ID", sample), lambda: _Automata(sample))
-    for batch in (part for whole in batches for part in slices(whole, "_text", STEP_BYTES)):
+    pieces = (part.slice(i, STEP_ROWS) for whole in batches for part in slices(whole, "_text", STEP_BYTES) for i in range(0, len(part), STEP_ROWS))
+    for batch in pieces:
         held = pc.fill_null(batch.column("_text"), "").to_pylist()
         plain = [_plain(text) for text in held]
         lengths = np.fromiter(map(len, plain), np.int64, len(plain))
@@ -199,30 +312,37 @@ def _predict(batches: Iterator[pa.RecordBatch], sample: Sample, with_text: bool
         else:
             best, score, bits = [UNDECIDED] * len(held), [0.0] * len(held), [None] * len(held)
         kept = range(0 if with_text else 1, batch.num_columns)
+        made = {
+            "lang_pred": pa.array(best, pa.string()),
+            "score": pa.array(score, pa.float64()),
+            "bits": pa.array(bits, pa.float64()),
+            "n_symbols": pa.array(lengths),
+        }
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in kept), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
-            names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score", "bits"],
+            [*(batch.column(i) for i in kept), *made.values()], names=[*(batch.schema.names[i] for i in kept), *made]
         )
 
 
 def predict(
     docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Predict the language of each whole text: `id_col`, `lang_pred`, `score`, `bits`.
+    """Predict the language of each whole text: `id_col`, `lang_pred`, `score`, `bits`, `n_symbols`.
 
     The columns named in `keep` stand between the id and the prediction.
 
     `score` is how much fewer bits the best language needs than the second (0 to 1; 1 if
     only one was learned); ties go to the language that sorts first; `bits` is the best
-    language's cost for each symbol. A text that is null, empty or without a letter gives
-    `und`, score 0 and null bits, as does every text where nothing was learned. One row
-    per input row; only the text decides.
+    language's cost for each of the `n_symbols` that are parsed: letters, and one for each
+    run of other characters. A text that is null, empty or without a letter gives `und`,
+    score 0 and null bits, as does every text where nothing was learned. One row per input
+    row; only the text decides; other columns are ignored, whatever their names.
     """
     passed = (id_col, *(c for c in keep if c != text_col))
+    inner = [f"_{i}" for i in range(len(passed))]
     with_text = text_col in keep
-    rows = docs.select(F.col(text_col).alias("_text"), *passed)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
-    schema = "_text string, " * with_text + f"{kinds}, lang_pred string, score double, bits double"
+    rows = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(i) for c, i in zip(passed, inner, strict=True)))
+    kinds = ", ".join(f"{i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(passed, inner, strict=True))
+    schema = "_text string, " * with_text + f"{kinds}, lang_pred string, score double, bits double, n_symbols long"
     found = in_small_batches(rows).mapInArrow(lambda batches: _predict(batches, sample, with_text), schema)
-    kept = [F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in keep]
-    return found.select(id_col, *kept, "lang_pred", "score", "bits")
+    outer = {c: F.col(i).alias(c) for c, i in zip(passed, inner, strict=True)} | {text_col: F.col("_text").alias(text_col)}
+    return found.select(outer[id_col], *(outer[c] for c in keep), "lang_pred", "score", "bits", "n_symbols")

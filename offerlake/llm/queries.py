@@ -31,12 +31,24 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Words of host names that mark a page as one to block: the weak labels of op1. Fixed values.
+SEED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the label of the document of the same id: block if it is toxic or of low quality."""
+    """Pages with a label: block where a part of the host's name is one of `SEED_WORDS`.
+
+    Other pages have the label of the document of the same id: block if it is toxic or of
+    low quality, else allow. That label says little about a URL, so alone it gives hardly a
+    rule; it is the background that the words beside the seeds have to stand out from.
+    """
     labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL OR quality IS NOT NULL")
-    block = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
-    label = labels.select(F.col("doc_id").alias("page_id"), F.when(block, "block").otherwise("allow").alias("label"))
-    return table(spark, sf_dir, "pages").select("page_id", "url").join(label, "page_id")
+    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    known = labels.select(F.col("doc_id").alias("page_id"), F.when(bad, "block").otherwise("allow").alias("known"))
+    seeded = F.arrays_overlap(url_filters.host_words(F.col("url")), F.array(*map(F.lit, SEED_WORDS)))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(known, "page_id", "left")
+    label = F.when(seeded, "block").otherwise(F.col("known")).alias("label")
+    return pages.select("page_id", "url", label).where("label IS NOT NULL")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +150,10 @@ WITH texts AS (
 ), split AS (
   SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w
   FROM texts WHERE id IS NOT NULL AND text IS NOT NULL
+), lengths AS (SELECT DISTINCT least(len(w), 5) AS k FROM split WHERE kind = 'item' AND len(w) > 0
 ), grams AS (
-  SELECT DISTINCT kind, id, unnest(CASE
-    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram
-  FROM split
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram
+  FROM (SELECT split.*, k FROM split JOIN lengths ON kind = 'doc' OR k = least(len(w), 5)) WHERE len(w) >= k
 ), sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'item' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) / any_value(s.n) AS containment
 FROM grams d JOIN grams i ON d.gram = i.gram AND d.kind = 'doc' AND i.kind = 'item' JOIN sizes s ON s.id = i.id

@@ -210,7 +210,7 @@ def candidate_runs(docs: pa.Table, answers: pa.Table, words: bool, width: int, g
     """Runs of a chunk whose anchor is in two documents.
 
     Returns a dict of columns: anchor, id, doc (row number in the chunk), start, count,
-    and context (hash of the symbols that the run covers); and the hashes of all their
+    and context (hash of the symbols that the run covers); and two hashes of all their
     windows end to end.
     """
     _, ids, texts = in_order(docs)
@@ -220,7 +220,7 @@ def candidate_runs(docs: pa.Table, answers: pa.Table, words: bool, width: int, g
         starts, counts, anchors = runs(symbols, owner, width, gram)
         parts.append((starts, counts, anchors, owner[starts]))
     if not parts:
-        return {k: np.zeros(0, np.int64) for k in ("anchor", "id", "doc", "start", "count", "context")}, np.zeros(0, np.uint64)
+        return {k: np.zeros(0, np.int64) for k in ("anchor", "id", "doc", "start", "count", "context")}, np.zeros((2, 0), np.uint64)
     anchors, doc = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     order = np.argsort(anchors, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], anchors[order][1:] != anchors[order][:-1]]))
@@ -240,10 +240,11 @@ def candidate_runs(docs: pa.Table, answers: pa.Table, words: bool, width: int, g
         columns.append((own, ids[docs_of], docs_of, starts - first_of, counts, context))
         if words and len(starts):
             every = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            windows.append(mix(rolling(symbols, width))[every])
+            second = rolling(mix(symbols ^ np.uint64(_BASE)), width)
+            windows.append(np.stack([mix(rolling(symbols, width))[every], mix(second)[every]]))
     merged = [np.concatenate(c) for c in zip(*columns, strict=True)]
     names = ("anchor", "id", "doc", "start", "count", "context")
-    return dict(zip(names, merged, strict=True)), np.concatenate([*windows, np.zeros(0, np.uint64)])
+    return dict(zip(names, merged, strict=True)), np.concatenate([*windows, np.zeros((2, 0), np.uint64)], axis=1)
 
 
 def first_holder(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Substring dedup: remove the words of repeated 50-word windows, keeping the first copy.
 
-Rabin-Karp hashes name every window of `width` words that can repeat; Spark counts them
-and finds the first document of each; the windows of later documents merge into maximal
+Two Rabin-Karp hashes, 128 bits together, name every window of `width` words that can
+repeat; Spark counts them and finds the first document of each; the windows of later documents merge into maximal
 runs, which are removed.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from offerlake.llm import shared_windows as sw
 from offerlake.llm.tables import chunked
 
-_FOUND = "window long, settled boolean, id long, chunk int, doc int, start int, stop int"
+_FOUND = "window long, check long, settled boolean, id long, chunk int, doc int, start int, stop int"
 _SCHEMA = "id long, n_words long, spans array<struct<start:int,end:int>>, kept string"
 
 
@@ -26,7 +26,7 @@ def _windows(docs: pa.Table, answers: pa.Table, width: int, gram: int, buckets:
     nth = np.repeat(np.arange(len(run["count"])), run["count"])
     ids, doc = run["id"][nth], run["doc"][nth]
     start = run["start"][nth] + np.arange(len(nth)) - np.repeat(np.cumsum(run["count"]) - run["count"], run["count"])
-    later = ids > sw.first_holder([hashes], ids)
+    later = ids > sw.first_holder(list(hashes), ids)
     here = np.flatnonzero(later)
     new = np.ones(len(here), bool)  # neighbouring settled windows go as one range
     new[1:] = (doc[here][1:] != doc[here][:-1]) | (start[here][1:] != start[here][:-1] + 1)
@@ -34,10 +34,10 @@ def _windows(docs: pa.Table, answers: pa.Table, width: int, gram: int, buckets:
     last = here[np.append(np.flatnonzero(new)[1:] - 1, len(here) - 1)] if len(here) else here
     rest = np.flatnonzero(~later)
     n, m = len(first), len(rest)
-    window = np.concatenate([sw.mix((doc[first] << 32 | start[first]).astype(np.uint64)), hashes[rest]])
+    place = sw.mix((doc[first] << 32 | start[first]).astype(np.uint64))
     both = np.concatenate([first, rest])
     columns = [
-        window.view(np.int64),
+        *(np.concatenate([place, own[rest]]).view(np.int64) for own in hashes),
         np.concatenate([np.ones(n, bool), np.zeros(m, bool)]),
         ids[both],
         np.full(n + m, chunk, np.int32),
@@ -91,7 +91,7 @@ def remove_repeated_windows(
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(lambda docs, shared: _windows(docs, shared, width, gram, buckets), _FOUND)
     )
-    equal = Window.partitionBy("window", "settled")
+    equal = Window.partitionBy("window", "check", "settled")
     flags = (
         found.withColumn("first", F.min("id").over(equal))
         .where(F.col("settled") | (F.col("id") > F.col("first")))

@@ -1,15 +1,17 @@
 """Suffix-array dedup: remove byte strings that an earlier document has, keeping the first.
 
 The longest previous factor of a suffix is the longer of its matches with the previous
-and the next suffix, in suffix order, that lie earlier in the corpus. A byte is removed
-if a suffix with a factor of at least `width` bytes covers it. Only the first `width`
-bytes of a suffix matter for that, so suffixes that share no anchor (see
-`shared_windows`) need not meet: each anchor's suffixes are sorted on their own.
-
-Runs of windows that are equal as a whole are settled by their hash first; the bytes
-travel only for anchors with several different contexts, once for each context. Where
-more than `hot_rows` contexts share an anchor, such as at the end of a passage that many
-documents quote, the windows travel one by one and meet by their own hash instead.
+and the next suffix, in suffix order, that lie in an earlier document. A byte is removed
+if a suffix with a factor of at least `width` bytes covers it. Suffixes that share no
+anchor (see `shared_windows`) share no `width` bytes, so they need not meet: each anchor's
+suffixes are one block, with an order and an array of factors of its own.
+
+Copies are settled before: runs of windows that are equal as a whole, by their anchor and
+a second 64-bit hash, are one context, which the first document holds and every later one
+repeats. Each context's bytes travel once, to their anchor's block. An anchor of more than
+`hot_rows` contexts, such as at the end of a passage that many documents quote, is split
+into one block for each `width` bytes that a suffix begins with, so no block grows with
+the corpus; suffixes with equal `width` bytes still meet, and results are the same.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def _contexts(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     symbols = sw.byte_symbols()[np.frombuffer(b"".join(one), np.uint8)]
     edges = np.arange(len(one) + 1) * width
     one_place = sw.segment_hashes(symbols, edges[:-1], edges[1:])
-    later = ids[one_doc] > sw.first_holder([one_place], ids[one_doc]) if len(one) else np.zeros(0, bool)
+    later = has_previous_factor(one, ids[one_doc], width) if len(one) else np.zeros(0, bool)
     done_doc, done_start, done_stop = _ranges(
         np.concatenate([doc[flagged], one_doc[later]]),
         np.concatenate([start[flagged], one_start[later]]),
@@ -108,30 +110,57 @@ def _contexts(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     return _table(_SOUGHT, columns)
 
 
-def has_previous_factor(contexts: list[bytes], ids: np.ndarray, width: int) -> np.ndarray:
-    """For every suffix of at least `width` bytes: has it a previous factor of that length?
+def nearest_smaller(positions: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Length shared with the previous entry, in suffix order, of a smaller position; 0 without one.
 
-    The suffixes are sorted by their first `width` bytes, equal ones by document id.
-    Then a suffix and its previous smaller position share `width` bytes only if both are
-    in one run of equal suffixes, and the next smaller position is never in that run; so
-    the longest previous factor reaches `width` where the run's first id is smaller.
+    `factors` holds what each suffix shares with the one before it. Every entry looks at its
+    neighbour first and jumps on to where that one looks, until it finds a smaller position:
+    all in between are as great as those it has jumped over.
+    """
+    n = len(positions)
+    at, shared = np.arange(-1, n - 1), factors.copy()
+    seeking = np.flatnonzero((at >= 0) & (positions[at] >= positions))
+    while len(seeking):
+        over = at[seeking]
+        shared[seeking] = np.minimum(shared[seeking], shared[over])
+        at[seeking] = at[over]
+        seeking = seeking[(at[seeking] >= 0) & (positions[at[seeking]] >= positions[seeking])]
+    shared[at < 0] = 0
+    return shared
+
+
+def longest_previous_factors(contexts: list[bytes], ids: np.ndarray, width: int) -> np.ndarray:
+    """For every suffix of at least `width` bytes, end to end: the longest prefix, up to `width`
+    bytes, that it shares with a suffix of a document with a smaller id.
+
+    The suffix array and its array of common prefixes are made by sorting the first `width`
+    bytes of all suffixes. In that order the nearest entries of smaller documents before and
+    after a suffix, the previous and the next smaller position, have its longest match.
     """
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     counts = sizes - (width - 1)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[at])
-    owner = np.repeat(ids, counts)
-    by_id = np.argsort(owner, kind="stable")
-    order = by_id[np.argsort(suffixes[by_id].view(f"S{width}").ravel(), kind="stable")]
-    change = np.concatenate([[True], (suffixes[order[1:]] != suffixes[order[:-1]]).any(axis=1)])
-    edges = np.flatnonzero(change)
-    first = np.repeat(owner[order[edges]], np.diff(np.append(edges, len(order))))
-    found = np.empty(len(order), bool)
-    found[order] = owner[order] > first
+    order = np.argsort(suffixes.view(f"S{width}").ravel(), kind="stable")
+    suffixes = suffixes[order]
+    common = np.zeros(len(order), np.int32)
+    differ = suffixes[1:] != suffixes[:-1]
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    del suffixes, differ
+    positions = np.repeat(ids, counts)[order]
+    before = nearest_smaller(positions, common)
+    after = nearest_smaller(positions[::-1], np.concatenate([common[1:], [0]])[::-1])[::-1]
+    found = np.empty(len(order), np.int32)
+    found[order] = np.maximum(before, after)
     return found
 
 
+def has_previous_factor(contexts: list[bytes], ids: np.ndarray, width: int) -> np.ndarray:
+    """For every suffix of at least `width` bytes: is its longest previous factor of that length?"""
+    return longest_previous_factors(contexts, ids, width) >= width
+
+
 def _settle(rows: pa.Table, width: int) -> pa.Table:
     """Flag the windows of a set of whole anchors."""
     sought = rows["context"].is_valid().to_numpy() if len(rows) else np.zeros(0, bool)
@@ -213,8 +242,8 @@ def remove_repeats(
     the result has them too, after `kept_text`: the kept bytes as text, without the bytes
     of characters that were cut.
     """
-    spark = docs.sparkSession
     rows, buckets = chunked(sw.read_chunks(docs, id_col, text_col, keep), "id", "text", chunk_bytes, 64)
+    tasks = max(parallelism(docs.sparkSession), buckets // 4)
     by_chunk = rows.groupBy("chunk")
     answers = sw.shared_anchors(rows, False, width, gram, buckets)
     runs = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(
@@ -235,7 +264,7 @@ def remove_repeats(
         lambda docs, asked: _contexts(docs, asked, width), _SOUGHT
     )
     flags = (
-        sought.repartition(parallelism(spark), "place")
+        sought.repartition(tasks, "place")
         .sortWithinPartitions("place")
         .mapInArrow(lambda batches: _settle_all(batches, width), "chunk int, doc int, start int, stop int")
     )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Hashable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,28 +26,62 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder every executor shares.
+@lru_cache(maxsize=1)
+def _of_this_machine() -> str:
+    return tempfile.mkdtemp(prefix="offerlake-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset, as
-    in tests, a folder of this machine takes its place.
+    Only a local session may leave it unset, as tests do; it then gets a folder of this
+    machine. A cluster without the setting is an error, for its executors share no such folder.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _of_this_machine()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the folder every executor shares."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="offerlake-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+#: Bytes of a side that is broadcast at most; a larger one is shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """Mark a table for broadcast if its rows take `BROADCAST_BYTES` at most; `size` is a row's bytes.
+
+    The table should be checkpointed, because this measures it.
+    """
+    total = df.agg(F.sum(size.cast("long"))).head()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+#: Bytes of text of one shuffle partition, which holds some chunks.
+PARTITION_BYTES = 32 << 20
+
+
 def chunked(df: DataFrame, key: str, text: str, chunk_bytes: int, least: int) -> tuple[DataFrame, int]:
-    """Add a `chunk` number made from the key, and return it with the number of chunks.
+    """Deal the rows to chunks, and return them with the number of chunks.
 
-    The number of chunks follows the bytes of text, so that one chunk stays near
-    `chunk_bytes` at every size of the table. Rows with equal keys share a chunk.
+    Both the number of chunks and that of partitions follow the bytes of text, so neither a
+    chunk nor a task grows with the table. The key and the text together name the `chunk`:
+    rows without a key, or with one in common, spread as their texts do.
     """
     total = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
     count = max(least, -(-total // chunk_bytes))
-    return df.withColumn("chunk", F.pmod(F.xxhash64(F.col(key)), F.lit(count)).cast("int")), count
+    tasks = max(parallelism(df.sparkSession), -(-total // PARTITION_BYTES))
+    place = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(count)).cast("int")
+    return df.withColumn("chunk", place).repartition(tasks, "chunk"), count
 
 
 def tokenizer_file(name: str) -> str:
@@ -80,14 +117,27 @@ _model: dict[Hashable, object] = {}
 def one_model(key: Hashable, build: Callable[[], object]):
     """What a Python worker builds once and keeps for its next tasks: one thing, so that memory stays bounded."""
     if key not in _model:
-        _model.clear()
+        no_model()
         _model[key] = build()
+        _give_back()
     return _model[key]
 
 
 def no_model() -> None:
     """Let go of what an earlier operator's tasks have left in this worker."""
-    _model.clear()
+    if _model:
+        _model.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; workers live on after their tasks, and share the executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def slices(batch: pa.RecordBatch, text: str, bound: int) -> Iterator[pa.RecordBatch]:

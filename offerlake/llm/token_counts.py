@@ -3,10 +3,12 @@
 A piece model whose pieces hold the space mark only at their front never merges
 across the boundary before a run of marks. A text is therefore a bag of pre-tokens
 (a run of marks and the characters after it), and its token count is the sum of the
-counts of its pre-tokens. Each task counts the pre-tokens that repeat within its
-texts once; those a task sees a single time are shuffled by pre-token, counted once
-per distinct value and joined to the documents they came from. A frequent pre-token
-is thereby gathered before the shuffle and cannot make a hot key.
+counts of its pre-tokens. A pre-token that repeats within a task's texts is counted once
+there, and its documents' frequencies are multiplied at once; those a task sees a single
+time are shuffled by pre-token, counted once per distinct value and joined to the
+documents they came from. A frequent pre-token is thereby gathered before the shuffle
+and cannot make a hot key, and most (document, pre-token) pairs, which are several times
+the text itself, never travel.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import in_small_batches, parallelism
+from offerlake.llm.tables import in_small_batches
 
 MARK = "▁"
-_PARTIAL = "id long, text_key int, rows int, n_bytes long, token string, n long"
+_PARTIAL = "one long, two long, id long, rows int, n_bytes long, token string, n long"
 _UNUSUAL = f"^$|^ |  | $|{MARK}"
 _PRE_TOKEN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -66,7 +68,7 @@ def _count_local(batches: Iterator[pa.RecordBatch], model_file: str, chunk_bytes
 
     def flush() -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        ids, keys, texts = (table.column(i).combine_chunks() for i in range(3))
+        ones, twos, ids, texts = (table.column(i).combine_chunks() for i in range(4))
         texts = texts if isinstance(texts, pa.Array) else texts.chunk(0)
         lists = _pre_tokens(texts)
         encoded = lists.flatten().dictionary_encode()
@@ -81,14 +83,15 @@ def _count_local(batches: Iterator[pa.RecordBatch], model_file: str, chunk_bytes
         n, m = len(lists), len(back)
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([ids, ids.take(back)]),
-                pa.concat_arrays([keys, keys.take(back)]),
+                pa.concat_arrays([ones, ones.take(back)]),
+                pa.concat_arrays([twos, twos.take(back)]),
+                pa.concat_arrays([ids, pa.nulls(m, pa.int64())]),
                 pa.array(np.concatenate([np.ones(n, np.int32), np.zeros(m, np.int32)])),
                 pa.concat_arrays([pc.binary_length(texts).cast(pa.int64()), pa.array(np.zeros(m, np.int64))]),
                 pa.concat_arrays([pa.nulls(n, pa.string()), encoded.dictionary.take(pa.array(codes[once]))]),
                 pa.array(np.concatenate([known, np.ones(m, np.int64)])),
             ],
-            names=["id", "text_key", "rows", "n_bytes", "token", "n"],
+            names=["one", "two", "id", "rows", "n_bytes", "token", "n"],
         )
 
     for batch in batches:
@@ -115,8 +118,8 @@ def _count_rest(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[
             real = np.flatnonzero(token.is_valid().to_numpy(zero_copy_only=False))
             n[real] *= counts[encoded.indices.drop_null().to_numpy()]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("id", "text_key", "rows", "n_bytes")), pa.array(n)],
-            names=["id", "text_key", "rows", "n_bytes", "n"],
+            [*(batch.column(c) for c in ("one", "two", "id", "rows", "n_bytes")), pa.array(n)],
+            names=["one", "two", "id", "rows", "n_bytes", "n"],
         )
 
 
@@ -132,22 +135,23 @@ def count_tokens(
     a text are ordinary text, as in the library's default. `chunk_bytes` bounds the
     text one task gathers before it counts.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("text_key"), text.alias("text"))
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    # two hashes of the id and the text name a row while it is taken apart
+    keys = F.xxhash64(own, text).alias("one"), F.xxhash64(text, own, F.lit(1)).alias("two")
+    rows = docs.select(*keys, own.alias("id"), text.alias("text"))
     local = in_small_batches(rows).mapInArrow(lambda batches: _count_local(batches, model_file, chunk_bytes), _PARTIAL)
-    place = F.coalesce(F.xxhash64("token") * F.when(F.col("token").isNotNull(), 1), F.xxhash64("id", "text_key"))
+    place = F.coalesce(F.xxhash64("token") * F.when(F.col("token").isNotNull(), 1), F.col("one"))
     counted = (
         local.withColumn("place", place)
-        .repartition(parallelism(spark), "place")
+        .repartition("place")
         .drop("place")
         .sortWithinPartitions("token")
         .mapInArrow(
-            lambda batches: _count_rest(batches, model_file), "id long, text_key int, rows int, n_bytes long, n long"
+            lambda batches: _count_rest(batches, model_file), "one long, two long, id long, rows int, n_bytes long, n long"
         )
     )
-    totals = counted.groupBy("id", "text_key").agg(
-        F.sum("rows").alias("rows"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n")
+    totals = counted.groupBy("one", "two").agg(
+        F.max("id").alias("id"), F.sum("rows").alias("rows"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n")
     )
     return totals.select(
         F.col("id").alias(id_col),

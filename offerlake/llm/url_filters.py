@@ -1,7 +1,7 @@
 """URL filters from association rules.
 
-A labelled URL is a basket of tokens: the domains it lies in, the words of its path and
-the names of its parameters, and its label. FP-growth mines the token combinations that
+A labelled URL is a basket of tokens: the domains it lies in, the words of its host's
+name, the words of its path and the names of its parameters, and its label. FP-growth mines the token combinations that
 are frequent; those that imply a label with enough confidence become rules, and a rule
 that a shorter one with as much confidence covers is dropped. Rules are indexed by their
 rarest token, so a URL meets only the rules whose rarest token it has, and each such rule
@@ -14,11 +14,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import checkpointed, parallelism
+from offerlake.llm.tables import checkpointed, parallelism, small
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules that are broadcast at most; a longer list is shuffled.
-BROADCAST_RULES = 20_000
+#: Shares that the pages with one set of tokens are dealt to; numbers are no tokens, so a site can have a third of all pages.
+SALTS = 64
 _LABEL = "label="
 _RULE_SCHEMA = "rule_id string, items array<string>, verdict string, confidence double, support double, rarest string"
 
@@ -34,8 +34,13 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def host_words(url: Column) -> Column:
+    """The words of two or more letters that the host's name is made of."""
+    return F.filter(F.split(host(url), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
+
+
 def tokens(url: Column) -> Column:
-    """The distinct tokens of a URL, sorted: domains of two or more labels, path words, parameter names."""
+    """The distinct tokens of a URL, sorted: domains of two or more labels, host words, path words, parameter names."""
     labels = F.split(F.regexp_replace(host(url), r":\d*$", ""), r"\.")
     domains = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
@@ -46,6 +51,7 @@ def tokens(url: Column) -> Column:
     names = F.filter(F.transform(F.split(query, "&"), lambda p: F.split(p, "=")[0]), lambda n: n != "")
     every = F.concat(
         F.filter(domains, lambda d: d != "host="),
+        F.transform(host_words(url), lambda w: F.concat(F.lit("word="), w)),
         F.transform(words, lambda w: F.concat(F.lit("path="), w)),
         F.transform(names, lambda n: F.concat(F.lit("query="), n)),
     )
@@ -58,7 +64,7 @@ def mine_rules(
     label_col: str = "label",
     min_support: float = 0.002,
     min_rows: int = 8,
-    min_confidence: float = 0.5,
+    min_confidence: float = 0.8,
     min_lift: float = 1.3,
 ) -> DataFrame:
     """Mine rules from URLs with a label: `rule_id`, `items`, `verdict`, `confidence`, `support`, `rarest`.
@@ -122,8 +128,8 @@ def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     that fit no rule are left out.
     """
     rules = checkpointed(rules)
-    few = rules.count() <= BROADCAST_RULES
-    index = F.broadcast(rules) if few else rules
+    length = F.lit(128) + F.length("rule_id") * 3
+    index = small(rules, length)
     sets = urls.select(tokens(F.col(url_col)).alias("tokens")).distinct()
     met = sets.select("tokens", F.explode("tokens").alias("rarest")).join(index, "rarest")
     fit = met.where(F.size(F.array_except("items", "tokens")) == 0)
@@ -165,7 +171,9 @@ def judge(
         fits = inside & F.col("path").startswith(f"/{rest}")
         rule, verdict = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
     matched = match_rules(urls, mined, url_col).withColumnRenamed("verdict", "mined")
-    known = rows.join(matched, "tokens", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("path", F.col(id_col)), F.lit(SALTS)).cast("int"))
+    known = salted.join(matched.select("*", salts), ["tokens", "salt"], "left")
     return known.select(
         id_col,
         "host",

@@ -1,4 +1,7 @@
 import math
+import random
+
+from pyspark.sql import functions as F
 
 from offerlake.llm import language_id as lid
 from offerlake.llm import queries
@@ -23,18 +26,16 @@ def brute_force(text, sample):
     costs = []
     for lang, learned in sample.texts:
         known = "".join(map(chr, plain(learned)))
-        phrases = 0
-        for begin in range(0, len(codes), lid.PART):
-            part, phrases, at = "".join(map(chr, codes[begin : begin + lid.PART])), phrases + 1, 0
-            while at < len(part):
-                end = at
-                while end < len(part) and part[at : end + 1] in known:
-                    end += 1
-                if end == at:  # a symbol that the language lacks is a phrase, as is what went before
-                    phrases, end = phrases + 1, at + 1
-                elif end < len(part) and part[end] in known:
-                    phrases += 1
-                at = end
+        text, phrases, at = "".join(map(chr, codes)), 1, 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[at : end + 1] in known:
+                end += 1
+            if end == at:  # a symbol that the language lacks is a phrase, as is what went before
+                phrases, end = phrases + 1, at + 1
+            elif end < len(text) and text[end] in known:
+                phrases += 1
+            at = end
         costs.append((phrases * math.log2(max(2, len(known))) / len(codes), lang))
     return min(costs)[::-1]
 
@@ -45,7 +46,9 @@ def test_against_brute_force(spark):
     columns = "doc_id long, lang string, text string"
     sample = lid.learn(spark.createDataFrame(train, columns))
     assert [lang for lang, _ in sample.texts] == ["de", "en"]
-    texts = ["the cat", "Die Katze!", None, "", "12 34 ...", "zzz", "a", "und the dog " * 200, "Ünder é 9 the", "the cat"]
+    random.seed(7)
+    letters = ["".join(random.choices("derhundkatzthogc ", k=k)) for k in (255, 256, 257, 600, 3000)]
+    texts = [*letters, "a" * 2000, "ee" * 700 + "the", "the cat", "Die Katze!", None, "", "12 34 ...", "zzz", "a", "und the dog " * 200, "Ünder é 9 the", "the cat"]
     docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], columns.replace("lang", "score"))
     got = {r.doc_id: r for r in lid.predict(docs, sample).collect()}
     for i, text in enumerate(texts):
@@ -63,3 +66,23 @@ def test_held_out_accuracy(spark):
     rows = queries.op7_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(rows) > 150
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+
+
+def test_calibrated_bound(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = lid.learn(docs)
+    bound = lid.calibrate(docs, sample)
+    random.seed(3)
+    noise = [("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=400)),) for _ in range(5)]
+    assert lid.predict(spark.createDataFrame(noise, "doc_id string").withColumn("text", F.col("doc_id")), sample).where(F.col("bits") > bound).count() == 5
+    assert lid.predict(docs, sample).where(F.col("bits") > bound).where(F.col("n_symbols") >= lid.JUDGED_LETTERS).count() == 0
+    assert lid.calibrate(docs.limit(0), sample) == float("inf")
+
+
+def test_many_languages_and_clashing_names(spark):
+    rows = [(i, f"l{i % 30:02d}", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 30 % 13)}x{k % 7}" for k in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, bits string, _text string")
+    sample = lid.learn(docs.withColumnsRenamed({"bits": "lang", "_text": "text"}))
+    assert len(sample.texts) == 30
+    got = lid.predict(docs.withColumn("text", F.col("_text")), sample, keep=("_text", "text")).collect()
+    assert len(got) == 60 and all(r["_text"] == r["text"] for r in got)

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from offerlake.llm import queries, suffix_dedup
@@ -46,3 +47,18 @@ def test_query_against_brute_force(spark):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_spans, r.n_bytes - r.n_removed, r.kept_sha256) for r in got) == [
         (i, n, spans, len(kept), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in want
     ]
+
+
+def test_longest_previous_factors_against_brute_force():
+    random = np.random.default_rng(5)
+    contexts = [bytes(random.choice([97, 98, 0], n).astype(np.uint8)) for n in random.integers(6, 40, 60)]
+    contexts += [b"abcabcabcabc", b"abcabcabcabc", b"a" * 30, b"a" * 6]
+    ids = random.integers(0, 20, len(contexts))
+    got = suffix_dedup.longest_previous_factors(contexts, ids, 6).tolist()
+    suffixes = [(int(i), c[k : k + 6]) for c, i in zip(contexts, ids, strict=True) for k in range(len(c) - 5)]
+
+    def common(a, b):
+        return next((k for k in range(6) if a[k] != b[k]), 6)
+
+    want = [max([common(s, t) for j, t in suffixes if j < i], default=0) for i, s in suffixes]
+    assert got == want

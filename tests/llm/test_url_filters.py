@@ -1,10 +1,13 @@
+import math
 import re
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from offerlake.llm import queries
 from offerlake.llm import url_filters as uf
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def parts(url):
@@ -82,11 +85,31 @@ def test_odd_urls(spark):
     assert uf.judge(table.limit(0), none, queries.URL_RULES).count() == 0
 
 
-def test_query(spark):
+def test_mined_rule_changes_verdicts(spark):
+    pages = [(i, f"http://s{i}.{'lucky-casino' if i % 5 == 0 else 'plain'}.example.com/en/{i}") for i in range(100)]
+    pages = spark.createDataFrame(pages, "page_id long, url string")
+    labelled = pages.withColumn("label", F.when(F.col("page_id") % 5 == 0, "block").otherwise("allow")).where("page_id < 60")
+    judged = {r.page_id: r for r in uf.judge(pages, uf.mine_rules(labelled), []).collect()}
+    assert {i for i, r in judged.items() if r.verdict == "block"} == set(range(0, 100, 5))
+    assert judged[95].evidence and judged[95].confidence == 1.0
+
+
+def test_query_against_brute_force(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    labelled = queries.labelled_pages(spark, SF)
+    rows = [(list(r.t), r.label) for r in labelled.select(uf.tokens(labelled.url).alias("t"), "label").collect()]
+    rules = mined(rows, max(8, math.ceil(0.002 * len(rows))), 0.8, 1.3)
+    assert any(label == "block" for _, label in rules)
+    split = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", uf.tokens(F.col("url")).alias("t"))
+    items = {r.page_id: set(r.t) for r in split.collect()}
     got = {r.page_id: r for r in queries.op1_url_filters(spark, SF).collect()}
     assert len(got) == len(pages)
+    by_rule = 0
     for r in pages:
         rule, verdict = fixed_rule(*parts(r.url), queries.URL_RULES)
         assert (got[r.page_id].host, got[r.page_id].path, got[r.page_id].rule) == (*parts(r.url), rule)
-        assert rule is None or got[r.page_id].verdict == verdict
+        fits = {label: c for (p, label), c in sorted(rules.items(), key=lambda x: x[1]) if set(p) <= items[r.page_id]}
+        surest = [label for label, c in fits.items() if c == max(fits.values())]
+        assert got[r.page_id].verdict in ([verdict] if rule else surest or ["allow"]), r.url
+        by_rule += not rule and got[r.page_id].verdict == "block"
+    assert by_rule > 0

@@ -22,12 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlake.llm.shared_windows import mix
 from offerlake.llm.tables import in_small_batches, one_model, slices
 
 #: Symbols of a part of a text; the parts of all texts advance together.
 PART = 256
 #: Bytes and rows of text that one step parses, and the bytes it may take for what the parts went through.
-STEP_BYTES, STEP_ROWS, TRACE_BYTES = 1 << 19, 2000, 24 << 20
+STEP_BYTES, STEP_ROWS, TRACE_BYTES = 1 << 19, 4000, 32 << 20
 #: Letters from which on a text's cost is held against the calibrated bound.
 JUDGED_LETTERS = 100
 #: The prediction for texts without a letter.
@@ -160,11 +161,45 @@ def _edges(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray, int]
     return np.fromiter(moves.keys(), np.int64, n), np.fromiter(moves.values(), np.int64, n), len(lengths)
 
 
+def _packed(keys: np.ndarray, moves: np.ndarray, width: int, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions as rows of states laid over each other: each state's base, and the table.
+
+    A state's transition by a symbol is at base + symbol, and the entry there holds the state
+    that it belongs to above 32 bits of next state, -1 if none. States with many transitions
+    are placed first; each round proposes a base for all that are left of a degree, and those
+    whose places are free and nobody else's are taken.
+    """
+    order = np.argsort(keys)
+    owner, symbol, move = keys[order] // width, keys[order] % width, moves[order]
+    degree = np.bincount(owner, minlength=states)
+    first = np.cumsum(degree) - degree
+    size = 1 << max(8, int(2 * len(keys)).bit_length())
+    table, base = np.full(size + width, -1, np.int64), np.zeros(states, np.int32)
+    for wanted in np.unique(degree[degree > 0])[::-1]:
+        left, turn = np.flatnonzero(degree == wanted), 0
+        edges = first[left][:, None] + np.arange(wanted)
+        while len(left):
+            turn += 1
+            place = mix(left.astype(np.uint64) + np.uint64(turn << 40)) % np.uint64(size)
+            at = place.astype(np.int64)[:, None] + symbol[edges]
+            free = np.flatnonzero((table[at] < 0).all(axis=1))
+            claim = np.repeat(left[free], wanted).reshape(len(free), wanted)
+            table[at[free]] = claim  # the last to claim a place has it
+            won = (table[at[free]] == claim).all(axis=1)
+            table[at[free]] = -1
+            taken = free[won]
+            base[left[taken]] = place[taken]
+            table[at[taken]] = left[taken][:, None] << 32 | move[edges[taken]]
+            stay = np.ones(len(left), bool)
+            stay[taken] = False
+            left, edges = left[stay], edges[stay]
+    return base, table
+
+
 class _Automata:
-    """The suffix automata of all languages as one hash table of transitions.
+    """The suffix automata of all languages in one packed table of transitions.
 
-    A text of n symbols has at most 3n transitions, whatever the alphabet. Slots are probed
-    one after the other from the key's hash on; an empty one says that the phrase ends.
+    A text of n symbols has at most 3n transitions, whatever the alphabet.
     """
 
     def __init__(self, sample: Sample):
@@ -175,54 +210,28 @@ class _Automata:
         self.symbol_of = np.zeros(sys.maxunicode + 1, np.int32)
         self.symbol_of[:] = len(alphabet)  # letters of no language
         self.symbol_of[alphabet] = np.arange(len(alphabet))
-        self.width = np.int64(len(alphabet) + 1)
-        self.roots, states, parts = [], 0, []
+        self.width = width = len(alphabet) + 1
+        roots, states, parts = [], 0, []
         for _, codes in texts:
-            keys, moves, count = _edges(self.symbol_of[codes].tolist(), int(self.width))
-            parts.append((keys + states * self.width, moves + states))
-            self.roots.append(states)
+            keys, moves, count = _edges(self.symbol_of[codes].tolist(), width)
+            parts.append((keys + states * width, moves + states))
+            roots.append(states)
             states += count
-        self.roots = np.array(self.roots, np.int32)
-        keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)])
-        moves = np.concatenate([m for _, m in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
-        self.power = max(4, int(3 * len(keys)).bit_length())
-        self.keys, self.moves = np.full(1 << self.power, -1, np.int64), np.zeros(1 << self.power, np.int32)
-        slots, left = self._slots(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[slots[left]] < 0
-            self.keys[slots[left[free]]] = keys[left[free]]
-            placed = self.keys[slots[left]] == keys[left]
-            self.moves[slots[left[placed]]] = moves[left[placed]]
-            left = left[~placed]
-            slots[left] = (slots[left] + 1) & (len(self.keys) - 1)
-        self.restarts = np.tile(self.roots[:, None], (1, int(self.width)))
-        for nth, (own, root) in enumerate(zip(parts, self.roots, strict=True)):
-            first = own[0] < (int(root) + 1) * self.width
-            self.restarts[nth, own[0][first] - int(root) * self.width] = own[1][first]
+        self.roots = np.array(roots, np.int32)
+        keys, moves = (np.concatenate([part[i] for part in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        self.base, self.table = _packed(keys, moves, width, max(1, states))
+        restarts = np.tile(self.roots[:, None], (1, width))
+        for nth, ((own, move), root) in enumerate(zip(parts, roots, strict=True)):
+            first = own < (root + 1) * width
+            restarts[nth, own[first] - root * width] = move[first]
+        self.restarts = restarts.ravel()
         self.bits = np.log2([max(2, len(codes)) for _, codes in texts])
 
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.power)).astype(np.int64)
-
-    def step(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next state of each, and whether a phrase ended before the symbol."""
-        keys = state * self.width + symbol
-        slots = self._slots(keys)
-        held = self.keys[slots]
-        move = self.moves[slots]
-        other = np.flatnonzero(held != keys)
-        ended = np.zeros(len(keys), bool)
-        while len(other):
-            empty = held[other] < 0
-            ended[other[empty]] = True
-            other = other[~empty]
-            slots[other] = (slots[other] + 1) & (len(self.keys) - 1)
-            held[other] = self.keys[slots[other]]
-            move[other] = self.moves[slots[other]]
-            other = other[held[other] != keys[other]]
-        done = np.flatnonzero(ended)
-        move[done] = self.restarts[language[done], symbol[done]]
-        return move, ended
+    def step(self, state: np.ndarray, symbol: np.ndarray, restart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each, and whether a phrase ended before the symbol; `restart` tells where it begins anew."""
+        found = self.table[self.base[state] + symbol]
+        ended = (found >> 32) != state
+        return np.where(ended, self.restarts[restart], found.astype(np.int32)), ended
 
     def phrases(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each text in each language; `symbols` holds the texts end to end."""
@@ -239,7 +248,7 @@ class _Automata:
             chosen = np.arange(first, min(first + group, len(self.roots)))
             count = self._parse(symbols, begin, size, nth > 0, chosen)
             for at, language in enumerate(chosen):
-                total[:, language] = np.bincount(owner, count[at], len(lengths))
+                total[:, language] = np.bincount(owner, count[:, at], len(lengths))
         total[lengths > 0] += 1  # the last phrase, which nothing ended
         return total
 
@@ -252,42 +261,57 @@ class _Automata:
         part's last state changes, so that the phrases are those of the whole text.
         """
         n, m, longest = len(begin), len(chosen), int(size.max())
-        states, counts = np.zeros((longest, m * n), np.int32), np.zeros((longest, m * n), np.int16)
-        size, begin, language = np.tile(size, m), np.tile(begin, m), np.repeat(chosen, n)
         order = np.argsort(-size, kind="stable")  # parts that end early leave together
-        sorted_sizes = -size[order]
-        state, count = self.roots[language], np.zeros(m * n, np.int16)
-        for step in range(longest):
-            live = order[: np.searchsorted(sorted_sizes, -step, side="left")]
-            move, ended = self.step(state[live], symbols[begin[live] + step], language[live])
-            count[live] += ended
-            state[live] = move
-            states[step, live], counts[step, live] = move, count[live]
-        last = size - 1
-        redo = np.flatnonzero(np.tile(follows, m))
-        start = state[redo - 1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        begin, size = begin[order], size[order]
+        live = np.searchsorted(-size, -np.arange(longest), side="left")
+        lanes = (chosen * self.width).astype(np.int32)
+        symbol = np.zeros((longest, n), np.int32)
+        states, counts = np.zeros((longest, n * m), np.int32), np.zeros((longest, n * m), np.int16)
+        state, count = np.tile(self.roots[chosen], (n, 1)), np.zeros((n, m), np.int16)
+        for step, k in enumerate(live.tolist()):
+            symbol[step, :k] = symbols[begin[:k] + step]
+            now = symbol[step, :k, None]
+            move, ended = self.step(state[:k], now, now + lanes)
+            count[:k] += ended
+            state[:k] = move
+            states[step, : k * m], counts[step, : k * m] = move.ravel(), count[:k].ravel()
+        last, every = np.repeat(size - 1, m), np.arange(n * m)
+        before_of, after_of = np.full(n * m, -1), np.full(n * m, -1)
+        second = np.flatnonzero(follows)
+        own, before = ((rank[part][:, None] * m + np.arange(m)).ravel() for part in (second, second - 1))
+        before_of[own], after_of[before] = before, own
+        # since `met` a part's counts are greater by `more` than those written
+        met, more = np.full(n * m, longest), np.zeros(n * m, np.int16)
+        redo = own
         while len(redo):
-            before = states[last[redo], redo]
-            at, now, fresh = np.arange(len(redo)), start, np.zeros(len(redo), np.int16)
+            again = redo[more[redo] != 0]
+            counts[:, again] += np.where(np.arange(longest)[:, None] >= met[again], more[again], 0).astype(np.int16)
+            met[again], more[again] = longest, 0
+            ends = states[last[redo], redo]
+            column, now = redo, states[last[before_of[redo]], before_of[redo]]
+            fresh, part, lane = np.zeros(len(redo), np.int16), redo // m, lanes[redo % m]
             for step in range(longest):
-                at = at[size[redo[at]] > step]
-                if not len(at):
+                if not len(column):
                     break
-                part = redo[at]
-                move, ended = self.step(now[at], symbols[begin[part] + step], language[part])
-                fresh[at] += ended
-                now[at] = move
-                met = move == states[step, part]
-                if met.any():
-                    counts[step:, part[met]] += (fresh[at] - counts[step, part])[met]
-                at, part = at[~met], part[~met]
-                states[step, part], counts[step, part] = now[at], fresh[at]
-            after = states[last[redo], redo]
-            changed = redo[after != before] + 1
-            changed = changed[changed < m * n]
-            redo = changed[np.tile(follows, m)[changed]]
-            start = states[last[redo - 1], redo - 1]
-        return counts[last, np.arange(m * n)].reshape(m, n)
+                stay = size[part] > step
+                if not stay.all():
+                    column, now, fresh, part, lane = column[stay], now[stay], fresh[stay], part[stay], lane[stay]
+                at = symbol[step, part]
+                now, ended = self.step(now, at, at + lane)
+                fresh += ended
+                same = now == states[step, column]
+                if same.any():
+                    both = column[same]
+                    met[both], more[both] = step, fresh[same] - counts[step, both]
+                    stay = ~same
+                    column, now, fresh, part, lane = column[stay], now[stay], fresh[stay], part[stay], lane[stay]
+                states[step, column], counts[step, column] = now, fresh
+            redo = after_of[redo[states[last[redo], redo] != ends]]
+            redo = redo[redo >= 0]
+        total = counts[last, every] + np.where(last >= met, more, 0)
+        return total.reshape(n, m)[rank]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], sample: Sample, with_text: bool = False) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ _SOUGHT = "place long, id long, chunk int, doc int, start int, stop int, context
 _SCHEMA = "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
 #: Rows that one suffix sort takes, where groups allow it: some 20 MB of suffixes, and as much for comparing them.
 _SORTED_ROWS = 5_000
+#: Suffixes whose bytes are spread out at once.
+_AT_ONCE = 1 << 15
 
 
 def _table(schema: str, columns: list) -> pa.Table:
@@ -71,6 +73,33 @@ def _runs(docs: pa.Table, answers: pa.Table, width: int, gram: int, buckets: int
     return _table(_RUNS, columns)
 
 
+def _hot_windows(texts: list[bytes], ids: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Windows that travel one by one: a hash of each one's bytes, whether an earlier document of the chunk has them, the bytes."""
+    ends = np.cumsum([0, *map(len, texts)])
+    data, at = np.frombuffer(b"".join(texts), np.uint8), ends[doc] + start
+    powers = sw.mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    windows, place = np.empty((len(at), width), np.uint8), np.empty(len(at), np.uint64)
+    for i in range(0, len(at), _AT_ONCE):
+        part = windows[i : i + _AT_ONCE] = data[at[i : i + _AT_ONCE, None] + np.arange(width)]
+        place[i : i + _AT_ONCE] = sw.mix((sw.byte_symbols()[part] * powers).sum(axis=1, dtype=np.uint64))
+    later = np.zeros(len(at), bool)
+    order = np.argsort(place, kind="stable")
+    first = 0
+    while first < len(order):  # some whole groups of equal hashes at a time
+        end = int(np.searchsorted(place, place[order[min(first + 4 * _AT_ONCE, len(order)) - 1]], side="right", sorter=order))
+        some = order[first:end]
+        later[some] = _factors(windows[some], ids[doc[some]]) >= width
+        first = end
+    return place.view(np.int64), later, windows
+
+
+def _binary(windows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an Arrow array."""
+    n, width = windows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(windows))])
+
+
 def _contexts(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     """Fetch the bytes of the runs that were asked for; pass on what is settled."""
     chunk = docs["chunk"][0].as_py() if len(docs) else 0
@@ -84,11 +113,7 @@ def _contexts(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     counts = (stop - start)[windows]
     one_doc = np.repeat(doc[windows], counts)
     one_start = np.repeat(start[windows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    one = [texts[d][a : a + width] for d, a in zip(one_doc, one_start, strict=True)]
-    symbols = sw.byte_symbols()[np.frombuffer(b"".join(one), np.uint8)]
-    edges = np.arange(len(one) + 1) * width
-    one_place = sw.segment_hashes(symbols, edges[:-1], edges[1:])
-    later = has_previous_factor(one, ids[one_doc], width) if len(one) else np.zeros(0, bool)
+    one_place, later, one = _hot_windows(texts, ids, one_doc, one_start, width)
     done_doc, done_start, done_stop = _ranges(
         np.concatenate([doc[flagged], one_doc[later]]),
         np.concatenate([start[flagged], one_start[later]]),
@@ -96,16 +121,15 @@ def _contexts(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     )
     keep = np.flatnonzero(~later)
     done_place = sw.mix(done_doc.astype(np.uint64) << np.uint64(32) | done_start.astype(np.uint64)).view(np.int64)
-    n = len(done_doc)
     docs_of = np.concatenate([done_doc, doc[whole], one_doc[keep]]).astype(np.int32)
     columns = [
-        np.concatenate([done_place, place[whole], one_place[keep].view(np.int64)]),
+        np.concatenate([done_place, place[whole], one_place[keep]]),
         ids[docs_of] if len(docs_of) else np.zeros(0, np.int64),
         np.full(len(docs_of), chunk, np.int32),
         docs_of,
         np.concatenate([done_start, start[whole], one_start[keep]]).astype(np.int32),
         np.concatenate([done_stop, stop[whole], one_start[keep] + 1]).astype(np.int32),
-        pa.array([*[None] * n, *context, *(one[i] for i in keep)], pa.binary()),
+        pa.concat_arrays([pa.nulls(len(done_doc), pa.binary()), pa.array(context, pa.binary()), _binary(one[keep])]),
     ]
     return _table(_SOUGHT, columns)
 
@@ -141,17 +165,24 @@ def longest_previous_factors(contexts: list[bytes], ids: np.ndarray, width: int)
     counts = sizes - (width - 1)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[at])
-    order = np.argsort(suffixes.view(f"S{width}").ravel(), kind="stable")
-    suffixes = suffixes[order]
-    common = np.zeros(len(order), np.int32)
-    differ = suffixes[1:] != suffixes[:-1]
-    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    del suffixes, differ
-    positions = np.repeat(ids, counts)[order]
+    return _factors(np.lib.stride_tricks.sliding_window_view(data, width)[at], np.repeat(ids, counts))
+
+
+def _factors(suffixes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each row of bytes, by its document."""
+    n, width = suffixes.shape
+    if not n:
+        return np.zeros(0, np.int32)
+    order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}").ravel(), kind="stable")
+    common = np.zeros(n, np.int32)
+    for i in range(0, n - 1, _AT_ONCE):
+        part = suffixes[order[i : i + _AT_ONCE + 1]]
+        differ = part[1:] != part[:-1]
+        common[i + 1 : i + 1 + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    positions = ids[order]
     before = nearest_smaller(positions, common)
-    after = nearest_smaller(positions[::-1], np.concatenate([common[1:], [0]])[::-1])[::-1]
-    found = np.empty(len(order), np.int32)
+    after = nearest_smaller(positions[::-1], np.append(common[1:], 0)[::-1])[::-1]
+    found = np.empty(n, np.int32)
     found[order] = np.maximum(before, after)
     return found
 

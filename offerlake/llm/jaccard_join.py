@@ -5,8 +5,9 @@ class is embedded as `SLOTS` tokens (slot, least hash), of which two sets share
 many as their Jaccard similarity says. A run splits all classes recursively: a bucket
 samples `BRANCH` slots, and its members go on to one child bucket for each of these
 tokens they have. Buckets of at most `leaf` members are compared by brute force on their
-tokens; what is still larger after `DEPTH` levels shares that many sampled tokens and is
-taken as alike. Runs repeat until two sets at the threshold part in all of them with a
+tokens. A larger one that has most of its parent's members is a group of near copies,
+which no sampled token parts: its members are taken as alike, and verified later as all
+are. Other large ones, such as those of a line that many texts have, are split on. Runs repeat until two sets at the threshold part in all of them with a
 probability below 1 - `recall`.
 
 What is found this way only gathers classes into clusters. Within a cluster all pairs of
@@ -31,7 +32,8 @@ from offerlake.llm.tables import checkpointed, in_small_batches, no_model
 
 SLOTS = 64
 BRANCH = 2
-DEPTH = 4
+#: Levels at most, and the share of a bucket that goes on into one child where splitting it is of no more use.
+DEPTH, DENSE = 12, 0.7
 #: Equal tokens (of SLOTS) from which two members of a small bucket count as alike: four
 #: standard deviations below what sets at the threshold share.
 _SLACK = 4.0
@@ -120,8 +122,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         child = mix(bucket[row] * _BASE + mix(tokens[row, slot].astype(np.uint64) << np.uint64(8) | slot.astype(np.uint64)))
         brief = [t.tobytes() for t in (tokens & 0xFF).astype(np.uint8)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(child.view(np.int64)), batch.column("node").take(pa.array(row)), pa.array([brief[i] for i in row], pa.binary())],
-            names=["bucket", "node", "brief"],
+            [pa.array(child.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("node", "members")), pa.array([brief[i] for i in row], pa.binary())],
+            names=["bucket", "node", "parent", "brief"],
         )
 
 
@@ -272,10 +274,11 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float, leaf: i
     """Edges that connect all classes which chosen paths bring together: `a`, `b`."""
     spread = SLOTS * threshold - _SLACK * math.sqrt(SLOTS * threshold * (1 - threshold))
     least = max(1, math.floor(spread))
-    level = classes.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs_for(threshold, recall)).cast("long"))).alias("bucket"), "node", "tokens")
+    runs = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs_for(threshold, recall)).cast("long"))).alias("bucket")
+    level = classes.select(runs, "node", F.lit(np.iinfo(np.int64).max).alias("members"), "tokens")
     found = []
     for depth in range(1, DEPTH + 1):
-        rows = level.mapInArrow(_split, "bucket long, node long, brief binary")
+        rows = level.mapInArrow(_split, "bucket long, node long, parent long, brief binary")
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low")).where("members > 1")
         met = checkpointed(rows.join(sizes, "bucket"))
         small = met.where(F.col("members") <= leaf).select("bucket", "node", "brief")
@@ -285,12 +288,12 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float, leaf: i
             .mapInArrow(lambda batches: _compare(batches, least), "a long, b long")
         )
         large = met.where(F.col("members") > leaf)
-        if not large.limit(1).count():
+        alike = (F.col("members") >= DENSE * F.col("parent")) | F.lit(depth == DEPTH)
+        found.append(large.where(alike & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b")))
+        left = large.where(~alike)
+        if not left.limit(1).count():
             break
-        if depth == DEPTH:
-            found.append(large.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-        else:
-            level = large.select("bucket", "node").join(classes.select("node", "tokens"), "node")
+        level = left.select("bucket", "node", "members").join(classes.select("node", "tokens"), "node")
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)

@@ -1,7 +1,8 @@
 """How well a candidate's name matches the expected one, from 0 to 100.
 
 The rules compare the names in ever looser forms; the first that holds gives the score.
-One row needs no other row, so Spark runs them as a pandas UDF over Arrow batches.
+One row needs no other row, so Spark runs them as a pandas UDF over Arrow batches. A name
+stands in many pairs, so a worker keeps the forms of the names it has met, up to a bound.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType
 
-from offerlake.functions.text import ABBREVIATIONS, PRODUCER_SUFFIXES, VARIANTS
+from offerlake.functions.text import ABBREVIATIONS, CLEANING, PRODUCER_SUFFIXES, VARIANTS
 
 # The scores depend on them.
 ORDINALS = {
@@ -27,24 +29,36 @@ NUMBER_WORDS = {
     "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "ten": "10", "ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9",
 }
-ROMAN_SIGNS = {chr(base + i): str(i + 1) for base in (0x2160, 0x2170) for i in range(10)}
+ROMAN_SIGNS = {
+    "Ⅰ": "1", "Ⅱ": "2", "Ⅲ": "3", "Ⅳ": "4", "Ⅴ": "5", "Ⅵ": "6", "Ⅶ": "7", "Ⅷ": "8", "Ⅸ": "9", "Ⅹ": "10",
+    "ⅰ": "1", "ⅱ": "2", "ⅲ": "3", "ⅳ": "4", "ⅴ": "5", "ⅵ": "6", "ⅶ": "7", "ⅷ": "8", "ⅸ": "9", "ⅹ": "10",
+}
+#: Endings that stay although they end in s.
+NO_PLURALS = ("ss", "us", "is", "as", "os", "ys")
 NOISE = (
     "barrel", "aged", "sour", "ale", "stout", "ipa", "collaborat", "batch", "edition", "series", "vol", "ver", "double",
-    "triple", "imperial", "hazy", "neipa",
+    "triple", "imperial", "hazy", "neipa", "shigakogen", "tamamura", "honten", "fresh", "hop", "wet", "dry", "anniversary",
+    "year",
 )
+DESCRIBING = ("sour", "ale", "stout", "ipa", "lager", "pilsner")
+#: Style words that an expected name may not have alone where the candidate is an IPA.
+NOT_IPA = ("weizen", "stout", "porter", "pilsner")
+#: Two products of one producer that share a word: the word, and the marks of the other product.
+SHARED_WORD, OTHER_KEY, OTHER_WORD, OTHER_NEW = "engi", "engiland", "land", "new"
 CORE_STYLES = (
     "Sake IPA", "Sake Ale", "Rice Ale", "Sake", "IPA", "DIPA", "TIPA", "Hazy IPA", "Double IPA", "Triple IPA", "NEIPA",
     "West Coast IPA", "Session IPA", "Stout", "Imperial Stout", "Pale Ale", "Lager", "Pilsner", "Sour", "Porter", "Ale",
     "Saison", "Gose",
 )
 CLOSE, TYPO = 0.78, 0.82
+#: Names whose forms a worker keeps; bounds its memory only.
+KEPT_NAMES = 1 << 15
 
 _WORD = re.compile(r"\b[a-zA-Z]+\b")
 _DATED = re.compile(r"\s*[(\[（]\s*(?:20)?\d{2}(?:[./-]\d{1,2})?\s*[)\]）]\s*")
 _END_DATE = re.compile(r"\s+(?:20)?\d{2}[./-]\d{1,2}$")
 _BRACKETS = re.compile(r"[（(]([^）)]*)[）)]")
-_HOPPED = re.compile(r"\b(?:[TDS]DH|(?:triple|double|single)\s+dry\s+hopped)\s+", re.I)
-_ISSUE = re.compile(r"#\d+|\b(?:vol\.?|batch)\s*\d+|\s+\d+x\b", re.I)
+_CLEANING = [(re.compile(pattern), put) for pattern, put in CLEANING]
 _END_STYLE = re.compile(rf"\s+(?:{'|'.join(sorted(CORE_STYLES, key=len, reverse=True))})\s*$", re.I)
 _COLLABORATORS = re.compile(r"\s+(?:x|X|with)\s+|\s*[×&/+]\s*|\s*w/\s*")
 
@@ -53,6 +67,9 @@ def key(name: str | None) -> str:
     return "".join(c for c in name or "" if c.isalnum()).lower()
 
 
+_VARIANT_KEYS = tuple(dict.fromkeys(key(v) for v in VARIANTS))
+
+
 def expand(name: str) -> str:
     name = re.sub(r"\bLR\s*(\d+)\b", r"Limited Release \1", name, flags=re.I)
     return re.sub(rf"\b(?:{'|'.join(ABBREVIATIONS)})\b", lambda m: ABBREVIATIONS[m[0].lower()], name, flags=re.I)
@@ -71,9 +88,9 @@ def _singular(word: str) -> str:
     low, n = word.lower(), len(word)
     if n > 4 and low.endswith("ies"):
         return word[:-3] + "y"
-    if n > 4 and re.search("[xzsh]es$", low):
+    if n > 4 and low.endswith(("xes", "zes", "ses", "hes")):
         return word[:-2]
-    return word[:-1] if n > 3 and re.search("(?<![suiaoy])s$", low) else word
+    return word[:-1] if n > 3 and low.endswith("s") and not low.endswith(NO_PLURALS) else word
 
 
 def singulars(name: str) -> str:
@@ -81,10 +98,10 @@ def singulars(name: str) -> str:
 
 
 def clean(name: str) -> str:
-    """The name without series, dates, containers, treatments and trailing styles."""
-    name = re.split(r"[〜~:]|シリーズ", name)[0]
-    name = _ISSUE.sub(" ", _END_DATE.sub("", _DATED.sub(" ", _HOPPED.sub("", name))))
-    return " ".join(_END_STYLE.sub("", _BRACKETS.sub(" ", name)).split())
+    """The name without series, dates, containers, treatments, notes and styles: `CLEANING`, rule by rule."""
+    for pattern, put in _CLEANING:
+        name = pattern.sub(put, name)
+    return " ".join(name.split())
 
 
 def core(name: str) -> str:
@@ -95,22 +112,25 @@ def core(name: str) -> str:
     return whole if len(short) <= 3 or title else short
 
 
-def variants(name: str) -> set[str]:
+@lru_cache(maxsize=KEPT_NAMES)
+def variants(name: str) -> frozenset[str]:
     own = key(expand(name))
-    return {v for v in (key(v) for v in VARIANTS) if v in own}
+    return frozenset(v for v in _VARIANT_KEYS if v in own)
 
 
 def variants_differ(candidate: str, expected: str) -> bool:
     """Whether one has a variant that the other lacks.
 
-    An expected name without variants may be the beginning of a candidate that goes on
-    with them: then they only describe it.
+    An expected name without variants may be the beginning of a candidate whose further
+    words have its variants or a style: then they only describe it.
     """
     one, two = variants(candidate), variants(expected)
     if one == two:
         return False
     long, short = key(candidate), key(expected)
-    return bool(two) or len(short) < 4 or not long.startswith(short)
+    if two or len(short) < 4 or not long.startswith(short):
+        return True
+    return not any(word in long[len(short) :] for word in (*one, *DESCRIBING))
 
 
 def alike(a: str, b: str, producer: str | None = None) -> bool:
@@ -118,9 +138,9 @@ def alike(a: str, b: str, producer: str | None = None) -> bool:
     short, long = sorted((a, b), key=len)
     if a == b or len(short) < 3 or short not in long:
         return bool(a) and a == b
-    if SequenceMatcher(None, short, long).ratio() >= CLOSE:
+    if 2 * len(short) / (len(short) + len(long)) >= CLOSE:  # their ratio, as one holds the other
         return True
-    rest = long.replace(short, "")
+    rest = re.sub(r"\b20\d{2}\b", "", long.replace(short, ""))
     maker = key(producer)
     words = [w for w in re.findall("[a-z0-9]+", (producer or "").lower()) if len(w) >= 3]
     return any(n in rest for n in NOISE) or bool(maker) and (maker in rest or rest in maker) or any(w in rest for w in words)
@@ -133,6 +153,7 @@ def strip_producer(name: str) -> str:
     return name.strip()
 
 
+@lru_cache(maxsize=KEPT_NAMES)
 def producers_agree(candidate: str | None, expected: str | None) -> bool:
     """Whether two producers can be one, or one of those who collaborated; unknown ones agree."""
     if not candidate or not expected:
@@ -140,17 +161,37 @@ def producers_agree(candidate: str | None, expected: str | None) -> bool:
     a, b = key(candidate), key(expected)
     if a in b or b in a:
         return True
-    a, b = key(strip_producer(candidate)), key(strip_producer(expected))
-    if a and a == b or len(b) >= 4 and alike(a, b):
+    one, two = strip_producer(candidate), strip_producer(expected)
+    a, b = key(one), key(two)
+    if a and a == b:
         return True
+    if a and len(b) >= 4 and (a in b or b in a):
+        # the expected name stands in the candidate's as whole words, or next to nothing is left
+        if re.search(rf"\b{re.escape(two.lower())}\b", one.lower()) or alike(a, b):
+            return True
     parts = [key(p) for p in _COLLABORATORS.split(expected)]
     return len(parts) > 1 and any(p and (p in key(candidate) or key(candidate) in p) for p in parts)
 
 
+def _words(text: str | None) -> set[str]:
+    return set(re.findall("[a-z0-9]+", (text or "").lower()))
+
+
+def _names_clash(candidate: str, expected: str) -> bool:
+    """Whether one name is the product that shares its word with the other, and only one of them is."""
+
+    def other(name: str, new: bool) -> bool:
+        return OTHER_KEY in key(name) or OTHER_WORD in _words(name) or new and OTHER_NEW in _words(name)
+
+    return any(
+        SHARED_WORD in _words(plain) and other(marked, True) and not other(plain, False)
+        for plain, marked in ((expected, candidate), (candidate, expected))
+    ) or (SHARED_WORD in _words(expected) and SHARED_WORD not in _words(candidate))
+
+
 def _styles_clash(candidate: str, expected: str, style: str | None) -> bool:
-    words = lambda t: set(re.findall("[a-z0-9]+", (t or "").lower()))
-    missing = words(expected) & {"weizen", "stout", "porter", "pilsner"}
-    return "ipa" in words(style) and bool(missing - words(candidate) - words(style))
+    missing = (_words(expected) & set(NOT_IPA)) - _words(candidate) - _words(style)
+    return "ipa" in _words(style) and bool(missing)
 
 
 def _parts(name: str) -> list[str]:
@@ -168,6 +209,27 @@ FORMS: list[tuple[Callable[[str], str], int, int]] = [
     (lambda n: core(clean(n)), 75, 70),
     (lambda n: core(singulars(digits(ordinals(clean(n))))), 60, 60),
 ]
+CORE_FORM = 5
+
+
+@lru_cache(maxsize=KEPT_NAMES)
+def _forms(name: str) -> tuple[str, ...]:
+    return tuple(key(form(name)) for form, _, _ in FORMS)
+
+
+@lru_cache(maxsize=KEPT_NAMES)
+def _part_keys(name: str) -> tuple[str, ...]:
+    """Keys of a name's parts, where they are long enough to mean something."""
+    keys = [key(core(part)) for part in _parts(clean(name))]
+    return tuple(k for k in keys if len(k) >= (3 if k.isascii() else 2))
+
+
+def _nearly(a: str, b: str) -> bool:
+    """Whether two keys differ by a typing error; bounds of the ratio go first, as they are cheap."""
+    if min(len(a), len(b)) < 4 or 2 * min(len(a), len(b)) < TYPO * (len(a) + len(b)):
+        return False
+    matcher = SequenceMatcher(None, a, b)
+    return matcher.quick_ratio() >= TYPO and matcher.ratio() >= TYPO
 
 
 def score(candidate: str | None, producer: str | None, style: str | None, expected: str | None, maker: str | None) -> int:
@@ -176,11 +238,12 @@ def score(candidate: str | None, producer: str | None, style: str | None, expect
         return 100
     if not candidate or not producers_agree(producer, maker) or variants_differ(candidate, expected):
         return 0
-    if not key(candidate) or not key(expected):
+    ours, theirs = _forms(candidate), _forms(expected)
+    if not ours[0] or not theirs[0]:
         return 0
-    if key(candidate) != key(expected) and _styles_clash(candidate, expected, style):
+    if ours[0] != theirs[0] and (_styles_clash(candidate, expected, style) or _names_clash(candidate, expected)):
         return 0
-    forms = [(key(form(candidate)), key(form(expected)), equal, near) for form, equal, near in FORMS]
+    forms = [(a, b, equal, near) for a, b, (_, equal, near) in zip(ours, theirs, FORMS, strict=True)]
     # equal plain or expanded names come before any that are only similar
     for a, b, equal, _ in forms[:2]:
         if a == b:
@@ -190,12 +253,9 @@ def score(candidate: str | None, producer: str | None, style: str | None, expect
             return equal
         if a and b and alike(a, b, maker):
             return near
-    least = lambda p: 3 if p.isascii() else 2
-    parts = [[k for k in (key(core(p)) for p in _parts(n)) if len(k) >= least(k)] for n in (candidate, expected)]
-    if any(alike(a, b, maker) for a in parts[0] for b in parts[1]):
+    if any(alike(a, b, maker) for a in _part_keys(candidate) for b in _part_keys(expected)):
         return 75
-    a, b = key(core(clean(candidate))), key(core(clean(expected)))
-    return 70 if min(len(a), len(b)) >= 4 and SequenceMatcher(None, a, b).ratio() >= TYPO else 0
+    return 70 if _nearly(ours[CORE_FORM], theirs[CORE_FORM]) else 0
 
 
 @F.pandas_udf(IntegerType())

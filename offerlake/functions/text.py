@@ -41,6 +41,45 @@ EXPIRY = r"((?:賞味)?期限[^】\)]+)"
 COLLABORATION = r"\s+(?:x|X|with)\s+|\s*[×&/+]\s*|\s*w/\s*"
 
 
+# What a name is cleaned of, in this order.
+CLEANING = [
+    (r"[〜~].*$", ""),
+    (r"シリーズ.*$", ""),
+    (r"(?i)\b(?:TDH|DDH|SDH)\s+", ""),
+    (r"(?i)\b(?:Triple|Double|Single)\s+Dry\s+Hopped\s+", ""),
+    (r"\s*[(\[（]\s*(?:20)?\d{2}(?:[./-]\d{1,2})?\s*[)\]）]\s*", " "),
+    (r"\s+(?:20)?\d{2}[./-]\d{1,2}$", ""),
+    (r"#\d+", ""),
+    (r"(?i)Vol\.?\s*\d+", ""),
+    (r"(?i)Batch\s*\d+", ""),
+    (r"(?i)\s*[（(][^）)]*(?:can|bottle|keg|缶|瓶|生樽)[^）)]*[）)]", ""),
+    (r"（[^）]*版[^）]*）", ""),
+    (r":.*$", ""),
+    (r"(?i)\s*\([^)]*(?:IPA|Lager|Stout|Ale|Saison|Porter|Pilsner|Pale|Hazy|DDH|TDH|DIPA|TIPA|Imperial|Session)[^)]*\)", ""),
+    (r"\s*\([^)]*w/[^)]*\)", ""),
+    (r"(?i)\s+(?:Imperial|Russian Imperial|American Imperial)\s+(?:Stout|IPA|Porter|Lager|Pale Ale)\b", ""),
+    (r"(?i)\s+(?:West Coast|East Coast|New England|Hazy|Session|Double|Triple)\s+(?:IPA|Pale Ale|Lager)\b", ""),
+    (r"(?i)\s+(?:Sour|Fruited|Barrel-Aged|Oak-Aged)\s+(?:Ale|Beer|Stout|IPA)\b", ""),
+    (
+        r"(?i)\s+(?:Sake IPA|Sake Ale|Rice Ale|Sake|Hazy IPA|Double IPA|Triple IPA|West Coast IPA|Session IPA|NEIPA|IPA|DIPA|TIPA"
+        r"|Stout|Porter|Lager|Pilsner|Saison|Ale)$",
+        "",
+    ),
+    (r"-[^-]+編-?$", ""),
+    (r"－[^－]+編－?$", ""),
+    (r"\s+\d+[xX]\s*", " "),
+    (r"(?i)\bDR\.\s*", "Dr "),
+    (r"(?i)\bMR\.\s*", "Mr "),
+    (r"(?i)\bST\.\s*", "St "),
+    (r"\([^)]+\)", ""),
+]
+
+
+def cleaned(name: Column) -> Column:
+    """The name without series, dates, containers, treatments, notes and styles: `CLEANING`, rule by rule."""
+    return collapse_spaces(reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), CLEANING, name))
+
+
 def _literal(word: str) -> str:
     """A word as a pattern."""
     return "".join(f"\\{c}" if c in ".-()+" else c for c in word)

@@ -9,7 +9,15 @@ from offerlake.functions import text
 from offerlake.plans.roles import Roles
 
 DEAD = "Dead Link"
-ITEM = ("price_value", "url", "shop", "stock_status", "first_seen", "name", "is_sale")
+#: What a group keeps of each offer, and takes the greatest of; columns that a view lacks are left out.
+ITEM = (
+    "price_value", "url", "shop", "stock_status", "first_seen", "name", "is_sale", "last_seen", "image", "sale_tag", "expiry_notice",
+    "is_set",
+)
+DESCRIPTIVE = (
+    "product_name", "producer_name", "style", "rating", "location", "product_type", "abv", "ibu", "rating_count", "product_image",
+    "producer_name_jp", "title_name_jp", "sale_tag", "expiry_notice",
+)
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
@@ -45,14 +53,14 @@ def group_view(wide: DataFrame) -> DataFrame:
         .groupBy("product_url")
         .agg(
             F.max("name").alias("original_name"),
-            *(F.max(c).alias(c) for c in ("product_name", "producer_name", "style", "rating", "location", "product_type")),
+            *(F.max(c).alias(c) for c in DESCRIPTIVE if c in wide.columns),
             F.bool_or("is_set").alias("is_set"),
             F.bool_or("is_sale").alias("is_sale"),
             F.min("price_value").alias("min_price"),
             F.max("price_value").alias("max_price"),
             F.max("first_seen").alias("newest_seen"),
             F.count(F.lit(1)).alias("total_items"),
-            F.array_sort(F.collect_list(F.struct(*ITEM))).alias("items"),
+            F.array_sort(F.collect_list(F.struct(*(c for c in ITEM if c in wide.columns)))).alias("items"),
         )
     )
 

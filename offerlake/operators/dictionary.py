@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from offerlake.functions import text
 
@@ -31,27 +37,63 @@ def lookup(texts: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     return texts.join(dictionary, F.lower(F.trim(F.col(column))) == F.col("key"), "left").drop("key")
 
 
+#: Bytes of keys that one automaton holds, which is sent to every task.
+PART_BYTES = 16 << 20
+
+
+def _find(batches: Iterator[pa.RecordBatch], keys: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The longest key of each entity in each text; `keys` holds (key, number of its entity)."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for key, entity in keys.value:
+        automaton.add_word(key, (-len(key), key, entity))
+    automaton.make_automaton()
+    for batch in batches:
+        rows, entities, found = [], [], []
+        for row, text_ in enumerate(batch.column("_text").to_pylist()):
+            best: dict[int, tuple[int, str]] = {}
+            for _, (size, key, entity) in automaton.iter(text_ or ""):
+                if entity not in best or (size, key) < best[entity]:
+                    best[entity] = (size, key)
+            rows += [row] * len(best)
+            entities += best
+            found += [key for _, key in best.values()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(entities, pa.int64()), pa.array(found, pa.string())],
+            names=["_id", "_entity", "key"],
+        )
+
+
 def find_in_texts(texts: DataFrame, id_col: str, column: str, dictionary: DataFrame) -> DataFrame:
     """Dictionary keys that a text holds as a substring: `id_col`, `entity`, `key` (the longest).
 
-    Keys may begin and end inside words, so texts and keys meet by a trigram: the first
-    of the key, wherever it is in the text; keys of one and two characters by themselves.
-    Only ids travel with the grams; the text comes back for the keys it may hold.
+    Keys of any length may begin and end inside words, so no split into words finds them: an
+    automaton over the keys reads each text once, in Arrow batches where the text lies. The
+    keys are cut into parts of bounded bytes by a hash of their entity; each part is sent to
+    the tasks on its own, and the texts are read once for each part. Of keys with the same
+    length the first by text is given; rows with equal ids count together; null texts hold nothing.
     """
-    low = F.lower(F.col(column))
-    keyed = dictionary.where(F.length("key") > 0).withColumn("gram", F.substring("key", 1, 3))
-    lengths = [r.n for r in keyed.select(F.length("gram").alias("n")).distinct().collect()]
-
-    def cut(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(n))))
-
-    cuts = F.concat(*map(cut, sorted(lengths))) if lengths else F.array().cast("array<string>")
-    grams = texts.select(id_col, F.explode(F.array_distinct(cuts)).alias("gram"))
-    likely = grams.join(keyed, "gram").select(id_col, "entity", "key").distinct()
-    found = texts.select(id_col, low.alias("low")).join(likely, id_col).where(F.contains("low", F.col("key")))
-    best = F.min(F.struct((-F.length("key")).alias("n"), "key")).alias("best")  # the longest, ties by text
-    return found.groupBy(id_col, "entity").agg(best).select(id_col, "entity", "best.key")
+    spark = texts.sparkSession
+    keyed = dictionary.where(F.length("key") > 0).select("key", "entity").distinct()
+    size = keyed.agg(F.sum(F.octet_length("key") + 64)).head()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    dealt = keyed.withColumn("part", F.pmod(F.xxhash64("entity"), F.lit(parts)))
+    rows = texts.select(F.col(id_col).alias("_id"), F.lower(F.col(column)).alias("_text"))
+    kind = texts.schema[id_col].dataType.simpleString()
+    entities = dictionary.schema["entity"].dataType
+    found = None
+    for part in range(parts):
+        own = dealt.where(F.col("part") == part).toPandas()
+        numbers, names = pd.factorize(own["entity"])
+        keys = spark.sparkContext.broadcast(list(zip(own["key"], numbers.tolist(), strict=True)))
+        hits = rows.mapInArrow(lambda batches, keys=keys: _find(batches, keys), f"_id {kind}, _entity long, key string")
+        listed = [(i, name.item() if hasattr(name, "item") else name) for i, name in enumerate(names)]
+        named = spark.createDataFrame(listed, StructType([StructField("_entity", LongType()), StructField("entity", entities)]))
+        hits = hits.join(F.broadcast(named), "_entity").select("_id", "entity", "key")  # as many as the part has keys at most
+        found = hits if found is None else found.unionByName(hits)
+    best = F.min(F.struct((-F.length("key")).alias("n"), "key")).alias("best")
+    return found.groupBy(F.col("_id").alias(id_col), "entity").agg(best).select(id_col, "entity", "best.key")
 
 
 def propose_aliases(entities: DataFrame) -> DataFrame:

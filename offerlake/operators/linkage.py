@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.functions import text, titles
+from offerlake.functions import matching
 from offerlake.functions.matching import match_score, producers_match
 from offerlake.operators.catalog import has_product
 
@@ -198,10 +199,19 @@ def link(wanted: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def wrong_variants(linked: DataFrame) -> DataFrame:
-    """Links whose two names disagree on variants: `url`, `product_url`, and what they lack."""
+    """Links whose two names disagree on variants: `url`, `product_url`, and what they lack.
+
+    As in the score, a product's name may go on after an offer's that has no variants, if
+    what follows has the variants or a style.
+    """
     ours, theirs = text.variants(F.col("name")), text.variants(F.col("product_name"))
+    long, short = text.key(F.col("product_name")), text.key(F.col("name"))
+    rest = F.substr(long, F.length(short) + 1)
+    describing = F.array(*map(F.lit, matching.DESCRIBING))
+    described = F.exists(F.concat(F.transform(F.col("theirs"), text.key), describing), lambda w: F.contains(rest, w))
+    extends = (F.size("ours") == 0) & (F.length(short) >= 4) & F.startswith(long, short) & described
     both = linked.withColumn("ours", ours).withColumn("theirs", theirs)
-    return both.where(F.col("ours") != F.col("theirs")).select(
+    return both.where((F.col("ours") != F.col("theirs")) & ~extends).select(
         "url",
         "product_url",
         F.array_join(F.array_except("ours", "theirs"), ",").alias("only_ours"),

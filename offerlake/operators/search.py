@@ -28,7 +28,9 @@ def _shared(spec: SearchSpec, text: tuple[str, ...], seen: str, columns: list[st
     found = [contains_any(text, spec.search)] if spec.search else []
     ranges = (("abv", ">=", spec.min_abv), ("abv", "<=", spec.max_abv), ("ibu", ">=", spec.min_ibu), ("ibu", "<=", spec.max_ibu), ("rating", ">=", spec.min_rating))
     for column, side, bound in ranges:
-        if bound is not None and column in columns:
+        if bound is not None:
+            if column not in columns:
+                raise ValueError(f"the view has no {column} to search by")
             found.append(F.col(column) >= bound if side == ">=" else F.col(column) <= bound)
     for column, wanted in (("style", spec.styles), ("producer_name", spec.producers)):
         if wanted:
@@ -119,13 +121,14 @@ def visible_items(groups: DataFrame, stock: str = "in_stock") -> DataFrame:
     """The offers of each group that are shown, cheapest first (`place` from 1).
 
     Sold-out offers of a shop that still has stock are hidden, and of those left only the
-    latest of each shop is shown. Offers without a price, or priced zero, come last.
+    latest seen of each shop is shown, the cheaper of two. Offers without a price, or priced zero, come last.
     """
     items = groups.select("product_url", F.explode("items").alias("item")).select("product_url", "item.*")
     items = items.withColumn("out", is_out(F.col("stock_status")))
     shop = Window.partitionBy("product_url", "shop")
-    latest = Window.partitionBy("product_url", "shop", "out").orderBy(F.desc_nulls_last("first_seen"), "url")
     price = F.when(F.col("price_value") > 0, F.col("price_value"))
+    seen = "last_seen" if "last_seen" in items.columns else "first_seen"
+    latest = Window.partitionBy("product_url", "shop", "out").orderBy(F.desc_nulls_last(seen), price.asc_nulls_last(), "url")
     cheap = Window.partitionBy("product_url").orderBy(price.asc_nulls_last(), "url")
     kept = (
         items.withColumn("stocked", F.min("out").over(shop) == F.lit(False))

@@ -32,6 +32,8 @@ def benchmark_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.coalesce(status, F.when(key % 2 == 0, "Dead Link")).alias("stock_status"),
         F.col("o_orderpriority").alias("shop"),
         F.col("o_orderdate").alias("first_seen"),
+        (F.col("o_orderdate") + F.make_dt_interval((key % 30).cast("int"))).alias("last_seen"),
+        F.when(key % 5 != 0, F.concat(F.lit("/img/"), key.cast("string"))).alias("image"),
         F.when(key % 7 == 0, None)
         .when(key % 11 == 0, F.concat(F.lit("/search?q="), F.col("o_custkey").cast("string")))
         .otherwise(F.col("o_custkey").cast("string"))
@@ -44,6 +46,7 @@ def benchmark_roles(spark: SparkSession, sf_dir: str) -> Roles:
         .agg(
             F.when(kind == "A", "beer").when(kind == "N", "set").otherwise("glass").alias("product_type"),
             F.bool_or(F.col("l_linenumber") > 6).alias("is_set"),
+            F.when(kind != "N", F.concat(F.lit("品"), kind)).alias("title_name_jp"),
         )
     )
     product = read(spark, sf_dir, "customer").select(
@@ -51,11 +54,16 @@ def benchmark_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.col("c_name").alias("product_name"),
         F.col("c_mktsegment").alias("style"),
         F.col("c_acctbal").alias("rating"),
+        ((F.col("c_custkey") % 140) / 10).alias("abv"),
+        F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey") % 120).alias("ibu"),
+        (F.col("c_custkey") * 7 % 1000).alias("rating_count"),
+        F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("/label/"), F.col("c_custkey").cast("string"))).alias("product_image"),
         F.col("c_nationkey").cast("string").alias("producer_url"),
     )
     producer = read(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("string").alias("producer_url"),
         F.col("n_name").alias("producer_name"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("醸造所"), F.col("n_nationkey").cast("string"))).alias("producer_name_jp"),
         F.col("n_regionkey").cast("string").alias("location"),
     )
     return Roles(offers, extraction, product, producer)

@@ -29,25 +29,30 @@ offers AS (
     o_totalprice AS price_value,
     CASE WHEN o_orderstatus = 'F' THEN 'In Stock' WHEN o_orderstatus = 'O' THEN 'Sold Out'
       WHEN o_orderkey % 2 = 0 THEN 'Dead Link' END AS stock_status,
-    o_orderpriority AS shop, o_orderdate AS first_seen,
+    o_orderpriority AS shop, o_orderdate AS first_seen, o_orderdate + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS last_seen,
+    CASE WHEN o_orderkey % 5 <> 0 THEN concat('/img/', o_orderkey) END AS image,
     CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN concat('/search?q=', o_custkey)
       ELSE CAST(o_custkey AS VARCHAR) END AS product_url
   FROM orders
 ), extraction AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS url,
     CASE max(l_returnflag) WHEN 'A' THEN 'beer' WHEN 'N' THEN 'set' ELSE 'glass' END AS product_type,
-    bool_or(l_linenumber > 6) AS is_set
+    bool_or(l_linenumber > 6) AS is_set, CASE WHEN max(l_returnflag) <> 'N' THEN concat('品', max(l_returnflag)) END AS title_name_jp
   FROM lineitem GROUP BY l_orderkey
 ), product AS (
   SELECT CAST(c_custkey AS VARCHAR) AS product_url, c_name AS product_name, c_mktsegment AS style,
-    c_acctbal AS rating, CAST(c_nationkey AS VARCHAR) AS producer_url FROM customer
+    c_acctbal AS rating, (c_custkey % 140) / 10 AS abv, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 120 END AS ibu,
+    c_custkey * 7 % 1000 AS rating_count, CASE WHEN c_custkey % 4 <> 0 THEN concat('/label/', c_custkey) END AS product_image,
+    CAST(c_nationkey AS VARCHAR) AS producer_url FROM customer
 ), producer AS (
   SELECT CAST(n_nationkey AS VARCHAR) AS producer_url, n_name AS producer_name,
-    CAST(n_regionkey AS VARCHAR) AS location FROM nation
+    CAST(n_regionkey AS VARCHAR) AS location, CASE WHEN n_nationkey % 2 = 0 THEN concat('醸造所', n_nationkey) END AS producer_name_jp
+  FROM nation
 ), wide AS (
   SELECT o.*, regexp_matches(o.name, '(?i)[0-9.]+%\s*OFF|SALE') AS is_sale,
     nullif(regexp_extract(o.name, '[0-9.]+%\s*OFF|SALE!*'), '') AS sale_tag,
-    e.product_type, e.is_set, p.product_name, p.style, p.rating, p.producer_url, r.producer_name, r.location
+    e.product_type, e.is_set, p.product_name, p.style, p.rating, p.producer_url, r.producer_name, r.location,
+    p.abv, p.ibu, p.rating_count, p.product_image, r.producer_name_jp, e.title_name_jp
   FROM offers o LEFT JOIN extraction e ON o.url = e.url LEFT JOIN product p ON o.product_url = p.product_url
   LEFT JOIN producer r ON p.producer_url = r.producer_url
   WHERE o.stock_status IS DISTINCT FROM 'Dead Link'
@@ -55,12 +60,13 @@ offers AS (
   SELECT product_url, max(name) AS original_name, max(product_name) AS product_name, max(producer_name) AS producer_name,
     max(style) AS style, max(rating) AS rating, max(location) AS location, max(product_type) AS product_type,
     bool_or(is_set) AS is_set, bool_or(is_sale) AS is_sale, min(price_value) AS min_price, max(price_value) AS max_price,
-    max(first_seen) AS newest_seen, count(*) AS total_items
+    max(first_seen) AS newest_seen, count(*) AS total_items, max(abv) AS abv, max(ibu) AS ibu, max(rating_count) AS rating_count,
+    max(product_image) AS product_image, max(producer_name_jp) AS producer_name_jp, max(title_name_jp) AS title_name_jp, max(sale_tag) AS sale_tag
   FROM wide WHERE product_url IS NOT NULL AND product_url NOT LIKE '%/search?%' GROUP BY product_url
 )
 """
-WIDE = "url, name, price_value, stock_status, shop, first_seen, product_url, is_sale, sale_tag, product_type, is_set, product_name, style, rating, producer_name, location"
-GROUP = "product_url, original_name, product_name, producer_name, style, rating, location, product_type, is_set, is_sale, min_price, max_price, newest_seen, total_items"
+WIDE = "url, name, price_value, stock_status, shop, first_seen, product_url, is_sale, sale_tag, product_type, is_set, product_name, style, rating, producer_name, location, last_seen, image, abv, ibu, rating_count, product_image, producer_name_jp, title_name_jp"
+GROUP = "product_url, original_name, product_name, producer_name, style, rating, location, product_type, is_set, is_sale, min_price, max_price, newest_seen, total_items, abv, ibu, rating_count, product_image, producer_name_jp, title_name_jp, sale_tag"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -135,6 +141,7 @@ _ROW_FILTERS: dict[str, tuple[SearchSpec, str]] = {
     "filter_link_present": (SearchSpec(link="linked", stock="all"), "product_url IS NOT NULL AND product_url NOT LIKE '%/search?%'"),
     "filter_recent": (SearchSpec(days=300, as_of=AS_OF, stock="all"), "first_seen >= TIMESTAMP '1998-08-02' - INTERVAL 300 DAY"),
     "filter_sale": (SearchSpec(only_sale=True, stock="all"), "is_sale"),
+    "filter_abv_ibu": (SearchSpec(min_abv=4.5, max_abv=9.0, min_ibu=20, max_ibu=80, stock="all"), "abv >= 4.5 AND abv <= 9 AND ibu >= 20 AND ibu <= 80"),
     "filter_producer": (SearchSpec(producers=("FRANCE", "NATION_3", "CHINA"), stock="all"), "producer_name IN ('FRANCE', 'NATION_3', 'CHINA')"),
 }
 
@@ -159,6 +166,8 @@ _GROUP_FILTERS: dict[str, tuple[SearchSpec, str]] = {
     "contains_not_in_shop": (SearchSpec(stock="sold_out", shops=("1-URGENT",)), f"NOT {_IN_STOCK.format(_ONE)} AND {_HAS.format(_ONE)}"),
     "contains_multi": (SearchSpec(shops=("1-URGENT", "5-LOW")), _IN_STOCK.format(_TWO)),
     "contains_shop": (SearchSpec(shops=("1-URGENT", "5-LOW"), stock="all"), _HAS.format(_TWO)),
+    "search_groups_text": (SearchSpec(search="RaNcE", stock="all"), "contains(lower(coalesce(product_name, '')), 'rance') OR contains(lower(coalesce(producer_name, '')), 'rance')"),
+    "filter_group_abv": (SearchSpec(min_abv=10.0, max_ibu=50, stock="all"), "g.abv >= 10 AND g.ibu <= 50"),
     "filter_group_having": (SearchSpec(min_rating=2000.0, styles=("BUILDING",), stock="all", only_sale=True), "g.rating >= 2000 AND g.style = 'BUILDING' AND g.is_sale"),
 }
 
@@ -181,6 +190,7 @@ _SORTED = {
     "price_desc": "price_value DESC NULLS LAST",
     "rating_desc": "rating DESC NULLS LAST",
     "name_asc": "name ASC NULLS LAST",
+    "abv_desc": "abv DESC NULLS LAST",
 }
 
 
@@ -197,6 +207,44 @@ for _name, _by in _SORTED.items():
     ORACLES[f"sort_page_{_name}"] = f"WITH {ROLES} SELECT {WIDE} FROM wide ORDER BY {_by}, url LIMIT 50 OFFSET 100"
 
 
+_SORTED_GROUPS = {
+    "newest": "newest_seen DESC NULLS LAST",
+    "price_asc": "min_price ASC NULLS LAST",
+    "price_desc": "max_price DESC NULLS LAST",
+    "rating_desc": "rating DESC NULLS LAST",
+    "name_asc": "product_name ASC NULLS LAST",
+    "abv_desc": "abv DESC NULLS LAST",
+}
+
+
+def _sorted_groups(sort: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        everything = wide(spark, sf_dir)
+        spec = SearchSpec(sort=sort, stock="all", page=2, limit=30)
+        return search.search_groups(everything, catalog.group_view(everything), spec).rows.select(*columns(GROUP))
+
+    return run
+
+
+for _name, _by in _SORTED_GROUPS.items():
+    QUERIES[f"sort_groups_{_name}"] = _sorted_groups(_name)
+    ORACLES[f"sort_groups_{_name}"] = f"WITH {ROLES} SELECT {GROUP} FROM grouped ORDER BY {_by}, product_url LIMIT 30 OFFSET 30"
+
+
+@query(f"WITH {ROLES} SELECT {WIDE} FROM wide WHERE shop = '1-URGENT' AND stock_status <> 'Sold Out'")
+def filter_eq_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).where("shop = '1-URGENT' AND stock_status <> 'Sold Out'").select(*columns(WIDE))
+
+
+@query(
+    f"""WITH {ROLES} SELECT product_url, url, last_seen, image, sale_tag, is_set, stock_status FROM wide
+    WHERE product_url IS NOT NULL AND product_url NOT LIKE '%/search?%'"""
+)
+def group_item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = groups(spark, sf_dir).select("product_url", F.explode("items").alias("item"))
+    return items.select("product_url", *(f"item.{c}" for c in ("url", "last_seen", "image", "sale_tag", "is_set", "stock_status")))
+
+
 @query(f"WITH {ROLES} SELECT url, producer_name FROM wide ORDER BY producer_name ASC NULLS FIRST, url LIMIT 40 OFFSET 20")
 def nulls_first_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wide(spark, sf_dir).select("url", "producer_name")
@@ -258,11 +306,12 @@ def share_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Items of a group
 
 _VISIBLE = f"""WITH {ROLES}, item AS (
-  SELECT product_url, url, shop, price_value, first_seen, coalesce(stock_status, '') IN ('Sold Out') AS is_out
+  SELECT product_url, url, shop, price_value, last_seen, coalesce(stock_status, '') IN ('Sold Out') AS is_out
   FROM wide WHERE product_url IS NOT NULL AND product_url NOT LIKE '%/search?%'
 ), told AS (
   SELECT *, bool_or(NOT is_out) OVER (PARTITION BY product_url, shop) AS stocked,
-    row_number() OVER (PARTITION BY product_url, shop, is_out ORDER BY first_seen DESC NULLS LAST, url) AS nth FROM item
+    row_number() OVER (PARTITION BY product_url, shop, is_out ORDER BY last_seen DESC NULLS LAST,
+      CASE WHEN price_value > 0 THEN price_value END ASC NULLS LAST, url) AS nth FROM item
 )
 SELECT product_url, url, shop, price_value, row_number() OVER (PARTITION BY product_url
   ORDER BY CASE WHEN price_value > 0 THEN price_value END ASC NULLS LAST, url) AS place
@@ -520,7 +569,7 @@ def dictionary_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.lookup(parts, "word", dictionary.entries(_entities(spark, sf_dir))).select("p_partkey", "entity")
 
 
-_TERMS = "SELECT item_id, lower(t) AS key FROM (SELECT item_id, unnest(string_split(text, ' ')) AS t FROM benchmark) WHERE length(t) >= 7"
+_TERMS = "SELECT item_id, lower(t) AS key FROM (SELECT item_id, unnest(string_split(text, ' ')) AS t FROM benchmark) WHERE t <> ''"
 
 
 @query(
@@ -529,7 +578,7 @@ _TERMS = "SELECT item_id, lower(t) AS key FROM (SELECT item_id, unnest(string_sp
     SELECT doc_id, entity, key FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, entity ORDER BY length(key) DESC, key) = 1"""
 )
 def dictionary_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("t")).where(F.length("t") >= 7)
+    terms = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("t")).where("t <> ''")
     keys = terms.groupBy(F.lower("t").alias("key")).agg(F.max("item_id").alias("entity"))
     return dictionary.find_in_texts(read(spark, sf_dir, "documents"), "doc_id", "text", keys)
 
@@ -616,8 +665,27 @@ def json_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz"))
 
 
-@query()
+@query(
+    """SELECT p_partkey AS page_id, pos, concat('https://shop/item/', p_partkey, '-', pos) AS url,
+      concat(p_name, ' & ', pos) AS name, concat(p_size, ',000円') AS price,
+      CASE WHEN (p_size + pos) % 3 = 0 THEN 'Sold Out' ELSE 'In Stock' END AS stock_status, 'html shop' AS shop
+    FROM part, (SELECT unnest([0, 1]) AS pos) p"""
+)
 def html_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def box(pos: int):
+        stock = F.when((F.col("p_size") + pos) % 3 == 0, "SOLD OUT").otherwise("在庫あり")
+        return F.format_string(
+            f'<li class="offer"><a href="/item/%d-{pos}"><b class="name">%s &amp; {pos}</b></a><i class="price">%d,000円</i><u class="stock">%s</u></li>',
+            "p_partkey", "p_name", "p_size", stock,
+        )
+
+    page = F.concat(F.lit("<html><ul><script>var a='<li class=offer>';</script>"), box(0), F.lit("<li>ad</li>"), box(1), F.lit("</ul>"))
+    pages = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return html.list_offers(pages, html.OfferMarks("offer", "name", "price", "stock"), "https://shop", "html shop")
+
+
+@query()
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_facts(read(spark, sf_dir, "pages"))
 
 
@@ -847,3 +915,70 @@ def tax_included_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     title = F.concat(size.cast("string"), F.lit(",050円(税込"), (size + 1).cast("string"), F.lit(",155円)"))
     return read(spark, sf_dir, "part").select("p_partkey", text.tax_included_price(title).alias("price"))
+
+
+#: Names of a candidate and an expected product, their producers, the candidate's style, and the score that the rules give.
+SCORE_TABLE = [
+    ("Moon", None, None, "Moon", None, 100),
+    ("MOON!", None, None, "moon", None, 100),
+    ("Moon", "Sun Brewing", None, "Moon", "Star Brewery", 0),
+    ("Moon", "Star Beer Co", None, "Moon", "Star Brewing", 100),
+    ("Moon", "Stone Garden Beer", None, "Moon", "Stone Brewing", 100),
+    ("Moon", "Riococktail", None, "Moon", "Rio", 100),
+    ("Moon", "Sun Brewing", None, "Moon", "Star Brewing x Sun Brewing", 100),
+    (None, None, None, "Moon", None, 0),
+    ("Moon", None, None, None, None, 100),
+    ("!!!", None, None, "Moon", None, 0),
+    ("DDH Caligula", None, None, "Double Dry Hopped Caligula", None, 95),
+    ("BA Night", None, None, "Barrel Aged Night", None, 95),
+    ("LR 7 Night", None, None, "Limited Release 7 Night", None, 95),
+    ("Moon Wet", None, None, "Moon", None, 90),
+    ("Moon Rise Anniversary", None, None, "Moon Rise", None, 90),
+    ("Sun 2023", None, None, "Sun", "Maker", 90),
+    ("Sun Maker", None, None, "Sun", "Maker", 90),
+    ("Great Divided Line", None, None, "Great Divide", None, 90),
+    ("Moonlighter", None, None, "Moonlight", None, 90),
+    ("11th Hour", None, None, "Eleventh Hour", None, 85),
+    ("Chapter Three", None, None, "Chapter 3", None, 85),
+    ("Chapter III", None, None, "Chapter 3", None, 85),
+    ("Chapter Ⅲ", None, None, "Chapter 3", None, 85),
+    ("Forest Berries", None, None, "Forest Berry", None, 85),
+    ("Red Foxes", None, None, "Red Fox", None, 90),
+    ("Dark Glass", None, None, "Dark Glas", None, 90),
+    ("Golden Foo DDH", None, None, "Golden Foo", None, 0),
+    ("Golden Foo", None, None, "Golden Foo Coffee", None, 0),
+    ("Golden Foo Coffee", None, None, "Golden Foo", None, 0),
+    ("Golden Foo Coffee Stout", None, None, "Golden Foo", None, 90),
+    ("Fresh Hop Golden Foo", None, None, "Golden Foo", None, 0),
+    ("Golden Weizen", None, "IPA - American", "Golden Stout", None, 0),
+    ("Night Porter", None, "IPA - American", "Night Porter", None, 100),
+    ("Foo (2023)", None, None, "Foo", None, 75),
+    ("Foo Bar – Pilsner", None, None, "Foo Bar [2021]", None, 75),
+    ("Foo Bar West Coast IPA", None, None, "Foo Bar Vol. 3", None, 75),
+    ("Hopwired Moons", None, None, "Hopwierd Moons", None, 70),
+    ("Whisky Smoke", None, None, "Whisky Sour", None, 0),
+    ("Entirely Other", None, None, "Golden Foo", None, 0),
+    ("どろん（Doron）", None, None, "Doron", None, 75),
+]
+
+
+def _literal(value: str | int | None) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({', '.join(_literal(v) for v in (n, *row))})" for n, row in enumerate(SCORE_TABLE))
+    + ") AS t(n, candidate, producer, style, expected, maker, score)"
+)
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "n int, candidate string, producer string, style string, expected string, maker string, wanted int"
+    rows = spark.createDataFrame([(n, *row) for n, row in enumerate(SCORE_TABLE)], schema).drop("wanted")
+    names = ("candidate", "producer", "style", "expected", "maker")
+    return rows.withColumn("score", matching.match_score(*map(F.col, names)))
+
+
+@query("SELECT p_partkey, concat(p_name, ' Reserve') AS plain FROM part")
+def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("DDH "), F.col("p_name"), F.lit(" West Coast IPA Reserve #12 (2023.07)（500ml缶）シリーズ第"), F.col("p_size").cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.cleaned(name).alias("plain"))

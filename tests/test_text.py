@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlake.functions import display, matching, text, titles
+from offerlake.queries import SCORE_TABLE
 
 
 def values(spark, expression, *rows):
@@ -113,3 +114,42 @@ def test_flags_and_display(spark):
     assert values(spark, lambda p: display.money(p.cast("double")), ("1200",), ("0",), (None,)) == ["¥1,200", "¥-", "¥-"]
     age = lambda s: display.is_new(s.cast("timestamp"), F.lit("2024-01-02 00:00:00").cast("timestamp"))
     assert values(spark, age, ("2024-01-01 12:00:00",), ("2023-12-31 00:00:00",), ("2024-01-03 00:00:00",), (None,)) == [True, False, False, False]
+
+
+@pytest.mark.parametrize("row", SCORE_TABLE, ids=lambda r: f"{r[0]}/{r[3]}")
+def test_score_table(row):
+    assert matching.score(*row[:5]) == row[5]
+
+
+@pytest.mark.parametrize(
+    ("name", "plain"),
+    [
+        ("Foo West Coast IPA Reserve", "Foo Reserve"),
+        ("DDH Foo 〜series〜", "Foo"),
+        ("Foo シリーズ 3", "Foo"),
+        ("Foo (2026.07)", "Foo"),
+        ("Foo 2026.07", "Foo"),
+        ("Foo #12 Batch 3", "Foo"),
+        ("Foo (CAN)", "Foo"),
+        ("Foo（生樽）", "Foo"),
+        ("Foo（冬版）", "Foo"),
+        ("Foo: Cherry/Vanilla", "Foo"),
+        ("Foo (w/Cryo Fresh Hops)", "Foo"),
+        ("Foo Imperial Stout Bar", "Foo Bar"),
+        ("Foo Fruited Ale", "Foo"),
+        ("Foo-冬編-", "Foo"),
+        ("Foo 2x Bar", "Foo Bar"),
+        ("DR. Foo", "Dr Foo"),
+        ("Foo (toe 25th Anniversary)", "Foo"),
+        ("Foo Pilsner", "Foo"),
+    ],
+)
+def test_clean(spark, name, plain):
+    assert matching.clean(name) == plain
+    assert spark.createDataFrame([(name,)], "n string").select(text.cleaned(F.col("n"))).head()[0] == plain
+
+
+def test_linking_guards():
+    assert matching.producers_agree("Stone Garden Beer", "Stone Brewing")
+    assert not matching.producers_agree("Sun", "Moon Brewing")
+    assert matching.variants_differ("Golden Foo DDH", "Golden Foo") and not matching.variants_differ("Golden Foo Cask Ale", "Golden Foo")

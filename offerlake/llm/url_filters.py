@@ -18,7 +18,7 @@ from offerlake.llm.tables import checkpointed, parallelism, small
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shares that the pages with one set of tokens are dealt to; numbers are no tokens, so a site can have a third of all pages.
-SALTS = 64
+SALTS = 16
 _LABEL = "label="
 _RULE_SCHEMA = "rule_id string, items array<string>, verdict string, confidence double, support double, rarest string"
 

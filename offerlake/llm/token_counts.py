@@ -136,8 +136,8 @@ def count_tokens(
     text one task gathers before it counts.
     """
     text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
-    # two hashes of the id and the text name a row while it is taken apart
-    keys = F.xxhash64(own, text).alias("one"), F.xxhash64(text, own, F.lit(1)).alias("two")
+    # the id and a hash of the text name a row while it is taken apart; without an id a second hash stands in
+    keys = F.coalesce(own, F.xxhash64(text, F.lit(1))).alias("one"), F.xxhash64(text).alias("two")
     rows = docs.select(*keys, own.alias("id"), text.alias("text"))
     local = in_small_batches(rows).mapInArrow(lambda batches: _count_local(batches, model_file, chunk_bytes), _PARTIAL)
     place = F.coalesce(F.xxhash64("token") * F.when(F.col("token").isNotNull(), 1), F.col("one"))

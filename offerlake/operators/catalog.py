@@ -34,11 +34,10 @@ def wide_view(roles: Roles) -> DataFrame:
         text.sale_tag(F.col("name")).alias("sale_tag"),
         text.expiry_notice(F.col("name")).alias("expiry_notice"),
     )
-    return (
-        offers.join(one_per_key(roles.extraction, "url"), "url", "left")
-        .join(one_per_key(roles.product, "product_url"), "product_url", "left")
-        .join(one_per_key(roles.producer, "producer_url"), "producer_url", "left")
-    )
+    wide = offers
+    for dimension, key in ((roles.extraction, "url"), (roles.product, "product_url"), (roles.producer, "producer_url")):
+        wide = wide.join(dimension if roles.unique else one_per_key(dimension, key), key, "left")
+    return wide
 
 
 def has_product(link: Column) -> Column:

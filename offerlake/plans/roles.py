@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Roles:
+    """The four tables; `unique` says that the last three have each key once, so nothing regroups them."""
+
     offers: DataFrame
     extraction: DataFrame
     product: DataFrame
     producer: DataFrame
+    unique: bool = False
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +69,4 @@ def benchmark_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("醸造所"), F.col("n_nationkey").cast("string"))).alias("producer_name_jp"),
         F.col("n_regionkey").cast("string").alias("location"),
     )
-    return Roles(offers, extraction, product, producer)
+    return Roles(offers, extraction, product, producer, unique=True)  # grouped, or by a primary key

@@ -168,3 +168,26 @@ def is_out(status: Column) -> Column:
     """Whether a free status text says that nothing is left."""
     low = F.lower(F.coalesce(status, F.lit("")))
     return F.contains(low, F.lit("sold")) | F.contains(low, F.lit("out"))
+
+
+#: Words that a name isn't searched by. Fixed values.
+UNSEARCHED = (
+    "ipa", "dipa", "tipa", "neipa", "ale", "stout", "lager", "pilsner", "sour", "porter", "saison", "gose", "hazy", "double",
+    "triple", "single", "imperial", "session", "fruited", "wild", "beer", "cider", "mead", "330ml", "350ml", "500ml", "750ml",
+)
+#: Tokens that are tried for a name.
+TRIED = 6
+
+
+def search_tokens(name: Column) -> Column:
+    """Up to `TRIED` parts of a name to search by: its numbers, a written-out release, its words from the last one on.
+
+    Words of one character, Latin words of two and `UNSEARCHED` ones are left out; a number within a word comes before it.
+    """
+    numbers = F.regexp_extract_all(name, F.lit(r"(?i)\b(?:LR|No\.?|Batch|#|Vol\.?)?\s*([0-9]{1,4})\b"), 1)
+    release = F.regexp_extract(name, r"(?i)\bLR\s*([0-9]+)\b", 1)
+    released = F.when(release != "", F.array(F.concat(F.lit("Limited Release "), release))).otherwise(F.array().cast("array<string>"))
+    fit = lambda w: w.rlike(r"^(?:[0-9]{2,}|\p{ASCII}{3,}|(?=.*\P{ASCII}).{2,})$") & ~F.lower(w).isin(*UNSEARCHED) & (w != name)
+    words = F.reverse(F.filter(F.split(name, r"[\s/—–\-()（）\[\]]+"), fit))
+    inner = F.transform(words, lambda w: F.array(F.nullif(F.regexp_extract(w, "[0-9]+", 0), F.lit("")), w))
+    return F.slice(F.array_distinct(F.array_compact(F.concat(numbers, released, F.flatten(inner)))), 1, TRIED)

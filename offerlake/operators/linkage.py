@@ -138,6 +138,41 @@ def in_stages(found: DataFrame, enough: int = 5) -> DataFrame:
     return kept.select("url", "product_url", "stage", "pos")
 
 
+def retrieve(wanted: DataFrame, products: DataFrame) -> DataFrame:
+    """Products of an offer's makers (`url`, `maker`, `name`, `name_jp`) by name, else by Japanese name, else by token.
+
+    A probe meets the products of its block whose name, or a word or written-out release
+    of it, has the same key. Later stages count only where the earlier ones brought too few
+    (`in_stages`): `url`, `product_url`, `stage` 1 to 3, `pos` of the token.
+    """
+    probe = lambda stage, pos, c: F.struct(F.lit(stage).alias("stage"), pos.alias("pos"), text.key(c).alias("probe"))
+    kind = "array<struct<stage:int,pos:int,probe:string>>"
+    tokens = F.concat(*(F.coalesce(text.search_tokens(F.col(c)), F.array().cast("array<string>")) for c in ("name", "name_jp")))
+    tried = F.transform(F.slice(F.array_distinct(tokens), 1, text.TRIED), lambda t, i: probe(3, i, t)).cast(kind)
+    whole = F.array(probe(1, F.lit(0), text.without_year(F.col("name"))), probe(2, F.lit(0), text.without_year(F.col("name_jp")))).cast(kind)
+    makers = wanted.select("url", F.explode(text.collaborators(F.col("maker"))).alias("one"), F.concat(whole, tried).alias("probes"))
+    left = makers.select("url", block(F.col("one")).alias("block"), F.explode("probes").alias("p")).select("url", "block", "p.*").where("probe <> ''")
+    name = F.col("product_name")
+    release = F.regexp_extract(text.expand_abbreviations(name), r"(?i)limited release [0-9]+", 0)
+    held = F.concat(F.array(text.without_year(name), release), F.split(name, r"[\s/—–\-()（）\[\]]+"), F.regexp_extract_all(name, F.lit("([0-9]+)")))
+    keys = F.array_distinct(F.transform(held, text.key))
+    right = products.select("product_url", block(F.col("producer_name")).alias("block"), F.explode(keys).alias("probe")).distinct()
+    return in_stages(left.join(right, ["block", "probe"]).select("url", "product_url", "stage", "pos"))
+
+
+def second_chance(missed: DataFrame, inferred: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
+    """Link offers that found nothing (`url`) by what a model inferred (`url`, `nth`, `maker`, `name`).
+
+    `nth` 0 is the inferred maker and name, 1 to `most` are other queries; the first that
+    leads to a valid link counts: `url`, `product_url`, `score`, `nth`.
+    """
+    tries = inferred.where(F.col("nth").between(0, most)).join(missed.select("url").distinct(), "url", "left_semi")
+    keyed = tries.select(F.struct("url", "nth").alias("url"), "maker", "name").distinct()
+    linked = link(keyed, products).where("product_url IS NOT NULL").select("url.url", "url.nth", "product_url", "score")
+    first = Window.partitionBy("url").orderBy("nth", F.desc("score"), "product_url")
+    return linked.withColumn("row", F.row_number().over(first)).where("row = 1").select("url", "product_url", "score", "nth")
+
+
 def with_web(scores: DataFrame, web: DataFrame) -> DataFrame:
     """Add web results (`url`, `product_url`, `title`) for offers with too few or too weak candidates.
 

@@ -137,3 +137,13 @@ def visible_items(groups: DataFrame, stock: str = "in_stock") -> DataFrame:
     )
     shown = {"in_stock": ~F.col("out"), "sold_out": F.col("out"), "all": F.lit(True)}[stock]
     return kept.where(shown).withColumn("place", F.row_number().over(cheap)).drop("stocked", "nth", "out")
+
+
+def selected_first(items: DataFrame, shops: tuple[str, ...]) -> DataFrame:
+    """Visible items (`product_url`, `shop`, `place`) of the groups that a chosen shop sells, the chosen shops' first."""
+    if not shops:
+        return items
+    group = Window.partitionBy("product_url")
+    chosen = items.withColumn("chosen", F.coalesce(F.col("shop").isin(*shops), F.lit(False)))
+    kept = chosen.withColumn("sold", F.max("chosen").over(group)).where("sold")
+    return kept.withColumn("place", F.row_number().over(group.orderBy(F.desc("chosen"), "place"))).drop("chosen", "sold")

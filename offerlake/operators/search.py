@@ -147,3 +147,8 @@ def selected_first(items: DataFrame, shops: tuple[str, ...]) -> DataFrame:
     chosen = items.withColumn("chosen", F.coalesce(F.col("shop").isin(*shops), F.lit(False)))
     kept = chosen.withColumn("sold", F.max("chosen").over(group)).where("sold")
     return kept.withColumn("place", F.row_number().over(group.orderBy(F.desc("chosen"), "place"))).drop("chosen", "sold")
+
+
+def options_like(options: DataFrame, wanted: str, columns: tuple[str, ...]) -> DataFrame:
+    """The options of a filter whose label or search terms hold the wanted text, case aside; all for an empty text."""
+    return options.where(contains_any(columns, wanted)) if wanted else options

@@ -1018,3 +1018,22 @@ def link_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = part.select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("maker"), F.initcap("p_name").alias("name"), F.lit(None).cast("string").alias("name_jp"))
     products = part.select(F.col("p_partkey").alias("product_url"), F.col("p_name").alias("product_name"), F.concat("p_brand", F.lit(" Brewing")).alias("producer_name"))
     return linkage.retrieve(offers, products).select("url", "product_url", "stage")
+
+
+@query("""SELECT a.p_partkey AS url, min(b.p_partkey) AS product_url FROM part a JOIN part b ON b.p_name = a.p_name AND contains(lower(b.p_brand), lower(a.p_brand)) GROUP BY ALL""")
+def link_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    offers = part.select(F.col("p_partkey").alias("url"), F.lower("p_brand").alias("maker"), F.initcap("p_name").alias("name"))
+    products = part.select(F.col("p_partkey").alias("product_url"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("producer_name"))
+    return linkage.link_offline(offers, products)
+
+
+@query(
+    """SELECT p_type, count(*) AS n FROM part GROUP BY p_type
+    HAVING contains(lower(p_type), 'st') OR contains(lower(max(p_brand)), 'st') OR contains(lower(p_type), '#4') OR contains(lower(max(p_brand)), '#4')"""
+)
+def options_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = read(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.max("p_brand").alias("terms"))
+    # two texts, as a user types them: by label, and by the terms behind it
+    by_label = search.options_like(options, "ST", ("p_type", "terms"))
+    return by_label.unionByName(search.options_like(options, "#4", ("p_type", "terms"))).select("p_type", "n").distinct()

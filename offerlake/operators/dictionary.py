@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -121,6 +121,12 @@ def summary(entities: DataFrame) -> DataFrame:
     )
 
 
+def to_fetch(wanted: DataFrame, known: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """The wanted addresses (`url`) that are new, or that were last fetched (`url`, `updated_at`) `days` ago or earlier."""
+    fresh = known.where(F.col("updated_at") > as_of - F.make_dt_interval(F.lit(days))).select("url").distinct()
+    return wanted.select("url").distinct().join(fresh, "url", "left_anti")
+
+
 def match_entities(found: DataFrame, entities: DataFrame) -> DataFrame:
     """Match found producers (`url`, `name_en`) to entities (`entity`, `url`, `name_en`), by address, else by name.
 

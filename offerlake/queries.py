@@ -1037,3 +1037,13 @@ def options_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     # two texts, as a user types them: by label, and by the terms behind it
     by_label = search.options_like(options, "ST", ("p_type", "terms"))
     return by_label.unionByName(search.options_like(options, "#4", ("p_type", "terms"))).select("p_type", "n").distinct()
+
+
+@query(
+    """SELECT c_custkey AS url FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders
+    WHERE CAST(o_orderdate AS TIMESTAMP) > TIMESTAMP '1998-08-02' - INTERVAL 200 DAY) USING (c_custkey)"""
+)
+def fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"))
+    return dictionary.to_fetch(wanted, known, F.lit("1998-08-02").cast("timestamp"), days=200)

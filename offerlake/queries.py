@@ -1032,7 +1032,7 @@ def link_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT p_type, count(*) AS n FROM part GROUP BY p_type
     HAVING contains(lower(p_type), 'st') OR contains(lower(max(p_brand)), 'st') OR contains(lower(p_type), '#4') OR contains(lower(max(p_brand)), '#4')"""
 )
-def options_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = read(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.max("p_brand").alias("terms"))
     # two texts, as a user types them: by label, and by the terms behind it
     by_label = search.options_like(options, "ST", ("p_type", "terms"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import byte_bpe, decontamination, fingerprints, jaccard_join, language_id, license_scan, substring_dedup, suffix_dedup, token_counts, url_filters
+from offerlake.llm import byte_bpe, centroids, chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, ranked_search, substring_dedup, suffix_dedup, token_counts, url_filters
 from offerlake.llm.tables import table, tokenizer_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -130,6 +130,40 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return clustered.withColumn("centroid_sha256", digest).drop("centroid")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A conversation of control strings that the contract of op13 adds.
+PROBE_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE_TURNS, "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_paths(chat_format.as_replies(rows.unionByName(probe)), per_tree=1, template=chat_format.Template())
+    read = formatted.select(
+        F.col("tree").alias("conv_id"),
+        "formatted",
+        chat_format.turns_of(F.col("formatted")).alias("turns"),
+        F.array_join(chat_format.learned_texts(F.col("formatted"), F.col("loss_mask")), "").alias("learned"),
+    )
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_jaccard_join": op2_jaccard_join,
@@ -141,6 +175,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 OP6_SQL = r"""
@@ -218,9 +255,76 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM split LEFT JOIN kept USING (doc_id)
 """
 
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    """Clustering with the rounds written out one after the other."""
+    nearest = """a{r} AS (
+  SELECT rid, vec_id, v, c, d FROM (
+    SELECT rid, vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM kept, c{r}) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1
+)"""
+    moved = """, c{n} AS (
+  SELECT c, coalesce(new.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+      SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i)
+    GROUP BY c) new USING (c)
+), """
+    steps = "".join(nearest.format(r=r) + moved.format(r=r, n=r + 1) for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS m FROM kept QUALIFY c < 16
+), {steps}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+OP12_SQL = r"""
+WITH terms AS (
+  SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark)
+), found AS (SELECT kind, id, term, count(*) AS tf FROM terms GROUP BY ALL
+), sizes AS (SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM found WHERE kind = 'doc' GROUP BY id
+), total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, total WHERE kind = 'doc' GROUP BY term, n_docs
+), scores AS (
+  SELECT i.id AS item_id, d.id AS doc_id, CAST(sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM found d JOIN found i ON d.term = i.term AND d.kind = 'doc' AND i.kind = 'item' JOIN weights w ON w.term = d.term JOIN sizes s ON s.id = d.id, total
+  GROUP BY i.id, d.id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, length(role || text) + 32 AS plain,
+    len(regexp_extract_all(role || chr(10) || text, '[<\\[]\\\\*(?:\\|im_start\\|>|\\|im_sep\\|>|\\|im_end\\|>|s>|/s>|INST\\]|/INST\\]|\\|endoftext\\|>)')) AS escaped
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(plain + escaped) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": OP2_SQL,
     "op6_decontamination": OP6_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_centroid_clustering": _op11_sql(),
+    "op12_ranked_search": OP12_SQL,
+    "op13_chat_formatting": OP13_SQL,
 }

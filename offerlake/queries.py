@@ -1047,3 +1047,7 @@ def fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
     wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"))
     return dictionary.to_fetch(wanted, known, F.lit("1998-08-02").cast("timestamp"), days=200)
+
+
+# Further queries, registered on import
+from offerlake import source_queries  # noqa: E402,F401

@@ -50,7 +50,7 @@ class Template:
 
     def _places(self, marked: str) -> str:
         """Matches a first character, what `marked` names and backslashes, if the rest of a control string follows."""
-        firsts = "".join(sorted({f"\\{c[0]}" for c in self.controls}))
+        firsts = "".join(sorted({re.escape(c[0]) for c in self.controls}))
         return rf"([{firsts}]){marked}(\\*)(?={'|'.join(re.escape(c[1:]) for c in self.controls)})"
 
     def escape(self, text: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.functions import text, titles
-from offerlake.functions import matching
+from offerlake.functions import matching, text, titles
 from offerlake.functions.matching import match_score, producers_match
+from offerlake.operators import blocking
 from offerlake.operators.catalog import has_product
 
 # What a title says of mixed drinks and of cask ale.
@@ -29,36 +31,57 @@ def to_refresh(wide: DataFrame, as_of: Column, days: int = 5) -> DataFrame:
     return wide.where(live & stale).orderBy(F.asc_nulls_first("fetched_at"), "url")
 
 
-def block(name: Column) -> Column:
-    """A maker's block key: its name without company suffixes, letters and digits only."""
-    return text.key(text.strip_producer(name))
+block = blocking.plain_block
 
 
-def candidates(wanted: DataFrame, products: DataFrame) -> DataFrame:
-    """Products in the blocks of the makers of an offer (`url`, `maker`, `name`), collaborators apart.
+def candidates(wanted: DataFrame, products: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Products in the blocks of the makers of an offer (`url`, `maker`, `name`), each pair once.
 
-    `products` has product_url, product_name, producer_name and style. Names meet when
-    they share a word, the year aside, so a large block isn't paired with itself.
+    `products` has product_url, product_name, producer_name and style, and with `blocks`
+    (`blocking.maker_blocks`) also producer_url; without, collaborators' plain names are the blocks.
+    Names meet when they share a word, the year aside, so a large block isn't paired with itself.
     """
-    makers = wanted.select("*", F.explode(text.collaborators(F.col("maker"))).alias("one")).withColumn("block", block(F.col("one")))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(text.without_year(text.expand_abbreviations(c))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    left = makers.select("*", F.explode(words(F.col("name"))).alias("word")).drop("one")
-    right = products.withColumn("block", block(F.col("producer_name"))).select("*", F.explode(words(F.col("product_name"))).alias("word"))
-    return left.join(right, ["block", "word"]).drop("block", "word").distinct()
+    rows = wanted.select("url", "maker", "name").distinct().withColumn("words", blocking.words(F.col("name")))
+    facts = ("product_url", "product_name", "producer_name", "style")
+    if blocks is None:
+        plain = F.array_distinct(F.transform(text.collaborators(F.col("maker")), block))
+        left = rows.withColumn("block", F.explode(plain))
+        right = products.select(*facts, block(F.col("producer_name")).alias("block"))
+    else:
+        left = rows.join(blocks.select("url", "block"), "url")
+        right = blocking.product_blocks(products.select(*facts, "producer_url"))
+    named = right.select(*facts, "block").distinct().withColumn("words", blocking.words(F.col("product_name")))
+    return blocking.pairs_by_word(left, named, "url", "product_url").drop("block")
+
+
+Score = Callable[[Column, Column, Column, Column, Column], Column]
+Check = Callable[..., Column]
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Score each distinct pair of names once."""
+def scored(pairs: DataFrame, score: Score = match_score) -> DataFrame:
+    """Score each distinct pair of names once; `score` takes product name, producer, style, name and maker."""
     names = ["product_name", "producer_name", "style", "name", "maker"]
-    scores = pairs.select(*names).distinct().withColumn("score", match_score(*map(F.col, names)))
+    scores = pairs.select(*names).distinct().withColumn("score", score(*(F.col(n) for n in ("product_name", "producer_name", "style", "name", "maker"))))
     same = [F.col(f"p.{n}").eqNullSafe(F.col(f"s.{n}")) for n in names]
     return pairs.alias("p").join(scores.alias("s"), same).select("p.*", "s.score")
 
 
-def choose(scores: DataFrame) -> DataFrame:
-    """The best candidate of each offer, ties by product; scores of 0 are none."""
-    best = Window.partitionBy("url").orderBy(F.desc("score"), "product_url")
-    return scores.where("score > 0").withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+#: Results of a search that are looked at, and those that are kept. Fixed values.
+SCANNED, KEPT = 50, 15
+
+
+def best_candidates(found: DataFrame, scanned: int = SCANNED, kept: int = KEPT) -> DataFrame:
+    """The best of what a search listed for an offer (`url`, `product_url`, `score`, `pos`): the same with `rank`.
+
+    Of the first `scanned` results those with a score above 0 are ranked by score, equal
+    ones in the order found, and `kept` stay. The limit stands above a row number, which
+    Spark turns into a limit of each group before it shuffles: a task sends on `scanned` rows of
+    an offer at most, and the second ranking needs no further shuffle.
+    """
+    listed = F.row_number().over(Window.partitionBy("url").orderBy("pos", "product_url"))
+    rank = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("score"), "pos", "product_url"))
+    first = found.withColumn("_nth", listed).where(F.col("_nth") <= scanned).drop("_nth")
+    return first.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= kept)
 
 
 def validated(title: Column, product_name: Column, style: Column, producer: Column, maker: Column | None = None) -> Column:
@@ -163,7 +186,7 @@ def retrieve(wanted: DataFrame, products: DataFrame) -> DataFrame:
 def link_offline(wanted: DataFrame, products: DataFrame) -> DataFrame:
     """Products of the same name, case aside, whose producer's name holds the offer's maker: `url`, the least `product_url`."""
     named = products.select("product_url", F.lower("product_name").alias("_name"), F.lower("producer_name").alias("_producer"))
-    met = wanted.where(F.length("maker") > 0).join(named, F.lower("name") == F.col("_name")).where(F.contains("_producer", F.lower("maker")))
+    met = wanted.where(F.length("maker") > 0).select("url", "maker", "name").join(named, F.lower("name") == F.col("_name")).where(F.contains("_producer", F.lower("maker")))
     return met.groupBy("url").agg(F.min("product_url").alias("product_url"))
 
 
@@ -180,82 +203,111 @@ def second_chance(missed: DataFrame, inferred: DataFrame, products: DataFrame, m
     return linked.withColumn("row", F.row_number().over(first)).where("row = 1").select("url", "product_url", "score", "nth")
 
 
-def with_web(scores: DataFrame, web: DataFrame) -> DataFrame:
-    """Add web results (`url`, `product_url`, `title`) for offers with too few or too weak candidates.
+def variants_clash(candidate: Column, expected: Column) -> Column:
+    """Whether one name has a variant that the other lacks.
+
+    A candidate may go on after an expected name that has no variants, if what follows has
+    the variants or a style.
+    """
+    one, two, long, short = text.variants(candidate), text.variants(expected), text.key(candidate), text.key(expected)
+    rest = F.substr(long, F.length(short) + 1)
+    describing = F.array(*map(F.lit, matching.DESCRIBING))
+    described = F.exists(F.concat(one, describing), lambda w: F.contains(rest, w))
+    extends = (F.size(two) == 0) & (F.length(short) >= 4) & F.startswith(long, short) & described
+    return (one != two) & ~extends
+
+
+#: The score that a web result counts with; it comes behind every product that the search of the maker brought.
+WEB_SCORE = 80
+
+
+def with_web(wanted: DataFrame, scores: DataFrame, web: DataFrame) -> DataFrame:
+    """All scores above 0 with their `source`, and web results for offers with too few or too weak candidates.
 
-    Offers with no candidate, or with fewer than three of which none scores 90, get the
-    results that lead to a product and whose title holds the offer's maker and name.
+    `wanted` has url, maker, name and maybe name_jp; `web` has url, product_url and title.
+    Offers of `wanted` with no candidate, or with fewer than three of which none scores 90,
+    get the results that lead to a product and whose title holds a collaborator of the maker
+    and the name, as it is, without treatments and dates, or in Japanese, and no variant that the name
+    lacks. An offer without a maker or a name is held to the other one only.
     """
-    state = scores.where("score > 0").groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
-    offers = scores.select("url", "name", "maker").distinct()
-    weak = offers.join(state, "url", "left").where("n IS NULL OR (n < 3 AND top < 90)").select("url", "name", "maker")
+    good = scores.where("score > 0")
+    state = good.groupBy("url").agg(F.countDistinct("product_url").alias("n"), F.max("score").alias("top"))
+    offers = wanted.select("url", "maker", "name", F.col("name_jp") if "name_jp" in wanted.columns else F.lit(None).cast("string").alias("name_jp")).distinct()
+    weak = offers.join(state, "url", "left").where("n IS NULL OR (n < 3 AND top < 90)").drop("n", "top")
     said = text.key(F.col("title"))
-    fits = F.contains(said, text.key(text.strip_producer(F.col("maker")))) & F.contains(said, text.key(text.without_year(F.col("name"))))
-    more = web.where(has_product(F.col("product_url"))).join(weak, "url").where(fits).select("url", "product_url").distinct()
-    old = scores.select("url", "product_url", "score", F.lit("search").alias("source"))
+    held = lambda part: (F.length(part) > 0) & F.contains(said, part)
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    by_maker = none("maker") | F.exists(text.collaborators(F.col("maker")), lambda m: held(text.key(text.strip_producer(m))))
+    plain = held(text.key(text.without_year(F.col("name")))) | held(text.key(text.cleaned(F.col("name"))))
+    by_name = none("name") | plain | F.coalesce(held(text.key(F.col("name_jp"))), F.lit(False))
+    fits = by_maker & by_name & (none("name") | ~variants_clash(F.col("title"), F.col("name")))
+    more = web.where(has_product(F.col("product_url"))).select("url", "product_url", "title").join(weak, "url").where(fits).select("url", "product_url").distinct()
+    old = good.select("url", "product_url", "score", F.lit("search").alias("source"))
     new = more.join(old, ["url", "product_url"], "left_anti")
-    return old.unionByName(new.select("url", "product_url", F.lit(80).alias("score"), F.lit("web").alias("source")))
+    return old.unionByName(new.select("url", "product_url", F.lit(WEB_SCORE).alias("score"), F.lit("web").alias("source")))
 
 
 def decide(scores: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Choose one candidate of each offer: `url`, `product_url`, `score`.
 
     `verdicts` (`url`, `product_url`; null: all rejected) are what a model said. Its
-    choice stands; where it rejected all, the best is taken only if it scores 90 or is
-    from the web; where it said nothing, the best with a score above 0.
+    choice stands; where it rejected all, the first is taken only if it scores 90 or is
+    from the web; where it said nothing, the first. The order is search before web, then
+    the score, then the product.
     """
     scores = scores if "source" in scores.columns else scores.withColumn("source", F.lit("search"))
-    best = Window.partitionBy("url").orderBy(F.desc("score"), "product_url")
+    best = Window.partitionBy("url").orderBy(F.col("source") == "web", F.desc("score"), "product_url")
     if verdicts is None:
         verdicts = scores.select("url", "product_url").limit(0)
     said = verdicts.groupBy("url").agg(F.max("product_url").alias("chosen"), F.lit(True).alias("asked"))
-    joined = scores.where("score > 0").join(said, "url", "left")
+    ranked = scores.where("score > 0").withColumn("nth", F.row_number().over(best)).join(said, "url", "left")
     strong = (F.col("score") >= 90) | (F.col("source") == "web")
-    allowed = F.when(F.col("chosen").isNotNull(), F.col("product_url") == F.col("chosen")).when(F.col("asked"), strong).otherwise(True)
-    ranked = joined.where(allowed).withColumn("nth", F.row_number().over(best)).where("nth = 1")
-    return ranked.select("url", "product_url", "score")
+    allowed = F.when(F.col("chosen").isNotNull(), F.col("product_url") == F.col("chosen")).otherwise((F.col("nth") == 1) & (F.col("asked").isNull() | strong))
+    return ranked.where(allowed).groupBy("url", "product_url").agg(F.max("score").alias("score"))
 
 
-def link(wanted: DataFrame, products: DataFrame) -> DataFrame:
-    """Link offers: `url`, `product_url`, `score`, `reason` (null for a link, else one of REASONS).
+def link_scores(wanted: DataFrame, products: DataFrame, blocks: DataFrame | None = None, score: Score = match_score) -> DataFrame:
+    """Candidates of offers (`url`, `maker`, `name`) with a score above 0, and the products' facts.
 
-    Offers whose name has a year and that find nothing are tried once more without it.
+    A name with a year is also tried without it, and such scores count where the name itself
+    brought none: `retry`. The candidates are the same, for years name no block.
     """
-    known = wanted.where(F.col("name").isNotNull() & F.col("maker").isNotNull())
-    pairs = candidates(known, products)
-    plain = pairs.where(F.col("name").rlike(r"\b20\d{2}\b")).withColumn("name", text.without_year(F.col("name")))
-    first = scored(pairs).withColumn("retry", F.lit(False))
-    again = scored(plain).withColumn("retry", F.lit(True))
-    best = Window.partitionBy("url").orderBy("retry", F.desc("score"), "product_url")
-    chosen = first.unionByName(again).where("score > 0").withColumn("nth", F.row_number().over(best)).where("nth = 1")
-    titled = chosen.drop("name").join(known.select("url", "name").distinct(), "url")
-    ok = validated(F.col("name"), F.col("product_name"), F.col("style"), F.col("producer_name"))
-    judged = titled.select("url", "product_url", "score", ok.alias("ok"))
-    joined = wanted.select("url", "name", "maker").join(judged, "url", "left")
-    reason = (
-        F.when(F.col("name").isNull() | F.col("maker").isNull(), REASONS[0])
-        .when(F.col("product_url").isNull(), REASONS[1])
-        .when(~F.col("ok"), REASONS[2])
+    name = F.col("name")
+    tries = F.when(name.rlike(r"\b20\d{2}\b"), F.array(name, text.without_year(name))).otherwise(F.array(name))
+    pairs = candidates(wanted.where("name IS NOT NULL AND maker IS NOT NULL"), products, blocks).withColumn("tries", tries)
+    tried = pairs.select(*(c for c in pairs.columns if c not in ("name", "tries")), F.posexplode("tries").alias("retry", "name"))
+    good = scored(tried, score).where("score > 0")
+    needed = good.groupBy("url").agg(F.min("retry").alias("retry"))
+    return good.join(needed, ["url", "retry"])
+
+
+def link(
+    wanted: DataFrame, products: DataFrame, blocks: DataFrame | None = None, score: Score = match_score, check: Check = validated
+) -> DataFrame:
+    """Link offers: one row for each `url`, with `product_url`, `score`, `reason` (null for a link, else one of REASONS).
+
+    `score` and `check` say how well names match and whether a choice stands against the
+    offer's `title`, or its name where there is none. Of an offer with several names the best counts.
+    """
+    said = F.col("title") if "title" in wanted.columns else F.col("name")
+    rows = wanted.select("url", "maker", "name", said.alias("title"))
+    best = F.min(F.struct((-F.col("score")).alias("order"), "product_url", "product_name", "producer_name", "style")).alias("best")
+    chosen = link_scores(rows, products, blocks, score).groupBy("url").agg(best).select("url", "best.*")
+    told = rows.groupBy("url").agg(F.max("title").alias("title"), F.bool_or(F.col("name").isNotNull() & F.col("maker").isNotNull()).alias("whole"))
+    joined = told.join(chosen, "url", "left")
+    ok = check(F.col("title"), F.col("product_name"), F.col("style"), F.col("producer_name"))
+    reason = F.when(~F.col("whole"), REASONS[0]).when(F.col("product_url").isNull(), REASONS[1]).when(~ok, REASONS[2])
+    return joined.withColumn("reason", reason).select(
+        "url", F.when(F.col("reason").isNull(), F.col("product_url")).alias("product_url"), (-F.col("order")).alias("score"), "reason"
     )
-    return joined.select("url", F.when(reason.isNull(), F.col("product_url")).alias("product_url"), "score", reason.alias("reason"))
 
 
 def wrong_variants(linked: DataFrame) -> DataFrame:
-    """Links whose two names disagree on variants: `url`, `product_url`, and what they lack.
-
-    As in the score, a product's name may go on after an offer's that has no variants, if
-    what follows has the variants or a style.
-    """
+    """Links whose two names disagree on variants (`variants_clash`): `url`, `product_url`, and what either lacks."""
     ours, theirs = text.variants(F.col("name")), text.variants(F.col("product_name"))
-    long, short = text.key(F.col("product_name")), text.key(F.col("name"))
-    rest = F.substr(long, F.length(short) + 1)
-    describing = F.array(*map(F.lit, matching.DESCRIBING))
-    described = F.exists(F.concat(F.transform(F.col("theirs"), text.key), describing), lambda w: F.contains(rest, w))
-    extends = (F.size("ours") == 0) & (F.length(short) >= 4) & F.startswith(long, short) & described
-    both = linked.withColumn("ours", ours).withColumn("theirs", theirs)
-    return both.where((F.col("ours") != F.col("theirs")) & ~extends).select(
+    return linked.where(variants_clash(F.col("product_name"), F.col("name"))).select(
         "url",
         "product_url",
-        F.array_join(F.array_except("ours", "theirs"), ",").alias("only_ours"),
-        F.array_join(F.array_except("theirs", "ours"), ",").alias("only_theirs"),
+        F.array_join(F.array_except(ours, theirs), ",").alias("only_ours"),
+        F.array_join(F.array_except(theirs, ours), ",").alias("only_theirs"),
     )

@@ -1050,4 +1050,4 @@ def fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries, registered on import
-from offerlake import source_queries  # noqa: E402,F401
+from offerlake import linking_queries, source_queries  # noqa: E402,F401

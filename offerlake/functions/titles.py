@@ -118,6 +118,16 @@ def bracketed_title(title: Column) -> tuple[Column, Column]:
     return maker, F.nullif(rest, F.lit(""))
 
 
+#: Words of goods that are no drinks, those of them that come along with one, and what shows a drink after all. Fixed values.
+GOODS, GOODS_ALONG, DRINKS = ("グラス", "glass", "ステッカー", "tシャツ"), "コラボグラス", ("ビール", "セット")
+
+
+def is_merchandise(title: Column) -> Column:
+    """Whether a title names goods only: glasses that were made with somebody, without a beer or a set."""
+    low = F.lower(title)
+    return low.rlike("|".join(GOODS)) & F.contains(low, F.lit(GOODS_ALONG)) & ~low.rlike("|".join(DRINKS))
+
+
 def flag(location: Column) -> Column:
     """The flag of the first country whose name the location holds."""
     low = F.lower(location)

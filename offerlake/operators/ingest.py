@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.functions.text import is_out
+from offerlake.operators.order import numbered
 
 
 def keep_last(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -38,6 +39,20 @@ def sequence_time(df: DataFrame, start: Column, source: str, order: list[str]) -
     return df.withColumn("seen", start + F.make_dt_interval(secs=F.row_number().over(back) - 1))
 
 
+def scan_times(df: DataFrame, base: Column, place: Column, shop: str, *order: Column) -> DataFrame:
+    """Give each scanned row a time: `base`, a second for each place of its shop, a microsecond for each row behind it.
+
+    `order` is that of the scan, newest first, so the last row of a shop gets the earliest
+    time. All rows count, also those without a url. Rows are numbered over ranges, so a large shop is no large task.
+    """
+    placed = numbered(df, *order, within=shop, name="_nth")
+    size = placed.groupBy(shop).agg(F.count(F.lit(1)).alias("_rows"))  # a row for each shop
+    same = F.col(f"a.{shop}").eqNullSafe(F.col(f"b.{shop}"))
+    behind = (F.col("_rows") - 1 - F.col("_nth")).cast("decimal(18,6)") / F.lit(1_000_000).cast("decimal(18,6)")
+    joined = placed.alias("a").join(F.broadcast(size).alias("b"), same).select("a.*", "b._rows")
+    return joined.withColumn("seen", base + F.make_dt_interval(secs=place.cast("decimal(18,6)") + behind)).drop("_nth", "_rows")
+
+
 def merge_offers(state: DataFrame, new: DataFrame, now: Column, only_new: bool = False) -> DataFrame:
     """Upsert offers by `url`: the state after the merge, with the `change` of each row.
 

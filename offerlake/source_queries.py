@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlake.operators import ingest
 from offerlake.queries import query, read
-from offerlake.sources import answers, details
+from offerlake.sources import answers, details, shops
 
 # Detail pages: each part is a product and each supplier a producer; every seventh page is broken in some way
 
@@ -145,3 +149,67 @@ def suggested_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("```"), said, F.lit("```")).alias("answer"))
     return answers.queries_to_try(answers.read_answers(rows, noisy=False), "p_partkey")
+
+
+# List pages of four shops, thirty parts a page: two JSON shops, two HTML layouts
+
+_LISTED = "(SELECT *, p_partkey % 4 AS s, CAST(p_partkey // 120 AS INTEGER) AS page, row_number() OVER (PARTITION BY p_partkey % 4, p_partkey // 120 ORDER BY p_partkey) - 1 AS pos FROM part)"
+SHOPS = [
+    replace(shops.LAYOUTS["products.json by update"], shop="one", base_url="https://one.example"),
+    replace(shops.LAYOUTS["products.json by publication"], shop="two", base_url="https://two.example"),
+    replace(shops.LAYOUTS["inner boxes"], shop="three", base_url="https://three.example"),
+    replace(shops.LAYOUTS["collection"], shop="four", base_url="https://four.example"),
+]
+
+
+@query(
+    f"""SELECT ['one', 'two', 'three', 'four'][s + 1] AS shop, page, CAST(pos AS INTEGER) AS pos,
+    CASE s WHEN 2 THEN concat('https://three.example/shopdetail/', p_partkey) ELSE concat('https://', ['one', 'two', '', 'four'][s + 1], '.example/products/h', p_partkey) END AS url,
+    CASE WHEN s = 3 AND p_size % 2 = 0 THEN concat('[', p_brand, '] ', p_name) ELSE p_name END AS name,
+    CASE s WHEN 2 THEN concat(p_size, ',000円') WHEN 3 THEN concat(p_size, '500円') ELSE concat(p_size * 100, '円') END AS price,
+    CASE WHEN s < 2 THEN concat('//cdn/', p_partkey) WHEN s = 2 THEN concat('https://three.example/i/', p_partkey) ELSE concat('https://cdn/', p_partkey) END AS image,
+    CASE WHEN p_size % 3 = 0 THEN 'Sold Out' ELSE 'In Stock' END AS stock_status,
+    CASE WHEN s = 0 AND p_size % 2 = 0 THEN TIMESTAMP '2025-03-01 10:00:00' WHEN s < 2 THEN TIMESTAMP '2025-01-02 00:30:00' END AS first_seen
+    FROM {_LISTED} WHERE s <> 0 OR p_size % 5 <> 0"""
+)
+def shop_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    out = size % 3 == 0
+    product = F.struct(
+        F.col("p_name").alias("title"), F.concat(F.lit("h"), key).alias("handle"),
+        F.when(size % 5 == 0, F.array(F.lit("cheese"))).otherwise(F.array(F.lit("x"), F.lit("Craft Beer"))).alias("tags"),
+        F.when(size % 2 == 0, "2025-03-01T12:00:00+02:00").otherwise("no time").alias("updated_at"), F.lit("2025-01-02T00:30:00Z").alias("published_at"),
+        F.array(F.struct(F.concat((size * 100).cast("string"), F.lit(".00")).alias("price"), (~out).alias("available")), F.struct(F.lit("1").alias("price"), F.lit(False).alias("available"))).alias("variants"),
+        F.array(F.struct(F.concat(F.lit("//cdn/"), key).alias("src"))).alias("images"),
+    )
+    box = F.concat(
+        F.lit("<div class='innerBox'><div class='imgWrap'><a href='/shopdetail/"), key, F.lit("/all_items/page1/'><img src='/i/"), key, F.lit("'></a></div><div class='detail'><p class='name'>"),
+        "p_name", F.lit("<p class='price'>"), size.cast("string"), F.lit(",000円</p>"), F.when(out, "<p class='quantity'>sold out</p>").otherwise("<p class='quantity'>10 left"), F.lit("</div></div>"),
+    )
+    card = F.concat(
+        F.lit("<li class='--collection-product-item'><a href='/products/h"), key, F.lit("'><img data-src='//cdn/"), key, F.lit("'></a><div class='--item-card-brand-name'>"),
+        F.when(size % 2 == 0, F.col("p_brand")).otherwise("four"), F.lit("</div><b class='--item-card-title'>"), "p_name", F.lit("</b><i class='price-item'>¥"), size.cast("string"),
+        F.lit(",500 税込</i>"), F.when(out, "<u>SOLD OUT</u>").otherwise(""), F.lit("</li>"),
+    )
+    shop = F.element_at(F.array(*(F.lit(rule.shop) for rule in SHOPS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    html_item = F.when(F.col("p_partkey") % 4 == 2, box).otherwise(card)
+    parts = read(spark, sf_dir, "part").select("p_partkey", shop.alias("shop"), F.floor(F.col("p_partkey") / 120).cast("int").alias("page"), product.alias("product"), html_item.alias("item"))
+    listed = parts.groupBy("shop", "page").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "product", "item"))).alias("all"))
+    as_json = F.to_json(F.struct(F.transform("all", lambda p: p.product).alias("products")))
+    as_html = F.concat(F.lit("<ul>"), F.array_join(F.transform("all", lambda p: p.item), "\n"), F.lit("<li>end"))
+    body = F.when(F.col("shop").isin("one", "two"), as_json).otherwise(as_html)
+    raw = listed.select("shop", "page", F.encode(body, "utf-8").alias("body"))
+    found = shops.offers(raw, SHOPS)
+    # a JSON page's place counts all its products, also those that aren't wanted
+    return found.withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT o_orderkey, TIMESTAMP '2001-01-01' + to_seconds(CAST(left(o_orderpriority, 1) AS INTEGER) - 1)
+      + to_microseconds(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey DESC) - 1) AS seen FROM orders"""
+)
+def scan_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.left("o_orderpriority", F.lit(1)).cast("int") - 1
+    base = F.lit(datetime.datetime(2001, 1, 1)).cast("timestamp_ntz")
+    timed = ingest.scan_times(read(spark, sf_dir, "orders"), base, place, "o_orderpriority", F.desc("o_orderdate"), F.col("o_orderkey"))
+    return timed.select("o_orderkey", "seen")

@@ -109,19 +109,20 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def decode(data: pd.Series) -> pd.Series:
-    """Bytes as text in the first encoding that fits, else UTF-8 with replacements."""
+def decoded(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """Bytes as text in the first encoding that fits, else in the first with replacements."""
+    for name in encodings:
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode(encodings[0], errors="replace")
 
-    def one(raw: bytes) -> str:
-        for name in ENCODINGS:
-            try:
-                return raw.decode(name)
-            except UnicodeDecodeError:
-                continue
-        return raw.decode("utf-8", errors="replace")
 
-    return data.map(one, na_action="ignore")
+@F.pandas_udf(StringType())
+def decode(data: pd.Series) -> pd.Series:
+    """Bytes as text in the first of `ENCODINGS` that fits, else UTF-8 with replacements."""
+    return data.map(decoded, na_action="ignore")
 
 
 def without_tags(column):

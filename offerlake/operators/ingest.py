@@ -56,9 +56,9 @@ def scan_times(df: DataFrame, base: Column, place: Column, shop: str, *order: Co
 def merge_offers(state: DataFrame, new: DataFrame, now: Column, only_new: bool = False) -> DataFrame:
     """Upsert offers by `url`: the state after the merge, with the `change` of each row.
 
-    `change` is new, restock (it was sold out and no longer is), seen or absent. A new
-    offer's first sight is the shop's date, or now; a restocked one's is now; a seen
-    one's stays. Links are carried over. With `only_new`, seen rows stay as they were.
+    `change` is new, restock (it was sold out and no longer is), seen or absent. The first sight
+    of what is written is the shop's date if it gives one; else now for new and restocked offers,
+    and what it was for seen ones. Links are carried over. With `only_new`, seen rows stay as they were.
     """
     old = state.select(*(F.col(c).alias(f"old_{c}") if c != "url" else "url" for c in state.columns), F.lit(True).alias("known"))
     both = old.join(new.withColumn("fresh", F.lit(True)), "url", "full_outer")
@@ -67,11 +67,8 @@ def merge_offers(state: DataFrame, new: DataFrame, now: Column, only_new: bool =
     change = F.when(~fresh, "absent").when(~known, "new").when(restock, "restock").otherwise("seen")
     taken = F.col("change").isin("new", "restock") if only_new else F.col("change") != "absent"
     rows = both.withColumn("change", change)
-    first = (
-        F.when(F.col("change") == "new", F.coalesce("first_seen", now))
-        .when(F.col("change") == "restock", now)
-        .otherwise(F.col("old_first_seen"))
-    )
+    given = F.when(taken, F.col("first_seen"))
+    first = F.coalesce(given, F.when(F.col("change").isin("new", "restock"), now).otherwise(F.col("old_first_seen")))
     pick = lambda c: F.when(taken, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c)
     return rows.select(
         "url",

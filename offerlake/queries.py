@@ -379,7 +379,7 @@ _MERGE_SQL = f"""WITH {_SNAPSHOT_SQL}, both_rows AS (
     n.first_seen AS nfs, o.product_url AS ou, n.product_url AS nu
   FROM old o FULL OUTER JOIN fresh n ON o.url = n.url)
 SELECT url, CASE WHEN {{0}} THEN np ELSE op END AS price_value, CASE WHEN {{0}} THEN ns ELSE os END AS stock_status,
-  CASE change WHEN 'new' THEN coalesce(nfs, TIMESTAMP '1998-08-02') WHEN 'restock' THEN TIMESTAMP '1998-08-02' ELSE ofs END AS first_seen,
+  CASE WHEN {{0}} AND nfs IS NOT NULL THEN nfs WHEN change IN ('new', 'restock') THEN TIMESTAMP '1998-08-02' ELSE ofs END AS first_seen,
   CASE WHEN {{0}} THEN TIMESTAMP '1998-08-02' ELSE ofs END AS last_seen, coalesce(ou, nu) AS product_url, change
 FROM both_rows"""
 

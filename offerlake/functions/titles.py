@@ -71,6 +71,11 @@ def ingest_title(title: Column) -> Column:
     return collapse_spaces(F.regexp_replace(marked, "[0-9,]+円.*", ""))
 
 
+def without_marks(title: Column) -> Column:
+    """A part of a title without notices and stock marks."""
+    return collapse_spaces(F.regexp_replace(without_noise(title), rf"(?iu){_any(MARKS)}", ""))
+
+
 def prompt_title(title: Column) -> Column:
     """A title as an extractor gets it: no notices, shipping marks, discounts or best-before dates."""
     plain = without_noise(title, PROMPT_NOISE, BRACKETS[:6])

@@ -27,6 +27,12 @@ def image(product_image: Column, offer_image: Column) -> Column:
     return F.coalesce(_real(product_image), _real(offer_image), F.lit(NO_IMAGE))
 
 
+def group_image(product_image: Column, items: Column) -> Column:
+    """A group's image: the product's, else that of its cheapest item; items without a price come last, equal prices go by url."""
+    cheapest = F.array_min(F.transform(items, lambda i: F.struct(i.price_value.isNull().alias("none"), i.price_value, i.url, i.image)))
+    return image(product_image, cheapest.image)
+
+
 def money(price: Column) -> Column:
     """A price in whole yen with thousands apart; a dash for none or zero."""
     return F.when(F.coalesce(price, F.lit(0)) == 0, "¥-").otherwise(F.concat(F.lit("¥"), F.format_number(price, 0)))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.functions import text
+from offerlake.functions import text, titles
+from offerlake.operators.order import numbered
 from offerlake.plans.roles import Roles
 
 DEAD = "Dead Link"
 #: What a group keeps of each offer, and takes the greatest of; columns that a view lacks are left out.
 ITEM = (
     "price_value", "url", "shop", "stock_status", "first_seen", "name", "is_sale", "last_seen", "image", "sale_tag", "expiry_notice",
-    "is_set",
+    "is_set", "price",
 )
 DESCRIPTIVE = (
     "product_name", "producer_name", "style", "rating", "location", "product_type", "abv", "ibu", "rating_count", "product_image",
-    "producer_name_jp", "title_name_jp", "sale_tag", "expiry_notice",
+    "producer_name_jp", "title_name_jp", "sale_tag", "expiry_notice", "producer_type", "producer_logo", "fetched_at",
 )
 
 
@@ -40,9 +41,9 @@ def wide_view(roles: Roles) -> DataFrame:
     return wide
 
 
-def has_product(link: Column) -> Column:
-    """Whether a link leads to a product and not to a search."""
-    return link.isNotNull() & ~link.like("%/search?%")
+def has_product(link: Column, any_case: bool = False) -> Column:
+    """Whether a link leads to a product and not to a search, whose mark may be written in `any_case`."""
+    return link.isNotNull() & ~(link.ilike("%/search?%") if any_case else link.like("%/search?%"))
 
 
 def group_view(wide: DataFrame) -> DataFrame:
@@ -91,6 +92,30 @@ def producer_facet(wide: DataFrame) -> DataFrame:
     )
 
 
+def producer_options(wide: DataFrame) -> DataFrame:
+    """Producers as a list offers them: `producer_name`, `location`, `flag`, `search_text`, `place` from 1 on.
+
+    The location is the first that isn't empty, in order of url; the text is all names that titles gave the
+    producer. Names are placed as a reader expects, whatever their case and accents, equal ones by their bytes.
+    """
+    named = wide.where(F.col("producer_name") != "")
+    names = F.array("title_producer_jp", "title_producer_en")
+    options = named.groupBy("producer_name").agg(
+        F.min_by("location", F.when(F.col("location") != "", F.col("url"))).alias("location"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(names, lambda n: n != ""))))).alias("names"),
+    )
+    shown = options.select("producer_name", "location", titles.flag(F.col("location")).alias("flag"), F.array_join("names", " ").alias("search_text"))
+    placed = numbered(shown, F.collate("producer_name", "UNICODE_CI"), F.col("producer_name"), name="place")
+    return placed.withColumn("place", F.col("place") + 1)
+
+
+def shop_counts(wide: DataFrame) -> DataFrame:
+    """One row: the number of offers of each shop as a map, and their sum."""
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("shop", "n")))).alias("counts")
+    one = count_by(wide.where("shop IS NOT NULL"), "shop").agg(counts)  # a row for each shop
+    return one.withColumn("total", F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, b: a + b))
+
+
 def available_filters(wide: DataFrame, styles: int = 200) -> DataFrame:
     """The options that filters offer: `kind` (style or producer), `value`, `n`, `location`, `search_text`."""
     none = F.lit(None).cast("string")

@@ -21,7 +21,7 @@ REASONS = ("missing_info", "no_results", "validation_failed")
 def to_link(wide: DataFrame) -> DataFrame:
     """Offers that need a link: none or a search as link, and a beer or of unknown type."""
     kind = F.coalesce("product_type", F.lit("beer")) == "beer"
-    return wide.where(~has_product(F.coalesce("product_url", F.lit("/search?"))) & kind)
+    return wide.where(~has_product(F.coalesce("product_url", F.lit("/search?")), any_case=True) & kind)
 
 
 def to_refresh(wide: DataFrame, as_of: Column, days: int = 5) -> DataFrame:

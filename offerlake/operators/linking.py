@@ -36,7 +36,7 @@ def queue(wide: DataFrame, ledger: DataFrame, mode: str, now: Column, force: boo
     With `force` neither ledger nor age holds any back.
     """
     if mode == "missing":
-        unknown = ~has_product(F.coalesce("product_url", F.lit("/search?"))) | F.col("product_name").isNull()
+        unknown = ~has_product(F.coalesce("product_url", F.lit("/search?")), any_case=True) | F.col("product_name").isNull()
         rows = wide.where(unknown & (F.coalesce("product_type", F.lit("beer")) == "beer"))
         rows, order = ingest.due(rows, ledger, now, force=force), [F.desc_nulls_last("first_seen"), F.col("url")]
     elif mode == "refresh":

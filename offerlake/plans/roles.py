@@ -26,12 +26,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def benchmark_roles(spark: SparkSession, sf_dir: str) -> Roles:
     """The roles as played by the benchmark tables, with misses and nulls in every join."""
     key = F.col("o_orderkey")
-    sale = F.when(key % 13 == 0, " 20% OFF").when(key % 17 == 0, " SALE!!").when(key % 19 == 0, " sale").otherwise("")
+    sale = F.when(key % 13 == 0, " 20% OFF").when(key % 17 == 0, " SALE!!").when(key % 19 == 0, " sale").when(key % 23 == 0, " (賞味期限間近)").otherwise("")
     status = F.when(F.col("o_orderstatus") == "F", "In Stock").when(F.col("o_orderstatus") == "O", "Sold Out")
     offers = read(spark, sf_dir, "orders").select(
         key.cast("string").alias("url"),
         F.concat("o_orderpriority", F.lit(" lot "), (F.col("o_custkey") % 97).cast("string"), sale).alias("name"),
         F.col("o_totalprice").alias("price_value"),
+        F.concat(F.floor("o_totalprice").cast("string"), F.lit("円")).alias("price"),
         F.coalesce(status, F.when(key % 2 == 0, "Dead Link")).alias("stock_status"),
         F.col("o_orderpriority").alias("shop"),
         F.col("o_orderdate").alias("first_seen"),
@@ -50,6 +51,9 @@ def benchmark_roles(spark: SparkSession, sf_dir: str) -> Roles:
             F.when(kind == "A", "beer").when(kind == "N", "set").otherwise("glass").alias("product_type"),
             F.bool_or(F.col("l_linenumber") > 6).alias("is_set"),
             F.when(kind != "N", F.concat(F.lit("品"), kind)).alias("title_name_jp"),
+            F.concat(F.lit("Maker "), F.max("l_linestatus")).alias("title_producer_en"),
+            F.when(F.max("l_linestatus") == "F", "醸造F").alias("title_producer_jp"),
+            F.concat(F.lit("Beer "), F.max("l_linenumber").cast("string")).alias("title_name_en"),
         )
     )
     product = read(spark, sf_dir, "customer").select(
@@ -62,11 +66,15 @@ def benchmark_roles(spark: SparkSession, sf_dir: str) -> Roles:
         (F.col("c_custkey") * 7 % 1000).alias("rating_count"),
         F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("/label/"), F.col("c_custkey").cast("string"))).alias("product_image"),
         F.col("c_nationkey").cast("string").alias("producer_url"),
+        (F.lit("1998-07-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("c_custkey") % 40).cast("int"))).alias("fetched_at"),
     )
     producer = read(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("string").alias("producer_url"),
         F.col("n_name").alias("producer_name"),
         F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("醸造所"), F.col("n_nationkey").cast("string"))).alias("producer_name_jp"),
         F.col("n_regionkey").cast("string").alias("location"),
+        F.when(F.col("n_nationkey") % 3 == 0, "Micro").when(F.col("n_nationkey") % 3 == 1, "Brew Pub").alias("producer_type"),
+        F.concat(F.lit("/logo/"), F.col("n_nationkey").cast("string")).alias("producer_logo"),
+        F.col("n_nationkey").cast("long").alias("producer_id"),
     )
     return Roles(offers, extraction, product, producer, unique=True)  # grouped, or by a primary key

@@ -25,8 +25,8 @@ ROLES = r"""
 offers AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS url,
     concat(o_orderpriority, ' lot ', o_custkey % 97, CASE WHEN o_orderkey % 13 = 0 THEN ' 20% OFF'
-      WHEN o_orderkey % 17 = 0 THEN ' SALE!!' WHEN o_orderkey % 19 = 0 THEN ' sale' ELSE '' END) AS name,
-    o_totalprice AS price_value,
+      WHEN o_orderkey % 17 = 0 THEN ' SALE!!' WHEN o_orderkey % 19 = 0 THEN ' sale' WHEN o_orderkey % 23 = 0 THEN ' (賞味期限間近)' ELSE '' END) AS name,
+    o_totalprice AS price_value, concat(CAST(floor(o_totalprice) AS BIGINT), '円') AS price,
     CASE WHEN o_orderstatus = 'F' THEN 'In Stock' WHEN o_orderstatus = 'O' THEN 'Sold Out'
       WHEN o_orderkey % 2 = 0 THEN 'Dead Link' END AS stock_status,
     o_orderpriority AS shop, o_orderdate AS first_seen, o_orderdate + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS last_seen,
@@ -37,22 +37,25 @@ offers AS (
 ), extraction AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS url,
     CASE max(l_returnflag) WHEN 'A' THEN 'beer' WHEN 'N' THEN 'set' ELSE 'glass' END AS product_type,
-    bool_or(l_linenumber > 6) AS is_set, CASE WHEN max(l_returnflag) <> 'N' THEN concat('品', max(l_returnflag)) END AS title_name_jp
+    bool_or(l_linenumber > 6) AS is_set, CASE WHEN max(l_returnflag) <> 'N' THEN concat('品', max(l_returnflag)) END AS title_name_jp,
+    concat('Maker ', max(l_linestatus)) AS title_producer_en, CASE WHEN max(l_linestatus) = 'F' THEN '醸造F' END AS title_producer_jp, concat('Beer ', max(l_linenumber)) AS title_name_en
   FROM lineitem GROUP BY l_orderkey
 ), product AS (
   SELECT CAST(c_custkey AS VARCHAR) AS product_url, c_name AS product_name, c_mktsegment AS style,
     c_acctbal AS rating, (c_custkey % 140) / 10 AS abv, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 120 END AS ibu,
     c_custkey * 7 % 1000 AS rating_count, CASE WHEN c_custkey % 4 <> 0 THEN concat('/label/', c_custkey) END AS product_image,
-    CAST(c_nationkey AS VARCHAR) AS producer_url FROM customer
+    CAST(c_nationkey AS VARCHAR) AS producer_url, TIMESTAMP '1998-07-01' + to_days(CAST(c_custkey % 40 AS INTEGER)) AS fetched_at FROM customer
 ), producer AS (
   SELECT CAST(n_nationkey AS VARCHAR) AS producer_url, n_name AS producer_name,
-    CAST(n_regionkey AS VARCHAR) AS location, CASE WHEN n_nationkey % 2 = 0 THEN concat('醸造所', n_nationkey) END AS producer_name_jp
+    CAST(n_regionkey AS VARCHAR) AS location, CASE WHEN n_nationkey % 2 = 0 THEN concat('醸造所', n_nationkey) END AS producer_name_jp,
+    CASE n_nationkey % 3 WHEN 0 THEN 'Micro' WHEN 1 THEN 'Brew Pub' END AS producer_type, concat('/logo/', n_nationkey) AS producer_logo, CAST(n_nationkey AS BIGINT) AS producer_id
   FROM nation
 ), wide AS (
-  SELECT o.*, regexp_matches(o.name, '(?i)[0-9.]+%\s*OFF|SALE') AS is_sale,
-    nullif(regexp_extract(o.name, '[0-9.]+%\s*OFF|SALE!*'), '') AS sale_tag,
+  SELECT o.*, regexp_matches(o.name, '(?i)[0-9.]+%\s*OFF|SALE|賞味期限') AS is_sale,
+    nullif(regexp_extract(o.name, '[0-9.]+%\s*OFF|SALE!*'), '') AS sale_tag, nullif(regexp_extract(o.name, '賞味期限[^】)]+'), '') AS expiry_notice,
     e.product_type, e.is_set, p.product_name, p.style, p.rating, p.producer_url, r.producer_name, r.location,
-    p.abv, p.ibu, p.rating_count, p.product_image, r.producer_name_jp, e.title_name_jp
+    p.abv, p.ibu, p.rating_count, p.product_image, r.producer_name_jp, e.title_name_jp, e.title_producer_en, e.title_producer_jp, e.title_name_en,
+    p.fetched_at, r.producer_type, r.producer_logo, r.producer_id
   FROM offers o LEFT JOIN extraction e ON o.url = e.url LEFT JOIN product p ON o.product_url = p.product_url
   LEFT JOIN producer r ON p.producer_url = r.producer_url
   WHERE o.stock_status IS DISTINCT FROM 'Dead Link'
@@ -61,12 +64,13 @@ offers AS (
     max(style) AS style, max(rating) AS rating, max(location) AS location, max(product_type) AS product_type,
     bool_or(is_set) AS is_set, bool_or(is_sale) AS is_sale, min(price_value) AS min_price, max(price_value) AS max_price,
     max(first_seen) AS newest_seen, count(*) AS total_items, max(abv) AS abv, max(ibu) AS ibu, max(rating_count) AS rating_count,
-    max(product_image) AS product_image, max(producer_name_jp) AS producer_name_jp, max(title_name_jp) AS title_name_jp, max(sale_tag) AS sale_tag
+    max(product_image) AS product_image, max(producer_name_jp) AS producer_name_jp, max(title_name_jp) AS title_name_jp, max(sale_tag) AS sale_tag,
+    max(expiry_notice) AS expiry_notice, max(producer_type) AS producer_type, max(producer_logo) AS producer_logo, max(fetched_at) AS fetched_at
   FROM wide WHERE product_url IS NOT NULL AND product_url NOT LIKE '%/search?%' GROUP BY product_url
 )
 """
-WIDE = "url, name, price_value, stock_status, shop, first_seen, product_url, is_sale, sale_tag, product_type, is_set, product_name, style, rating, producer_name, location, last_seen, image, abv, ibu, rating_count, product_image, producer_name_jp, title_name_jp"
-GROUP = "product_url, original_name, product_name, producer_name, style, rating, location, product_type, is_set, is_sale, min_price, max_price, newest_seen, total_items, abv, ibu, rating_count, product_image, producer_name_jp, title_name_jp, sale_tag"
+WIDE = "url, name, price_value, stock_status, shop, first_seen, product_url, is_sale, sale_tag, product_type, is_set, product_name, style, rating, producer_name, location, last_seen, image, abv, ibu, rating_count, product_image, producer_name_jp, title_name_jp, price, expiry_notice, title_producer_en, title_producer_jp, title_name_en, fetched_at, producer_type, producer_logo, producer_id"
+GROUP = "product_url, original_name, product_name, producer_name, style, rating, location, product_type, is_set, is_sale, min_price, max_price, newest_seen, total_items, abv, ibu, rating_count, product_image, producer_name_jp, title_name_jp, sale_tag, expiry_notice, producer_type, producer_logo, fetched_at"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -237,12 +241,12 @@ def filter_eq_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ROLES} SELECT product_url, url, last_seen, image, sale_tag, is_set, stock_status FROM wide
+    f"""WITH {ROLES} SELECT product_url, url, last_seen, image, sale_tag, is_set, stock_status, price, expiry_notice FROM wide
     WHERE product_url IS NOT NULL AND product_url NOT LIKE '%/search?%'"""
 )
 def group_item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = groups(spark, sf_dir).select("product_url", F.explode("items").alias("item"))
-    return items.select("product_url", *(f"item.{c}" for c in ("url", "last_seen", "image", "sale_tag", "is_set", "stock_status")))
+    return items.select("product_url", *(f"item.{c}" for c in ("url", "last_seen", "image", "sale_tag", "is_set", "stock_status", "price", "expiry_notice")))
 
 
 @query(f"WITH {ROLES} SELECT url, producer_name FROM wide ORDER BY producer_name ASC NULLS FIRST, url LIMIT 40 OFFSET 20")
@@ -1050,4 +1054,4 @@ def fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries, registered on import
-from offerlake import linking_queries, source_queries  # noqa: E402,F401
+from offerlake import linking_queries, source_queries, view_queries  # noqa: E402,F401

@@ -247,7 +247,7 @@ def products(pages: DataFrame, base_url: str, url_col: str = "url", page_col: st
     """
     pages = _pages(pages.sparkSession, pages)
     rows = pages.sparkSession.sql(f"SELECT p.{url_col}, d.* FROM {{pages}} p, LATERAL product_page(p.{page_col}) d", pages=pages)
-    number = lambda c: F.regexp_replace(F.col(c), "[,%]", "").try_cast("double")
+    number = lambda c: F.regexp_replace(F.col(c), "[^0-9.]", "").try_cast("double")
     home = F.when(F.startswith("producer_url", F.lit("/")), F.concat(F.lit(base_url), "producer_url")).otherwise(F.col("producer_url"))
     return rows.withColumn("producer_url", home).withColumns(
         {"abv_value": number("abv"), "ibu_value": number("ibu"), "rating_value": number("rating"), "rating_count_value": number("rating_count").cast("long")}

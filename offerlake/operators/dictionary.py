@@ -32,6 +32,17 @@ def entries(entities: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.max("entity").alias("entity"))
 
 
+def aliases_in(documents: DataFrame, column: str) -> DataFrame:
+    """Entries of alias files: each row's text is a JSON object of an entity's name to a list of aliases. `key`, `entity`.
+
+    The name is a key as well. Unreadable texts, blank names and blank aliases give nothing.
+    """
+    listed = documents.select(F.explode(F.from_json(column, "map<string,array<string>>")).alias("entity", "aliases"))
+    names = F.concat(F.array("entity"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = listed.where(F.trim("entity") != "").select("entity", F.explode(names).alias("name")).where(F.trim("name") != "")
+    return rows.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.max("entity").alias("entity"))
+
+
 def lookup(texts: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Exact lookup of a column's lower-case text: adds `entity`."""
     return texts.join(dictionary, F.lower(F.trim(F.col(column))) == F.col("key"), "left").drop("key")

@@ -24,6 +24,11 @@ def to_link(wide: DataFrame) -> DataFrame:
     return wide.where(~has_product(F.coalesce("product_url", F.lit("/search?")), any_case=True) & kind)
 
 
+def first_link(*links: Column) -> Column:
+    """The first of several links that leads to a product."""
+    return F.coalesce(*(F.when(has_product(link), link) for link in links))
+
+
 def to_refresh(wide: DataFrame, as_of: Column, days: int = 5) -> DataFrame:
     """Linked offers in stock whose product facts are missing or stale, oldest first."""
     stale = F.col("fetched_at").isNull() | (F.col("fetched_at") < as_of - F.make_dt_interval(F.lit(days))) | F.col("product_name").isNull()

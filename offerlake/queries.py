@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerlake.functions import display, matching, text, titles
-from offerlake.operators import catalog, dictionary, ingest, linkage, search, stock
+from offerlake.operators import catalog, dictionary, ingest, keys, linkage, search, stock
 from offerlake.plans.roles import benchmark_roles, read
 from offerlake.plans.spec import SearchSpec
 from offerlake.sources import html, json_api
@@ -497,8 +497,8 @@ def numeric_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'set' WHEN lower(p_name) LIKE '%red%' THEN 'glass' ELSE 'beer' END AS kind FROM part")
 def classify_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("p_size") > 40, "set").when(F.lower("p_name").like("%red%"), "glass").otherwise("beer")
-    return read(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
+    cases = [(F.col("p_size") > 40, "set"), (F.lower("p_name").like("%red%"), "glass")]
+    return keys.classified(read(spark, sf_dir, "part"), "kind", cases, "beer").select("p_partkey", "kind")
 
 
 # Joins and sets
@@ -516,9 +516,8 @@ def semi_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def two_hop_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part")
-    first = Window.partitionBy("p_name").orderBy("p_partkey")
-    cache = parts.where("p_size > 25").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("p_name", F.col("p_brand").alias("cached"))
-    return parts.select("p_partkey", "p_name").join(cache, "p_name", "left").drop("p_name")
+    found = keys.first_known(parts.select("p_partkey", "p_name"), parts.where("p_size > 25"), "p_name", "p_brand", "cached", "p_partkey")
+    return found.select("p_partkey", "cached")
 
 
 @query(
@@ -526,15 +525,15 @@ def two_hop_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT l_orderkey, 2 FROM lineitem WHERE l_quantity > 49) GROUP BY key"""
 )
 def candidates_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = read(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("key"), F.lit(1).alias("pos"))
-    two = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("key"), F.lit(2).alias("pos"))
-    return one.unionByName(two).groupBy("key").agg(F.min("pos").alias("pos"))
+    one = read(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("key"))
+    two = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("key"))
+    return keys.first_source("key", one, two)
 
 
 @query("SELECT o_orderkey AS key FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")).distinct().join(lines, "key", "left_anti")
+    return keys.missing_keys(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), lines, "key")
 
 
 @query(
@@ -542,11 +541,8 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL"""
 )
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders")
-    flags = orders.groupBy(F.col("o_custkey").alias("key")).agg(
-        F.bool_or(F.col("o_orderstatus") == "F").alias("in_first"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("in_second")
-    )
-    return flags.where("in_first <> in_second").select("key", "in_first")
+    orders = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "key")
+    return keys.differing_keys(orders, "key", F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT")
 
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
@@ -816,9 +812,9 @@ def stale_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN customer c ON o.o_custkey = c.c_custkey"""
 )
 def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = read(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "o_custkey")
     names = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return newest.join(names, "o_custkey").select("o_orderkey", "c_name")
+    newest = keys.newest_with(read(spark, sf_dir, "orders"), names, "o_custkey", 200, F.desc("o_orderdate"), F.col("o_orderkey"))
+    return newest.select("o_orderkey", "c_name")
 
 
 @query(
@@ -829,15 +825,14 @@ def cached_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").cast("long").alias("v"))
     stored = F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("/search?q="), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
     first = F.when(F.col("v") > 40, F.concat(F.lit("x"), F.col("v").cast("string")))
-    own = F.when(catalog.has_product(F.col("stored")), F.col("stored"))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", stored.alias("stored"))
-    return rows.join(best, "o_orderkey", "left").select("o_orderkey", F.coalesce(first, own).alias("link"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", stored.alias("stored")).join(best, "o_orderkey", "left")
+    return rows.select("o_orderkey", linkage.first_link(first, F.col("stored")).alias("link"))
 
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY p_brand IN ('Brand#12', 'Brand#34') DESC, lower(p_brand), p_brand LIMIT 10")
 def selected_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = catalog.count_by(read(spark, sf_dir, "part"), "p_brand")
-    return counts.orderBy(F.col("p_brand").isin("Brand#12", "Brand#34").desc(), F.lower("p_brand"), "p_brand").limit(10)
+    return keys.chosen_first(counts, "p_brand", ("Brand#12", "Brand#34"), 10)
 
 
 # Record linkage

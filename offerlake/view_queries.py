@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.functions import display, matching, text
-from offerlake.operators import catalog, ingest, linkage
+from offerlake.operators import catalog, dictionary, ingest, linkage
 from offerlake.queries import ROLES, SCORE_TABLE, groups, query, read, wide
 from offerlake.sources import html
 
@@ -95,3 +95,13 @@ def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         html.unescape(F.concat(name, F.lit(" &amp; &lt;"))).alias("plain"),
         text.key(name).alias("key"),
     )
+
+
+@query(
+    """SELECT lower(key) AS key, max(entity) AS entity FROM (SELECT p_brand AS entity, unnest([p_brand, concat(p_brand, ' Co'), p_type]) AS key FROM part) GROUP BY lower(key)"""
+)
+def alias_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    named = part.groupBy("p_brand").agg(F.concat(F.array(F.concat("p_brand", F.lit(" Co")), F.lit("  ")), F.array_sort(F.collect_set("p_type"))).alias("aliases"))
+    files = named.select(F.to_json(F.map_from_arrays(F.array("p_brand"), F.array("aliases"))).alias("text"))
+    return dictionary.aliases_in(files.unionByName(part.select(F.lit("{broken").alias("text")).limit(3)), "text")

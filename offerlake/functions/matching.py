@@ -43,8 +43,9 @@ NOISE = (
 DESCRIBING = ("sour", "ale", "stout", "ipa", "lager", "pilsner")
 #: Style words that an expected name may not have alone where the candidate is an IPA.
 NOT_IPA = ("weizen", "stout", "porter", "pilsner")
-#: Two products of one producer that share a word: the word, and the marks of the other product.
-SHARED_WORD, OTHER_KEY, OTHER_WORD, OTHER_NEW = "engi", "engiland", "land", "new"
+#: Products of one producer that share a word and aren't the same: the word, and what marks the other product - a part of its
+#: key, a word, and a word that marks it only beside the first. Fixed values.
+CLASHING = [("engi", "engiland", "land", "new")]
 CORE_STYLES = (
     "Sake IPA", "Sake Ale", "Rice Ale", "Sake", "IPA", "DIPA", "TIPA", "Hazy IPA", "Double IPA", "Triple IPA", "NEIPA",
     "West Coast IPA", "Session IPA", "Stout", "Imperial Stout", "Pale Ale", "Lager", "Pilsner", "Sour", "Porter", "Ale",
@@ -178,15 +179,15 @@ def _words(text: str | None) -> set[str]:
 
 
 def _names_clash(candidate: str, expected: str) -> bool:
-    """Whether one name is the product that shares its word with the other, and only one of them is."""
-
-    def other(name: str, new: bool) -> bool:
-        return OTHER_KEY in key(name) or OTHER_WORD in _words(name) or new and OTHER_NEW in _words(name)
-
-    return any(
-        SHARED_WORD in _words(plain) and other(marked, True) and not other(plain, False)
-        for plain, marked in ((expected, candidate), (candidate, expected))
-    ) or (SHARED_WORD in _words(expected) and SHARED_WORD not in _words(candidate))
+    """Whether one name is a product of `CLASHING` and the other is the one that it shares a word with."""
+    for shared, part, word, beside in CLASHING:
+        marks = [(part in key(name) or word in _words(name), beside in _words(name)) for name in (candidate, expected)]
+        (strong, weak), (wanted, wanted_weak) = marks
+        if shared in _words(expected) and (shared not in _words(candidate) or ((strong or weak) and not wanted)):
+            return True
+        if shared in _words(candidate) and (wanted or wanted_weak) and not strong:
+            return True
+    return False
 
 
 def _styles_clash(candidate: str, expected: str, style: str | None) -> bool:

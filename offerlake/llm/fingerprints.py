@@ -8,8 +8,7 @@ level by level. Where a cut lies depends on a few symbols around it, so equal su
 get equal phrase names in their interior, wherever they begin.
 
 A fingerprint keeps, for each of `SLOTS` permutations, the least hash among the phrase
-names from level `FIRST_LEVEL` on (for texts without such phrases, among their top
-names); the share of equal slots estimates how alike the sets of phrases are.
+names of all levels; the share of equal slots estimates how alike the sets of phrases are.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ from offerlake.llm.tables import checkpointed, in_small_batches, parallelism
 SLOTS = 64
 #: Hexadecimal digits of a slot.
 SLOT_DIGITS = 4
-FIRST_LEVEL = 3
 LEVELS = 24
 #: Coin tosses that bring 64-bit names down to labels below six.
 TOSSES = 4
@@ -125,20 +123,14 @@ def fingerprints_of(texts: list[str]) -> list[str]:
     """The fingerprint of each text; an empty text has the one of all-zero slots."""
     factors, shifts = _permutations()
     slots = np.full((len(texts), SLOTS), np.iinfo(np.uint64).max, np.uint64)
-    top = np.zeros(len(texts), np.uint64)
-    level_of_top = np.zeros(len(texts), np.int64)
-    for level, names, owner in phrase_names(texts):
+    for _, names, owner in phrase_names(texts):
         edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         rows = owner[edges]
-        top[rows], level_of_top[rows] = np.maximum.reduceat(names, edges), level
-        if level >= FIRST_LEVEL:
-            for slot in range(SLOTS):
-                least = np.minimum.reduceat(names * factors[slot] + shifts[slot], edges)
-                slots[rows, slot] = np.minimum(slots[rows, slot], least)
-    short = (level_of_top < FIRST_LEVEL) & (level_of_top > 0)
-    slots[short] = top[short, None] * factors[None, :] + shifts[None, :]
+        for slot in range(SLOTS):
+            least = np.minimum.reduceat(names * factors[slot] + shifts[slot], edges)
+            slots[rows, slot] = np.minimum(slots[rows, slot], least)
     kept = mix(slots) >> np.uint64(64 - 4 * SLOT_DIGITS)
-    kept[level_of_top == 0] = 0
+    kept[np.fromiter(map(len, texts), np.int64, len(texts)) == 0] = 0
     raw = kept.astype(">u2").tobytes().hex()
     width = SLOTS * SLOT_DIGITS
     return [raw[i * width : (i + 1) * width] for i in range(len(texts))]

@@ -1,9 +1,11 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from offerlake.llm import fingerprints as fp
 from offerlake.llm import queries
+from offerlake.llm import shared_windows as sw
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +58,65 @@ def test_substrings_share_their_interior(spark):
     assert share(a, b) > 0.8 > 0.3 > share(a, c)
 
 
+def parsed_by_hand(text):
+    """The phrase names of each level, symbol by symbol in plain Python."""
+    mask = (1 << 64) - 1
+
+    def scatter(h):
+        h = ((h ^ h >> 31) * 0x7FB5D329728EA185) & mask
+        h = ((h ^ h >> 27) * 0x81DADEF4BC2DD44D) & mask
+        return h ^ h >> 33
+
+    def toss(labels):
+        out = [labels[0] & 1]
+        for before, label in zip(labels, labels[1:], strict=False):
+            low = ((before ^ label) & -(before ^ label)).bit_length() - 1
+            out.append(2 * low + (label >> low & 1))
+        return out
+
+    def named(phrase):
+        return scatter((sum(x * pow(int(sw._BASE), i, 1 << 64) for i, x in enumerate(phrase)) + len(phrase)) & mask)
+
+    names, levels = [ord(c) for c in text], []
+    while names:
+        runs = [[names[0], 0]]
+        for x in names:
+            if x != runs[-1][0]:
+                runs.append([x, 0])
+            runs[-1][1] += 1
+        hashed = [x if levels else scatter(x + 1) for x, _ in runs]
+        hashed = [scatter((h + n * int(fp._BASE)) & mask) if n > 1 else h for h, (_, n) in zip(hashed, runs, strict=True)]
+        labels = hashed if levels else [x for x, _ in runs]
+        for _ in range(fp.TOSSES):
+            labels = toss(labels)
+        last = len(labels) - 1
+        cut = [i == 0 or labels[i] < labels[i - 1] and (i == last or labels[i] <= labels[i + 1]) for i in range(last + 1)]
+        starts = [i for i, c in enumerate(cut) if c] + [last + 1]
+        names = [named(hashed[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+        levels.append(names)
+        if len(names) == 1:
+            return levels
+    return levels
+
+
+def test_phrases_and_slots_against_a_parse_by_hand():
+    texts = ["a", "aa", "ab", "abc", "mississippi", "aaaabaaaab" * 7, "Der Hund, der bellt: wau wau!", "é🙂" * 9 + "x" * 30, "the cat sat on the mat " * 20]
+    for text in texts:
+        want = parsed_by_hand(text)
+        assert [names.tolist() for _, names, _ in fp.phrase_names([text])] == want, text
+        every = {n for names in want for n in names}
+        mask = (1 << 64) - 1
+        slots = [min((n * int(f) + int(s)) & mask for n in every) for f, s in zip(*fp._permutations(), strict=True)]
+        kept = fp.mix(np.array(slots, np.uint64)) >> np.uint64(64 - 4 * fp.SLOT_DIGITS)
+        assert fp.fingerprints_of([text])[0] == kept.astype(">u2").tobytes().hex()
+
+
+def test_short_edited_texts_stay_alike():
+    texts = [f"a short text number {i * 7919} about things" for i in range(200)]
+    alike = [share(*fp.fingerprints_of([t, fp.edited(t, "Something else entirely follows here")])) for t in texts]
+    assert min(alike) > 0 and sum(alike) / len(alike) > 0.35
+
+
 def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = {w[0]: w for w in expected([(r.doc_id, r.text) for r in docs])}

@@ -69,19 +69,21 @@ def find_contained(
     n: int = 5,
     threshold: float = 0.8,
     miss: float = 1e-6,
+    least_words: int = 1,
 ) -> DataFrame:
     """Find the items of which a document holds at least `threshold` of the word n-grams.
 
     Returns one row for each pair, `id_col`, `item_col`, `containment` (0 to 1), however
     often the rows repeat. Texts compare by lower-case words without punctuation. An item
-    of fewer than `n` words is in every document that has these words one after the other.
+    of fewer than `n` words is in every document that has these words one after the other;
+    items of fewer than `least_words` aren't sought at all.
     Null and empty texts, texts without words, and rows with a null id are in no pair.
     Other columns are ignored.
     """
     named = items.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).alias("item"), F.col(item_text_col).alias("text")
     )
-    split_items = with_words(named, F.col("text")).where(F.size("words") > 0)
+    split_items = with_words(named, F.col("text")).where(F.size("words") >= max(1, least_words))
     sets = checkpointed(
         split_items.select(
             "item", F.array_distinct(_own_shingles(F.col("words"), n)).alias("shingles"), F.least(F.size("words"), F.lit(n)).alias("length")
@@ -102,15 +104,16 @@ def find_contained(
     grams = split.select("id", F.size("words").alias("n_words"), F.explode(grams_of(F.col("words"))).alias("probe"))
     enough = F.greatest(F.col("n_words") - (n - 1), F.lit(1)) >= F.col("n_shingles") * threshold
     found = grams.join(small(probe, F.lit(64)), "probe").where(enough).select("id", "item").distinct()
-    found = checkpointed(found)
-    wanted = found.groupBy("id").agg(F.collect_list("item").alias("sought"))
-    # an id's list has as many items as the benchmark at most
-    whole = with_words(texts.join(small(checkpointed(wanted), 32 + 32 * F.size("sought")), "id"), F.col("text"))
-    own = F.explode(F.array(F.array_distinct(grams_of(F.col("words"))))).alias("own")
-    pair = whole.select("id", "sought", own).select("id", "own", F.explode("sought").alias("item"))
-    pair = pair.join(small(sets, 64 + 8 * F.col("n_shingles")), "item")
-    shared = F.size(F.array_intersect("own", "shingles")) / F.col("n_shingles")
-    verified = pair.select("id", "item", shared.alias("containment"))
+    # a document's list has the items it may hold, as many as there are items at most, each with its own n-grams
+    wanted = checkpointed(found).join(small(sets, 64 + 8 * F.col("n_shingles")), "item")
+    wanted = checkpointed(wanted.groupBy("id").agg(F.collect_list(F.struct("item", "shingles")).alias("sought")))
+    grams_sought = F.aggregate("sought", F.lit(0), lambda n, s: n + F.size(s.shingles))
+    whole = with_words(texts.join(small(wanted, 32 + 32 * F.size("sought") + 8 * grams_sought), "id"), F.col("text"))
+    own = whole.select("id", "sought", F.explode(F.array(F.array_distinct(grams_of(F.col("words"))))).alias("own"))
+    held = F.transform(
+        "sought", lambda s: F.struct(s.item.alias("item"), (F.size(F.array_intersect(F.col("own"), s.shingles)) / F.size(s.shingles)).alias("containment"))
+    )
+    verified = own.select("id", F.explode(held).alias("held")).select("id", "held.*")
     return (
         verified.where(F.col("containment") >= threshold)
         .groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col))

@@ -44,6 +44,13 @@ def test_odd_rows_against_brute_force(spark):
     assert decontamination.find_contained(left, right.limit(0)).count() == 0
 
 
+def test_least_words(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "two words"), (3, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "yes, two words; one two three four five six")], "doc_id long, text string")
+    found = lambda least: sorted(r.item_id for r in decontamination.find_contained(docs, items, least_words=least).collect())
+    assert found(1) == [1, 2, 3] and found(2) == [2, 3] and found(5) == [3]
+
+
 def test_many_items_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
     harness.assert_same(spark, queries.op6_decontamination, queries.OP6_SQL, SF)

@@ -139,23 +139,48 @@ def to_fetch(wanted: DataFrame, known: DataFrame, as_of: Column, days: int = 7)
 
 
 def match_entities(found: DataFrame, entities: DataFrame) -> DataFrame:
-    """Match found producers (`url`, `name_en`) to entities (`entity`, `url`, `name_en`), by address, else by name.
+    """Match found producers (`url`, `name_en`) to entities (`entity`, `url`, `name_en`), by name, else by address.
 
-    Adds `entity` and `action`: update, insert, or skip where the name's owner has another address.
+    Adds `entity` and `action`: update, insert, or skip where the name's owner has another
+    address - two pages of one producer, of which the first known stays.
     """
     by_url = entities.where("url IS NOT NULL").groupBy("url").agg(F.min("entity").alias("by_url"))
     owner = F.min(F.struct("entity", F.col("url").alias("own_url"))).alias("owner")
     by_name = entities.groupBy(F.lower(F.trim("name_en")).alias("key")).agg(owner)
     joined = found.join(by_url, "url", "left").join(by_name, F.lower(F.trim(found["name_en"])) == F.col("key"), "left")
     other = F.col("owner.own_url").isNotNull() & F.col("url").isNotNull() & (F.col("owner.own_url") != F.col("url"))
-    action = (
-        F.when(F.col("by_url").isNotNull(), "update").when(F.col("owner").isNull(), "insert").when(other, "skip").otherwise("update")
-    )
-    return joined.select(
-        *found.columns,
-        F.when(action == "update", F.coalesce("by_url", "owner.entity")).alias("entity"),
-        action.alias("action"),
+    known = F.coalesce("owner.entity", "by_url")
+    action = F.when(other, "skip").when(known.isNotNull(), "update").otherwise("insert")
+    return joined.select(*found.columns, F.when(action == "update", known).alias("entity"), action.alias("action"))
+
+
+#: What a producer's page says of it.
+PRODUCER_FACTS = ("location", "producer_type", "website", "logo")
+
+
+def merge_producers(producers: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """Take what producers' pages say (`details.producers`: `url`, `producer_name`, facts) into the producers' table.
+
+    `producers` has `entity`, `url`, `name_en`, the facts and `updated_at`. A page updates the
+    producer it matches (`match_entities`): address, name and all facts are the page's, also where it has none. A page of nobody known
+    adds a producer with a null `entity`, for its store to number. Pages without a name and those that are skipped change nothing; of several pages of
+    one producer the one with the least address counts. Adds `change`: updated, inserted or kept.
+    """
+    named = found.where(F.trim("producer_name") != "").select("url", F.col("producer_name").alias("name_en"), *PRODUCER_FACTS)
+    pages = named.groupBy("url").agg(F.max(F.struct("name_en", *PRODUCER_FACTS)).alias("p")).select("url", "p.*")
+    matched = match_entities(pages, producers)
+    facts = ("url", "name_en", *PRODUCER_FACTS)
+    updates = matched.where("action = 'update'").groupBy("entity").agg(F.min(F.struct(*facts)).alias("new"))
+    updated = F.col("new").isNotNull()
+    old = producers.join(updates, "entity", "left").select(
+        "entity",
+        *(F.when(updated, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in facts),
+        F.when(updated, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(updated, "updated").otherwise("kept").alias("change"),
     )
+    inserts = matched.where("action = 'insert'").groupBy(F.lower(F.trim("name_en"))).agg(F.min(F.struct(*facts)).alias("new"))
+    none = F.lit(None).cast(producers.schema["entity"].dataType)
+    return old.unionByName(inserts.select(none.alias("entity"), "new.*", now.alias("updated_at"), F.lit("inserted").alias("change")))
 
 
 def conflicts(entities: DataFrame) -> DataFrame:

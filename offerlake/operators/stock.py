@@ -72,3 +72,14 @@ def check_pages(pages: DataFrame, rules: dict[str, StockRule] | None = None) ->
     )
     price = F.when(F.col("status").isin("In Stock", "Sold Out"), text.tax_included_price(F.col("said")))
     return judged.where(F.col("status") != "Error").select("url", "status", price.cast("double").alias("price"), "checked_at")
+
+
+def to_check(wide: DataFrame, limit: int | None = None, shops: tuple[str, ...] = (), by_rating: bool = False, sold_out: bool = False) -> DataFrame:
+    """Offers whose stock is to be checked, those not seen for longest first, or the best rated first.
+
+    Sold-out ones, and those whose stock isn't known, are left out unless `sold_out`; the url settles ties.
+    """
+    rows = wide if sold_out else wide.where(F.col("stock_status") != "Sold Out")
+    rows = rows.where(F.col("shop").isin(*shops)) if shops else rows
+    order = F.desc_nulls_last("rating") if by_rating else F.asc_nulls_first("last_seen")
+    return rows.orderBy(order, "url").limit(limit) if limit is not None else rows.orderBy(order, "url")

@@ -213,3 +213,18 @@ def scan_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.lit(datetime.datetime(2001, 1, 1)).cast("timestamp_ntz")
     timed = ingest.scan_times(read(spark, sf_dir, "orders"), base, place, "o_orderpriority", F.desc("o_orderdate"), F.col("o_orderkey"))
     return timed.select("o_orderkey", "seen")
+
+
+@query(
+    """SELECT p_partkey AS url, CASE WHEN p_size % 7 <> 0 THEN p_name END AS name,
+    CASE p_size % 3 WHEN 0 THEN concat(p_size, '100円') WHEN 1 THEN concat(p_size, '000円') END AS price FROM part"""
+)
+def offer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    tag = F.when(size % 2 == 0, "h2 class='productTitle'").when(size % 7 == 0, "h3").otherwise("h2 class='title x'")
+    price = F.when(size % 3 == 0, F.concat(F.lit("<p class='sale_price'>1 本 税込: ¥"), size.cast("string"), F.lit(",100</p>"))).when(
+        size % 3 == 1, F.concat(F.lit("<p class='sale_price'>¥ "), size.cast("string"), F.lit(",000 <b>税抜</b></p>"))
+    )
+    title = F.when((size % 7 == 0) & (size % 2 == 0), F.lit("<h2>none</h2>")).otherwise(F.concat(F.lit("<"), tag, F.lit("> "), "p_name", F.lit(" ¥1,234 (税込)</h2>")))
+    page = F.concat(F.lit("<body>"), title, F.coalesce(price, F.lit("<p>no price</p>")))
+    return details.offers(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"), page.alias("html")))

@@ -178,6 +178,9 @@ PRODUCT_RULES = {
     "rating": Rule((".details .num",), (), "()"),
     "rating_count": Rule((".details .raters",), (" Ratings", " Rating"), "()"),
 }
+#: Places of an offer's full name and price on its own page, and the patterns that cut them. Fixed values.
+OFFER_RULES = {"name": Rule(("h2.productTitle", "h2.title")), "price": Rule(("p.sale_price",))}
+AFTER_NAME, TAXED, ANY_PRICE = "¥[0-9,]+.*$", "税込:\\s*[¥￥]?\\s*([0-9,]+)", "([0-9,]+)"
 PRODUCER_LOGOS = Rule((".label img@src", ".basic img@src", ".logo img@src"))
 PRODUCER_COUNTS = {"total": "total_products", "unique": "unique_users", "monthly": "monthly_checkins", "ratings": "rating_count"}
 
@@ -215,6 +218,15 @@ def producer_facts(top: Element) -> dict[str, str | None]:
     return facts
 
 
+@F.udtf(returnType=", ".join(f"{name} string" for name in OFFER_RULES))
+class OfferPage:
+    """One row for each page of an offer: its full name and its price, as they stand there."""
+
+    def eval(self, page: str):
+        top = tree(page)
+        yield tuple(rule.read(top) for rule in OFFER_RULES.values())
+
+
 @F.udtf(returnType=PRODUCT_PAGE)
 class ProductPage:
     """One row for each page: the text of every field of `PRODUCT_RULES`, null where the page has none."""
@@ -234,11 +246,25 @@ class ProducerPage:
 
 
 def _pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    spark.udtf.register("offer_page", OfferPage)
     spark.udtf.register("product_page", ProductPage)
     spark.udtf.register("producer_page", ProducerPage)
     return pages
 
 
+def offers(pages: DataFrame, url_col: str = "url", page_col: str = "html") -> DataFrame:
+    """An offer's full name and price for each page: `url_col`, `name` without a price behind it, `price` in yen.
+
+    The price is the one with tax, else the first number. What a page lacks is null.
+    """
+    pages = _pages(pages.sparkSession, pages)
+    rows = pages.sparkSession.sql(f"SELECT p.{url_col}, d.* FROM {{pages}} p, LATERAL offer_page(p.{page_col}) d", pages=pages)
+    digits = lambda form: F.nullif(F.regexp_replace(F.regexp_extract("price", form, 1), ",", ""), F.lit(""))
+    price = F.concat(F.coalesce(digits(TAXED), digits(ANY_PRICE)), F.lit("円"))
+    name = F.nullif(F.trim(F.regexp_replace("name", AFTER_NAME, "")), F.lit(""))
+    return rows.select(url_col, name.alias("name"), price.alias("price"))
+
+
 def products(pages: DataFrame, base_url: str, url_col: str = "url", page_col: str = "html") -> DataFrame:
     """A product's facts for each page: `url_col`, the fields of `PRODUCT_RULES`, and `abv_value`, `ibu_value`, `rating_value`, `rating_count_value`.
 

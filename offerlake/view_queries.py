@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.functions import display, matching, text
-from offerlake.operators import catalog, dictionary, ingest, linkage
+from offerlake.operators import catalog, dictionary, ingest, linkage, stock
 from offerlake.queries import ROLES, SCORE_TABLE, groups, query, read, wide
 from offerlake.sources import html
 
@@ -105,3 +105,28 @@ def alias_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = part.groupBy("p_brand").agg(F.concat(F.array(F.concat("p_brand", F.lit(" Co")), F.lit("  ")), F.array_sort(F.collect_set("p_type"))).alias("aliases"))
     files = named.select(F.to_json(F.map_from_arrays(F.array("p_brand"), F.array("aliases"))).alias("text"))
     return dictionary.aliases_in(files.unionByName(part.select(F.lit("{broken").alias("text")).limit(3)), "text")
+
+
+@query(f"WITH {ROLES} SELECT url, last_seen FROM wide WHERE stock_status <> 'Sold Out' AND shop IN ('1-URGENT', '5-LOW') ORDER BY last_seen NULLS FIRST, url LIMIT 100")
+def stock_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stock.to_check(wide(spark, sf_dir), 100, ("1-URGENT", "5-LOW")).select("url", "last_seen")
+
+
+@query(
+    """WITH old AS (SELECT n_nationkey AS entity, CASE WHEN n_nationkey % 3 <> 0 THEN concat('/w/', n_nationkey) END AS url, n_name AS name_en, 'old' AS location FROM nation),
+    pages AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN concat('/w/', n_nationkey) WHEN 1 THEN concat('/w/', n_nationkey) WHEN 2 THEN concat('/vanity/', n_nationkey) ELSE concat('/new/', n_nationkey) END AS url,
+      CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN concat(n_name, ' renamed') WHEN 2 THEN n_name ELSE concat('fresh ', n_nationkey) END AS name_en FROM nation)
+    SELECT entity, CASE WHEN up THEN p.url ELSE old.url END AS url, CASE WHEN up THEN p.name_en ELSE old.name_en END AS name_en, CASE WHEN up THEN 'new' ELSE 'old' END AS location, CASE WHEN up THEN 'updated' ELSE 'kept' END AS change
+    FROM (SELECT *, CASE entity % 4 WHEN 0 THEN true WHEN 1 THEN url IS NOT NULL WHEN 2 THEN url IS NULL ELSE false END AS up FROM old) old JOIN pages p ON p.k = entity
+    UNION ALL SELECT NULL, url, name_en, 'new', 'inserted' FROM pages WHERE k % 4 = 3 OR (k % 4 = 1 AND k % 3 = 0)"""
+)
+def merged_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, k = F.col("n_nationkey"), F.col("n_nationkey") % 4
+    nation, none = read(spark, sf_dir, "nation"), F.lit(None).cast("string")
+    at = lambda place: F.concat(F.lit(place), key.cast("string"))
+    empty = [none.alias(c) for c in ("producer_type", "website", "logo")]
+    old = nation.select(key.alias("entity"), F.when(key % 3 != 0, at("/w/")).alias("url"), F.col("n_name").alias("name_en"), F.lit("old").alias("location"), *empty, F.lit(None).cast("timestamp").alias("updated_at"))
+    name = F.when(k == 0, F.lower("n_name")).when(k == 1, F.concat("n_name", F.lit(" renamed"))).when(k == 2, F.col("n_name")).otherwise(at("fresh "))
+    pages = nation.select(F.when(k < 2, at("/w/")).when(k == 2, at("/vanity/")).otherwise(at("/new/")).alias("url"), name.alias("producer_name"), F.lit("new").alias("location"), *empty)
+    merged = dictionary.merge_producers(old, pages, F.lit("2001-01-01").cast("timestamp"))
+    return merged.select("entity", "url", "name_en", "location", "change")

@@ -53,12 +53,16 @@ def scan_times(df: DataFrame, base: Column, place: Column, shop: str, *order: Co
     return joined.withColumn("seen", base + F.make_dt_interval(secs=place.cast("decimal(18,6)") + behind)).drop("_nth", "_rows")
 
 
-def merge_offers(state: DataFrame, new: DataFrame, now: Column, only_new: bool = False) -> DataFrame:
+def merge_offers(
+    state: DataFrame, new: DataFrame, now: Column, only_new: bool = False, first: Column | None = None, reset: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Upsert offers by `url`: the state after the merge, with the `change` of each row.
 
     `change` is new, restock (it was sold out and no longer is), seen or absent. The first sight
     of what is written is the shop's date if it gives one; else now for new and restocked offers,
     and what it was for seen ones. Links are carried over. With `only_new`, seen rows stay as they were.
+    `first` is a time to take instead of now for first sights, such as a scan's; with `reset` it also takes
+    the place of those that are known. Columns named in `carry` are the new rows' where these are written.
     """
     old = state.select(*(F.col(c).alias(f"old_{c}") if c != "url" else "url" for c in state.columns), F.lit(True).alias("known"))
     both = old.join(new.withColumn("fresh", F.lit(True)), "url", "full_outer")
@@ -68,15 +72,17 @@ def merge_offers(state: DataFrame, new: DataFrame, now: Column, only_new: bool =
     taken = F.col("change").isin("new", "restock") if only_new else F.col("change") != "absent"
     rows = both.withColumn("change", change)
     given = F.when(taken, F.col("first_seen"))
-    first = F.coalesce(given, F.when(F.col("change").isin("new", "restock"), now).otherwise(F.col("old_first_seen")))
+    fresh_sight = F.col("change").isin("new", "restock") | (taken & F.lit(reset))
+    sight = F.coalesce(given, F.when(fresh_sight, now if first is None else first).otherwise(F.col("old_first_seen")))
     pick = lambda c: F.when(taken, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c)
     return rows.select(
         "url",
         pick("price_value"),
         pick("stock_status"),
-        first.alias("first_seen"),
+        sight.alias("first_seen"),
         F.when(taken, now).otherwise(F.col("old_last_seen")).alias("last_seen"),
         F.coalesce("old_product_url", "product_url").alias("product_url"),
+        *map(pick, carry),
         "change",
     )
 

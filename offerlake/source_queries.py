@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.operators import ingest
+from offerlake.operators import scan as scanning
 from offerlake.queries import query, read
 from offerlake.sources import answers, details, shops
 
@@ -162,8 +163,7 @@ SHOPS = [
 ]
 
 
-@query(
-    f"""SELECT ['one', 'two', 'three', 'four'][s + 1] AS shop, page, CAST(pos AS INTEGER) AS pos,
+_SHOP_OFFERS_SQL = f"""SELECT ['one', 'two', 'three', 'four'][s + 1] AS shop, page, CAST(pos AS INTEGER) AS pos,
     CASE s WHEN 2 THEN concat('https://three.example/shopdetail/', p_partkey) ELSE concat('https://', ['one', 'two', '', 'four'][s + 1], '.example/products/h', p_partkey) END AS url,
     CASE WHEN s = 3 AND p_size % 2 = 0 THEN concat('[', p_brand, '] ', p_name) ELSE p_name END AS name,
     CASE s WHEN 2 THEN concat(p_size, ',000円') WHEN 3 THEN concat(p_size, '500円') ELSE concat(p_size * 100, '円') END AS price,
@@ -171,8 +171,9 @@ SHOPS = [
     CASE WHEN p_size % 3 = 0 THEN 'Sold Out' ELSE 'In Stock' END AS stock_status,
     CASE WHEN s = 0 AND p_size % 2 = 0 THEN TIMESTAMP '2025-03-01 10:00:00' WHEN s < 2 THEN TIMESTAMP '2025-01-02 00:30:00' END AS first_seen
     FROM {_LISTED} WHERE s <> 0 OR p_size % 5 <> 0"""
-)
-def shop_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey").cast("string")
     out = size % 3 == 0
     product = F.struct(
@@ -198,9 +199,13 @@ def shop_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_json = F.to_json(F.struct(F.transform("all", lambda p: p.product).alias("products")))
     as_html = F.concat(F.lit("<ul>"), F.array_join(F.transform("all", lambda p: p.item), "\n"), F.lit("<li>end"))
     body = F.when(F.col("shop").isin("one", "two"), as_json).otherwise(as_html)
-    raw = listed.select("shop", "page", F.encode(body, "utf-8").alias("body"))
-    found = shops.offers(raw, SHOPS)
+    return listed.select("shop", "page", F.encode(body, "utf-8").alias("body"))
+
+
+@query(_SHOP_OFFERS_SQL)
+def shop_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a JSON page's place counts all its products, also those that aren't wanted
+    found = shops.offers(_shop_pages(spark, sf_dir), SHOPS)
     return found.withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz"))
 
 
@@ -228,3 +233,49 @@ def offer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when((size % 7 == 0) & (size % 2 == 0), F.lit("<h2>none</h2>")).otherwise(F.concat(F.lit("<"), tag, F.lit("> "), "p_name", F.lit(" ¥1,234 (税込)</h2>")))
     page = F.concat(F.lit("<body>"), title, F.coalesce(price, F.lit("<p>no price</p>")))
     return details.offers(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"), page.alias("html")))
+
+
+# A scan of these shops into a state that knows half of their offers: some sold out, some gone from the pages
+
+_KNOWN_SQL = f"""found AS ({_SHOP_OFFERS_SQL}),
+state AS (SELECT url, 1.0 AS price_value, CASE WHEN pos % 3 = 0 THEN 'Sold Out' ELSE 'In Stock' END AS stock_status, TIMESTAMP '2020-01-01' AS first_seen, TIMESTAMP '2020-02-02' AS last_seen,
+    CASE WHEN pos % 2 = 0 THEN concat('/b/', pos) END AS product_url, 'old' AS name, 'old' AS price, NULL AS image, shop FROM found WHERE page % 2 = 0
+  UNION ALL SELECT concat('https://gone.example/', n_nationkey), 1.0, 'In Stock', TIMESTAMP '2020-01-01', TIMESTAMP '2020-02-02', NULL, 'old', 'old', NULL, 'one' FROM nation),
+timed AS (SELECT *, TIMESTAMP '2026-01-01' + to_seconds(list_position(['one', 'two', 'three', 'four'], shop) - 1)
+    + to_microseconds(row_number() OVER (PARTITION BY shop ORDER BY page DESC, pos DESC) - 1) AS seen FROM found)"""
+_SCAN_SQL = f"""WITH {_KNOWN_SQL}, joined AS (
+  SELECT coalesce(n.url, o.url) AS url, n.url IS NULL AS gone, CASE WHEN n.url IS NULL THEN 'absent' WHEN o.url IS NULL THEN 'new' WHEN o.stock_status = 'Sold Out' AND n.stock_status = 'In Stock' THEN 'restock' ELSE 'seen' END AS change,
+    n.price AS np, n.stock_status AS ns, n.first_seen AS nf, n.seen, n.name AS nn, n.image AS ni, n.shop AS nsh, o.* EXCLUDE (url) FROM timed n FULL OUTER JOIN state o ON n.url = o.url)
+SELECT url, CASE WHEN gone THEN price_value ELSE CAST(regexp_replace(np, '[^0-9]', '', 'g') AS DOUBLE) END AS price_value, CASE WHEN gone THEN stock_status ELSE ns END AS stock_status,
+  CASE WHEN gone THEN first_seen WHEN nf IS NOT NULL THEN nf WHEN change = 'seen' THEN first_seen ELSE seen END AS first_seen,
+  CASE WHEN gone THEN last_seen ELSE TIMESTAMP '2026-01-01' END AS last_seen, product_url, CASE WHEN gone THEN name ELSE nn END AS name, CASE WHEN gone THEN price ELSE np END AS price,
+  CASE WHEN gone THEN image ELSE ni END AS image, CASE WHEN gone THEN shop ELSE nsh END AS shop, change FROM joined"""
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> scanning.Scan:
+    pages = _shop_pages(spark, sf_dir)
+    known = shops.offers(pages, SHOPS).where("page % 2 = 0")
+    time = lambda day: F.lit(day).cast("timestamp_ntz")
+    none = F.lit(None).cast("string")
+    old = known.select(
+        "url", F.lit(1.0).alias("price_value"), F.when(F.col("pos") % 3 == 0, "Sold Out").otherwise("In Stock").alias("stock_status"), time("2020-01-01").alias("first_seen"), time("2020-02-02").alias("last_seen"),
+        F.when(F.col("pos") % 2 == 0, F.concat(F.lit("/b/"), F.col("pos").cast("string"))).alias("product_url"), F.lit("old").alias("name"), F.lit("old").alias("price"), none.alias("image"), "shop",
+    )
+    gone = read(spark, sf_dir, "nation").select(
+        F.concat(F.lit("https://gone.example/"), F.col("n_nationkey").cast("string")).alias("url"), F.lit(1.0).alias("price_value"), F.lit("In Stock").alias("stock_status"), time("2020-01-01").alias("first_seen"),
+        time("2020-02-02").alias("last_seen"), none.alias("product_url"), F.lit("old").alias("name"), F.lit("old").alias("price"), none.alias("image"), F.lit("one").alias("shop"),
+    )
+    return scanning.scan(pages, SHOPS, old.unionByName(gone), time("2026-01-01"))
+
+
+@query(_SCAN_SQL)
+def scan_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).state
+
+
+@query(
+    f"""SELECT shop, count(*) FILTER (WHERE change = 'new') AS "new", count(*) FILTER (WHERE change = 'restock') AS restocked, count(*) FILTER (WHERE change = 'seen') AS seen,
+    count(*) FILTER (WHERE change <> 'absent') AS written FROM ({_SCAN_SQL}) GROUP BY shop"""
+)
+def scan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).statistics

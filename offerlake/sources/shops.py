@@ -35,6 +35,7 @@ class ShopRule:
       `selector@attribute` or a selector; sold: places whose presence, and words (patterns) whose sight, say that it is sold out
     title: `plain` or `clean`, without the shop's notices; price_forms: patterns whose first group is the price's
       number, tried in order; without any the text itself
+    stop_after: known offers one after the other at which a scan for new ones ends
     """
 
     shop: str
@@ -54,6 +55,7 @@ class ShopRule:
     title: str = "plain"
     price_forms: tuple[str, ...] = ()
     encodings: tuple[str, ...] = html.ENCODINGS
+    stop_after: int = 50
 
     def __post_init__(self):
         if self.form not in ("json", "html") or self.title not in ("plain", "clean") or (self.form == "html" and not self.item):
@@ -75,7 +77,7 @@ LAYOUTS = {
     "photo list": ShopRule(
         "", "", "{base}/products/list.php?category_id=0&disp_number=100&pageno={page}", item=("div.gods_item",), link=("div.listphoto a@href",), name=("div.listrightbloc a",),
         price=("div.listrightbloc .price",), image=("div.listphoto a img@src",), sold=("p.soldout",), sold_words=("SOLD OUT", "売切"),
-        price_forms=("税込:\\s*[¥￥]?\\s*([0-9,]+)", "([0-9,]+)"),
+        price_forms=("税込:\\s*[¥￥]?\\s*([0-9,]+)", "([0-9,]+)"), stop_after=30,
     ),
     "link cards": ShopRule(
         "", "", "{base}/?mode=cate&sort=n&page={page}", item=("a.card",), link=("@href",), name=("img@alt", ".name"), price=("span.price",), sold=("span.soldout",), title="clean",

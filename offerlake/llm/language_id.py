@@ -52,9 +52,17 @@ def _cut(docs: DataFrame, lang_col: str, id_col: str, text_col: str, chars: int)
     )
 
 
+#: Shares of a language's rows whose first ones are found before those of all.
+SHARES = 64
+
+
 def _numbered(rows: DataFrame, until: int) -> DataFrame:
-    first = Window.partitionBy("lang").orderBy("place", "text")
-    return rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= until)
+    """The first `until` rows of each language, numbered; no task sees more of a language than the first ones of its shares."""
+    order = ("place", "text")
+    share = F.pmod(F.col("place"), F.lit(SHARES))
+    some = F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))
+    few = rows.withColumn("nth", some).where(F.col("nth") <= until)
+    return few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= until)
 
 
 def learn(

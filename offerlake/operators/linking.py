@@ -153,8 +153,9 @@ def run(
     alone. A new link is held against the title once more with its product's facts. `score` and `check` are
     the functions that say how well names match and whether a choice stands.
 
-    Every url has one outcome, with a link or one of `REASONS`. Links resolve the ledger's entries, reasons count
-    on in it. Offers with a null url are left out.
+    Every url has one outcome, with a link or one of `REASONS`; details_error has both, for the link stands and only its
+    product's facts are missing. Outcomes without a reason resolve the ledger's entries, reasons count on in it. Offers with a
+    null url are left out; of several rows of a url any one counts.
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.functions import display, matching, text
+from offerlake.functions import display, text
 from offerlake.operators import catalog, dictionary, ingest, linkage, stock
 from offerlake.queries import ROLES, SCORE_TABLE, groups, query, read, wide
 from offerlake.sources import html

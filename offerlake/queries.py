@@ -684,7 +684,12 @@ def html_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.list_offers(pages, html.OfferMarks("offer", "name", "price", "stock"), "https://shop", "html shop")
 
 
-@query()
+@query(
+    r"""SELECT page_id, coalesce(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(clean, '(?is)<title[^>]*>(.*?)</title>', 1),
+      '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '') AS title,
+      len(regexp_extract_all(clean, '(?i)<a\s[^>]*href')) AS n_links
+    FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g') AS clean FROM pages)"""
+)
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_facts(read(spark, sf_dir, "pages"))
 

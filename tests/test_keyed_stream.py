@@ -3,6 +3,7 @@
 import datetime
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from offerlake.operators import ingest
@@ -12,6 +13,15 @@ from offerlake.streaming import keyed
 T = datetime.datetime
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every partition of the state has a Python worker of its own, batch by batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def files(folder):
     return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet") and "_manifest" not in d}
 

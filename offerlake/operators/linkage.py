@@ -99,7 +99,8 @@ def validated(title: Column, product_name: Column, style: Column, producer: Colu
     says = lambda words: low.rlike("|".join(words))
     drink = ~F.coalesce(F.lower(style).rlike("rtd|cocktail|hard seltzer"), F.lit(False)) | says(MIXED_DRINKS)
     year = F.regexp_substr(name, F.lit(r"\b20\d{2}(?:by)?\b"))
-    vintage = year.isNull() | F.contains(low, year) | F.contains(low, F.replace(year, F.lit("by"), F.lit("")))
+    years = F.regexp_extract_all(low, F.lit(r"(?<![0-9a-z])(20[0-9]{2})(?:by)?(?![0-9a-z])"), 1)  # four digits within a code are no year
+    vintage = year.isNull() | F.array_contains(years, F.left(year, F.lit(4)))
     cask = ~name.rlike("real ale|cask") | says(CASK)
     agree = F.lit(True) if maker is None else producers_match(producer, maker)
     checked = F.coalesce(drink & vintage & cask & agree, F.lit(False))

@@ -190,10 +190,15 @@ def retrieve(wanted: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def link_offline(wanted: DataFrame, products: DataFrame) -> DataFrame:
-    """Products of the same name, case aside, whose producer's name holds the offer's maker: `url`, the least `product_url`."""
-    named = products.select("product_url", F.lower("product_name").alias("_name"), F.lower("producer_name").alias("_producer"))
-    met = wanted.where(F.length("maker") > 0).select("url", "maker", "name").join(named, F.lower("name") == F.col("_name")).where(F.contains("_producer", F.lower("maker")))
-    return met.groupBy("url").agg(F.min("product_url").alias("product_url"))
+    """Products of the same name, case aside, whose producer's name holds the offer's maker: `url`, the least `product_url`.
+
+    Distinct names with their makers and producers meet, so neither repeated offers nor repeated products multiply.
+    """
+    named = products.groupBy(F.lower("product_name").alias("_name"), F.lower("producer_name").alias("_producer")).agg(F.min("product_url").alias("product_url"))
+    rows = wanted.where(F.length("maker") > 0).select("url", F.lower("name").alias("_name"), F.lower("maker").alias("_maker"))
+    met = rows.select("_name", "_maker").distinct().join(named, "_name").where(F.contains("_producer", "_maker"))
+    best = met.groupBy("_name", "_maker").agg(F.min("product_url").alias("product_url"))
+    return rows.join(best, ["_name", "_maker"]).groupBy("url").agg(F.min("product_url").alias("product_url"))
 
 
 def second_chance(missed: DataFrame, inferred: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:

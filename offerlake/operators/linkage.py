@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import matching, text, titles
 from offerlake.functions.matching import match_score, producers_match
-from offerlake.operators import blocking
+from offerlake.operators import blocking, classes
 from offerlake.operators.catalog import has_product
+from offerlake.plans.lineage import checkpointed
 
 # What a title says of mixed drinks and of cask ale.
 MIXED_DRINKS = ("cocktail", "rtd", "ハードセイツァー", "カクテル", "チューハイ")
@@ -153,26 +154,30 @@ def keep_valid_links(linked: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def in_stages(found: DataFrame, enough: int = 5) -> DataFrame:
+def in_stages(found: DataFrame, enough: int = 5, size: str | None = None) -> DataFrame:
     """Candidates (`url`, `product_url`, `stage` from 1, `pos`) of the stages that are needed.
 
     A stage counts only where those before it brought fewer than `enough` candidates of
-    the offer; a product found twice stays with its first stage.
+    the offer; a product found twice stays with its first stage. The column `size` says how many products a candidate stands for.
     """
-    first = found.groupBy("url", "product_url").agg(F.min(F.struct("stage", "pos")).alias("at"))
-    counts = first.groupBy("url", "at.stage").agg(F.count(F.lit(1)).alias("n"))
+    number = F.lit(1).cast("long") if size is None else F.col(size)
+    first = found.groupBy("url", "product_url").agg(F.min(F.struct("stage", "pos")).alias("at"), F.max(number).alias("_size"))
+    counts = first.groupBy("url", "at.stage").agg(F.sum("_size").alias("n"))
     before = Window.partitionBy("url").orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)
     needed = counts.withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("had") < enough)
     kept = first.select("url", "product_url", "at.stage", "at.pos").join(needed.select("url", "stage"), ["url", "stage"], "left_semi")
     return kept.select("url", "product_url", "stage", "pos")
 
 
-def retrieve(wanted: DataFrame, products: DataFrame) -> DataFrame:
+def retrieve(wanted: DataFrame, products: DataFrame, enough: int = 5) -> DataFrame:
     """Products of an offer's makers (`url`, `maker`, `name`, `name_jp`) by name, else by Japanese name, else by token.
 
     A probe meets the products of its block whose name, or a word or written-out release
     of it, has the same key. Later stages count only where the earlier ones brought too few
     (`in_stages`): `url`, `product_url`, `stage` 1 to 3, `pos` of the token.
+
+    Offers with the same probes are one class, as are products with the same keys. Classes are joined and counted, tokens
+    only for classes whose names brought fewer than `enough`; what they found is written out for their members last.
     """
     probe = lambda stage, pos, c: F.struct(F.lit(stage).alias("stage"), pos.alias("pos"), text.key(c).alias("probe"))
     kind = "array<struct<stage:int,pos:int,probe:string>>"
@@ -180,13 +185,27 @@ def retrieve(wanted: DataFrame, products: DataFrame) -> DataFrame:
     tried = F.transform(F.slice(F.array_distinct(tokens), 1, text.TRIED), lambda t, i: probe(3, i, t)).cast(kind)
     whole = F.array(probe(1, F.lit(0), text.without_year(F.col("name"))), probe(2, F.lit(0), text.without_year(F.col("name_jp")))).cast(kind)
     makers = wanted.select("url", F.explode(text.collaborators(F.col("maker"))).alias("one"), F.concat(whole, tried).alias("probes"))
-    left = makers.select("url", block(F.col("one")).alias("block"), F.explode("probes").alias("p")).select("url", "block", "p.*").where("probe <> ''")
+    left = makers.select("url", block(F.col("one")).alias("block"), F.explode("probes").alias("p")).select("url", "block", "p.*").where("block IS NOT NULL AND probe <> ''")
     name = F.col("product_name")
     release = F.regexp_extract(text.expand_abbreviations(name), r"(?i)limited release [0-9]+", 0)
     held = F.concat(F.array(text.without_year(name), release), F.split(name, r"[\s/—–\-()（）\[\]]+"), F.regexp_extract_all(name, F.lit("([0-9]+)")))
     keys = F.array_distinct(F.transform(held, text.key))
-    right = products.select("product_url", block(F.col("producer_name")).alias("block"), F.explode(keys).alias("probe")).distinct()
-    return in_stages(left.join(right, ["block", "probe"]).select("url", "product_url", "stage", "pos"))
+    right = products.select("product_url", block(F.col("producer_name")).alias("block"), F.explode(keys).alias("probe")).where("block IS NOT NULL AND probe <> ''")
+
+    # what an offer or a product is found by makes its class; offers without a url are found by nobody
+    sets = lambda df, key, *columns: df.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("by"))
+    offers, goods = checkpointed(sets(left.where("url IS NOT NULL"), "url", "block", "stage", "pos", "probe")), checkpointed(sets(right, "product_url", "block", "probe"))
+    ours = offers.select("by").distinct().select(F.col("by").alias("url"), F.explode("by").alias("p")).select("url", "p.*")
+    theirs = goods.groupBy("by").agg(F.count(F.lit(1)).alias("size")).select(F.col("by").alias("product_url"), "size", F.explode("by").alias("p"))
+    theirs = theirs.select("product_url", "size", "p.*")
+    by_name = ours.where("stage < 3").join(theirs, ["block", "probe"]).select("url", "product_url", "size", "stage", "pos")
+    settled = by_name.select("url", "product_url", "size").distinct().groupBy("url").agg(F.sum("size").alias("n")).where(F.col("n") >= enough)
+    by_token = ours.where("stage = 3").join(settled.select("url"), "url", "left_anti").join(theirs, ["block", "probe"]).select("url", "product_url", "size", "stage", "pos")
+    needed = in_stages(by_name.unionByName(by_token), enough, "size")
+    one = classes.grouped(offers, "by").select(F.col("by").alias("url"), F.col("members").alias("l"))
+    two = classes.grouped(goods, "by").select(F.col("by").alias("product_url"), F.col("members").alias("r"))
+    met = needed.join(one, "url").join(two, "product_url").select("stage", "pos", "l", "r")
+    return classes.written_out(met, "l", "r").select("l.url", "r.product_url", "stage", "pos")
 
 
 def link_offline(wanted: DataFrame, products: DataFrame) -> DataFrame:

@@ -239,10 +239,15 @@ def variants_clash(candidate: Column, expected: Column) -> Column:
     A candidate may go on after an expected name that has no variants, if what follows has
     the variants or a style.
     """
-    one, two, long, short = text.variants(candidate), text.variants(expected), text.key(candidate), text.key(expected)
-    rest = F.substr(long, F.length(short) + 1)
+    held = F.struct(text.variants(candidate).alias("one"), text.variants(expected).alias("two"))
+    return text.let(held, lambda v: _clash(candidate, expected, v["one"], v["two"]))
+
+
+def _clash(candidate: Column, expected: Column, one: Column, two: Column) -> Column:
+    """`variants_clash` of names whose variants are known."""
+    long, short = text.key(candidate), text.key(expected)
     describing = F.array(*map(F.lit, matching.DESCRIBING))
-    described = F.exists(F.concat(one, describing), lambda w: F.contains(rest, w))
+    described = text.let(F.substr(long, F.length(short) + 1), lambda rest: F.exists(F.concat(one, describing), lambda w: F.contains(rest, w)))
     extends = (F.size(two) == 0) & (F.length(short) >= 4) & F.startswith(long, short) & described
     return (one != two) & ~extends
 
@@ -334,10 +339,12 @@ def link(
 
 def wrong_variants(linked: DataFrame) -> DataFrame:
     """Links whose two names disagree on variants (`variants_clash`): `url`, `product_url`, and what either lacks."""
-    ours, theirs = text.variants(F.col("name")), text.variants(F.col("product_name"))
-    return linked.where(variants_clash(F.col("product_name"), F.col("name"))).select(
+    held = F.struct(text.variants(F.col("name")).alias("ours"), text.variants(F.col("product_name")).alias("theirs"))
+    # a generated column: the filter and the result don't look for the variants once more
+    both = linked.select("url", "product_url", "name", "product_name", F.explode(F.array(held)).alias("v")).select("*", "v.ours", "v.theirs")
+    return both.where(_clash(F.col("product_name"), F.col("name"), F.col("theirs"), F.col("ours"))).select(
         "url",
         "product_url",
-        F.array_join(F.array_except(ours, theirs), ",").alias("only_ours"),
-        F.array_join(F.array_except(theirs, ours), ",").alias("only_theirs"),
+        F.array_join(F.array_except("ours", "theirs"), ",").alias("only_ours"),
+        F.array_join(F.array_except("theirs", "ours"), ",").alias("only_theirs"),
     )

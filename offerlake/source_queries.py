@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerlake.operators import ingest
 from offerlake.operators import scan as scanning
+from offerlake.plans.roles import dealt
 from offerlake.queries import query, read
 from offerlake.sources import answers, details, shops
 
@@ -52,7 +53,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         size.cast("string"),
         F.lit(",234 Ratings</p></div>"),
     )
-    pages = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"), F.when(k != 6, page).otherwise("<div class='name'><b>gone").alias("html"))
+    pages = dealt(read(spark, sf_dir, "part")).select(F.col("p_partkey").alias("url"), F.when(k != 6, page).otherwise("<div class='name'><b>gone").alias("html"))
     facts = details.products(pages, "https://pages.example")
     columns = ("product_name", "producer_name", "producer_url", "style", "label", "abv_value", "ibu_value", "rating_value", "rating_count_value")
     return facts.select(F.col("url").alias("page_id"), *columns)
@@ -86,7 +87,7 @@ def producer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_nationkey").cast("string"),
         F.lit("</b></div><div class='item'><b class='title'>Odd</b></div></div>"),
     )
-    made = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    made = dealt(read(spark, sf_dir, "supplier")).join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     facts = details.producers(made.select(F.col("s_suppkey").alias("url"), page.alias("html")))
     columns = ("producer_name", "location", "producer_type", "logo", "website", "total_products_value", "rating_count_value")
     return facts.select(F.col("url").alias("page_id"), *columns)
@@ -126,7 +127,7 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 5, F.concat(said, F.lit("}}} ]"), said))
         .when(k == 6, F.substring(said, 1, 60))
     )
-    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", answer.alias("answer"))
+    rows = dealt(read(spark, sf_dir, "part")).select("p_partkey", "p_name", answer.alias("answer"))
     found = answers.extraction(answers.read_answers(rows), "p_name")
     return found.select(
         "p_partkey", F.col("object").isNotNull().alias("has_object"), "object", "producer_en", "name_en", "name_jp", "search_hint", "product_type", "is_set",
@@ -148,7 +149,7 @@ def suggested_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(F.concat(F.lit("q"), F.col("p_size").cast("string")), F.lit("  "), "p_type").alias("queries"),
         )
     )
-    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("```"), said, F.lit("```")).alias("answer"))
+    rows = dealt(read(spark, sf_dir, "part")).select("p_partkey", F.concat(F.lit("```"), said, F.lit("```")).alias("answer"))
     return answers.queries_to_try(answers.read_answers(rows, noisy=False), "p_partkey")
 
 
@@ -232,7 +233,7 @@ def offer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     title = F.when((size % 7 == 0) & (size % 2 == 0), F.lit("<h2>none</h2>")).otherwise(F.concat(F.lit("<"), tag, F.lit("> "), "p_name", F.lit(" ¥1,234 (税込)</h2>")))
     page = F.concat(F.lit("<body>"), title, F.coalesce(price, F.lit("<p>no price</p>")))
-    return details.offers(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"), page.alias("html")))
+    return details.offers(dealt(read(spark, sf_dir, "part")).select(F.col("p_partkey").alias("url"), page.alias("html")))
 
 
 # A scan of these shops into a state that knows half of their offers: some sold out, some gone from the pages

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import display, text
 from offerlake.operators import catalog, dictionary, ingest, linkage, stock
+from offerlake.plans.roles import dealt
 from offerlake.queries import ROLES, SCORE_TABLE, groups, query, read, wide
 from offerlake.sources import html
 
@@ -64,14 +65,14 @@ def wrong_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 4
     name = F.concat("p_name", F.when(k == 0, " Mango").when(k == 2, " with Coffee").otherwise(""))
     other = F.concat(F.when(k == 1, "Coffee ").when(k == 2, "Coffee ").otherwise(""), "p_name")
-    linked = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"), F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("product_url"), name.alias("name"), other.alias("product_name"))
+    linked = dealt(read(spark, sf_dir, "part")).select(F.col("p_partkey").alias("url"), F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("product_url"), name.alias("name"), other.alias("product_name"))
     return linkage.wrong_variants(linked)
 
 
 @query("SELECT p_partkey AS page_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN 'name' ELSE 'price' END AS class, CASE pos WHEN 0 THEN p_name ELSE concat(p_size, '円 & more') END AS text FROM part, range(0, 2) AS r(pos)")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("<div><p class='x'>no</p><b class='big name'> "), "p_name", F.lit("</b><i class='price'>"), F.col("p_size").cast("string"), F.lit("円 <u>&amp;</u> more</i>"))
-    return html.page_blocks(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html")), ["name", "price"])
+    return html.page_blocks(dealt(read(spark, sf_dir, "part")).select(F.col("p_partkey").alias("page_id"), page.alias("html")), ["name", "price"])
 
 
 _PAIRS = "(VALUES " + ", ".join(f"({n}, {row[5]})" for n, row in enumerate(SCORE_TABLE)) + ") AS t(n, score)"

@@ -301,17 +301,31 @@ def decide(scores: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     return ranked.where(allowed).groupBy("url", "product_url").agg(F.max("score").alias("score"))
 
 
+def _scored_classes(wanted: DataFrame, products: DataFrame, blocks: DataFrame | None, score: Score) -> tuple[DataFrame, DataFrame]:
+    """Offers with their `class`, which is maker, name and blocks, and the scores above 0 of each class."""
+    rows = wanted.where("name IS NOT NULL AND maker IS NOT NULL").select("url", "maker", "name").distinct()
+    if blocks is None:
+        rows = rows.withColumn("blocks", F.array().cast("array<string>"))
+    else:
+        rows = rows.join(blocks.groupBy("url").agg(F.array_sort(F.collect_set("block")).alias("blocks")), "url")
+    rows = rows.select("url", F.struct("maker", "name", "blocks").alias("class"))
+    alike = rows.select(F.col("class").alias("url"), "class.maker", "class.name").distinct()
+    pairs = candidates(alike, products, None if blocks is None else alike.select("url", F.explode("url.blocks").alias("block")))
+    name = F.col("name")
+    tries = F.when(name.rlike(r"\b20\d{2}\b"), F.array(name, text.without_year(name))).otherwise(F.array(name))
+    tried = pairs.withColumn("tries", tries).select(*(c for c in pairs.columns if c != "name"), F.posexplode("tries").alias("retry", "name"))
+    return rows, scored(tried, score).where("score > 0").withColumnRenamed("url", "class")
+
+
 def link_scores(wanted: DataFrame, products: DataFrame, blocks: DataFrame | None = None, score: Score = match_score) -> DataFrame:
     """Candidates of offers (`url`, `maker`, `name`) with a score above 0, and the products' facts.
 
     A name with a year is also tried without it, and such scores count where the name itself
-    brought none: `retry`. The candidates are the same, for years name no block.
+    brought none: `retry`. The candidates are the same, for years name no block. Offers of the same maker, name and blocks
+    are scored as one.
     """
-    name = F.col("name")
-    tries = F.when(name.rlike(r"\b20\d{2}\b"), F.array(name, text.without_year(name))).otherwise(F.array(name))
-    pairs = candidates(wanted.where("name IS NOT NULL AND maker IS NOT NULL"), products, blocks).withColumn("tries", tries)
-    tried = pairs.select(*(c for c in pairs.columns if c not in ("name", "tries")), F.posexplode("tries").alias("retry", "name"))
-    good = scored(tried, score).where("score > 0")
+    rows, found = _scored_classes(wanted, products, blocks, score)
+    good = rows.join(checkpointed(found), "class").drop("class")
     needed = good.groupBy("url").agg(F.min("retry").alias("retry"))
     return good.join(needed, ["url", "retry"])
 
@@ -326,8 +340,10 @@ def link(
     """
     said = F.col("title") if "title" in wanted.columns else F.col("name")
     rows = wanted.select("url", "maker", "name", said.alias("title"))
-    best = F.min(F.struct((-F.col("score")).alias("order"), "product_url", "product_name", "producer_name", "style")).alias("best")
-    chosen = link_scores(rows, products, blocks, score).groupBy("url").agg(best).select("url", "best.*")
+    # the least try that brought a score, and of its candidates the best: of each class, then of the offer's classes
+    best = F.min(F.struct("retry", (-F.col("score")).alias("order"), "product_url", "product_name", "producer_name", "style")).alias("best")
+    offers, good = _scored_classes(rows, products, blocks, score)
+    chosen = offers.join(good.groupBy("class").agg(best), "class").groupBy("url").agg(F.min("best").alias("best")).select("url", "best.*")
     told = rows.groupBy("url").agg(F.max("title").alias("title"), F.bool_or(F.col("name").isNotNull() & F.col("maker").isNotNull()).alias("whole"))
     joined = told.join(chosen, "url", "left")
     ok = check(F.col("title"), F.col("product_name"), F.col("style"), F.col("producer_name"))

@@ -56,3 +56,32 @@ def test_runs_over_digests_that_hold_a_year(spark, tmp_path):
         connection.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
         theirs = connection.execute(f"SELECT {', '.join(frame.columns)} FROM ({sql}) ORDER BY url").fetchall()
         assert [tuple(r) for r in frame.orderBy("url").collect()] == theirs
+
+
+def test_offers_of_the_same_name_are_scored_once(spark, monkeypatch):
+    offers = spark.range(2000).select(F.col("id").cast("string").alias("url"), F.lit("Maker").alias("maker"), F.lit("Hot Ring").alias("name"))
+    goods = spark.createDataFrame([("/b/1", "Hot Ring", "Maker", "Ale"), ("/b/2", "Hot Bolt", "Maker", "Ale")], "product_url string, product_name string, producer_name string, style string")
+    whole, asked = linkage.candidates, []
+    monkeypatch.setattr(linkage, "candidates", lambda wanted, *rest: asked.append(wanted.count()) or whole(wanted, *rest))
+    found = linkage.link(offers, goods)
+    assert found.groupBy("product_url", "score", "reason").count().collect() == [("/b/1", 100, None, 2000)]
+    assert asked == [1]
+
+
+def test_variants_are_looked_for_once(spark):
+    rows = spark.createDataFrame([("a", "p", "Ring Mango BA", "Ring")], "url string, product_url string, name string, product_name string")
+    wrong = linkage.wrong_variants(rows)
+    assert wrong.collect() == [("a", "p", "barrelaged,mango", "")]
+    plan = wrong._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bourbon barrel aged") <= 4  # one chain of replacements a name
+
+
+def test_small_files_are_dealt_over_all_tasks(spark):
+    for name in ("product_pages", "wrong_variants", "html_offers", "suggested_queries", "text_rules"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 8, true" in plan, name
+
+
+def test_a_scan_reads_its_pages_once(spark):
+    frame = __spark_entry__.queries()["scan_state"](spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in frame._jdf.queryExecution().optimizedPlan().toString()

@@ -52,7 +52,20 @@ def scan(
     it stands last, as the oldest. First sights without a date of the shop are `now`, a second for each
     shop before in `rules` and a microsecond for each offer behind; with `reset_dates` those of known offers as well.
     """
-    found = shops.offers(pages, rules)
+    return merged(shops.offers(pages, rules), rules, state, now, only_new, full, reset_dates, limit)
+
+
+def merged(
+    found: DataFrame,
+    rules: list[shops.ShopRule],
+    state: DataFrame,
+    now: Column,
+    only_new: bool = False,
+    full: bool = False,
+    reset_dates: bool = False,
+    limit: int | None = None,
+) -> Scan:
+    """`scan` of offers that are read already (`shops.offers`)."""
     if only_new and not full:
         found = until_known(found, state, rules)
     if limit is not None:
@@ -66,5 +79,5 @@ def scan(
         "url", text.price_digits(F.col("price")).cast("double").alias("price_value"), "stock_status", F.col("first_seen").cast(kind).alias("first_seen"),
         F.lit(None).cast("string").alias("product_url"), *CARRIED, "seen",
     )
-    merged = ingest.merge_offers(state, new, now, only_new, first=F.col("seen"), reset=reset_dates, carry=CARRIED)
-    return Scan(merged, ingest.run_statistics(merged, "shop"))
+    after = ingest.merge_offers(state, new, now, only_new, first=F.col("seen"), reset=reset_dates, carry=CARRIED)
+    return Scan(after, ingest.run_statistics(after, "shop"))

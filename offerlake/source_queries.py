@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerlake.operators import ingest
 from offerlake.operators import scan as scanning
+from offerlake.plans.lineage import checkpointed
 from offerlake.plans.roles import dealt
 from offerlake.queries import query, read
 from offerlake.sources import answers, details, shops
@@ -254,8 +255,8 @@ SELECT url, CASE WHEN gone THEN price_value ELSE CAST(regexp_replace(np, '[^0-9]
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> scanning.Scan:
-    pages = _shop_pages(spark, sf_dir)
-    known = shops.offers(pages, SHOPS).where("page % 2 = 0")
+    found = checkpointed(shops.offers(_shop_pages(spark, sf_dir), SHOPS))  # the pages are read once, for the scan and for what is known
+    known = found.where("page % 2 = 0")
     time = lambda day: F.lit(day).cast("timestamp_ntz")
     none = F.lit(None).cast("string")
     old = known.select(
@@ -266,7 +267,7 @@ def _scan(spark: SparkSession, sf_dir: str) -> scanning.Scan:
         F.concat(F.lit("https://gone.example/"), F.col("n_nationkey").cast("string")).alias("url"), F.lit(1.0).alias("price_value"), F.lit("In Stock").alias("stock_status"), time("2020-01-01").alias("first_seen"),
         time("2020-02-02").alias("last_seen"), none.alias("product_url"), F.lit("old").alias("name"), F.lit("old").alias("price"), none.alias("image"), F.lit("one").alias("shop"),
     )
-    return scanning.scan(pages, SHOPS, old.unionByName(gone), time("2026-01-01"))
+    return scanning.merged(found, SHOPS, old.unionByName(gone), time("2026-01-01"))
 
 
 @query(_SCAN_SQL)

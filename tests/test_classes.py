@@ -85,3 +85,9 @@ def test_small_files_are_dealt_over_all_tasks(spark):
 def test_a_scan_reads_its_pages_once(spark):
     frame = __spark_entry__.queries()["scan_state"](spark, "/root/testdata/sf0.001")
     assert "MapInPandas" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_are_searched_by_one_worker_of_a_task(spark):
+    for name in ("extract_faults", "extract_offers"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("EvalPython") == 1, (name, plan.count("EvalPython"))

@@ -1,10 +1,11 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 Each paragraph (line) of a text is cut into overlapping windows of words, and each window
-becomes a sparse vector of hashed word 1-, 2- and 3-grams. A multinomial logistic
-regression, trained on cut template notices, alone and within words of the corpus, and on
-windows of the corpus, gives it a licence family or none. A family counts only above a
-probability calibrated on paragraphs that the training did not see; it is confirmed if
+becomes a sparse vector of those hashed word 1-, 2- and 3-grams that a template has. A
+multinomial logistic regression, trained on cut template notices, alone and within windows
+of the corpus, and on all windows of half the corpus' texts, gives it a licence family or
+none. Windows of equal grams count once. A family counts only above a
+probability calibrated on all windows of the other half; it is confirmed if
 the window holds enough of the word pairs of one of the family's templates, and is
 otherwise reported as an unknown licence. A notice that is wrapped over several lines is
 found in the words around its licence-like lines.
@@ -12,6 +13,7 @@ found in the words around its licence-like lines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerlake.llm.tables import checkpointed
+from offerlake.llm.tables import checkpointed, discard, shared_folder, written
 
 #: Short notices by family. Fixed texts: they are how the licences are usually named.
 TEMPLATES = {
@@ -72,19 +74,21 @@ WINDOW, STEP = 64, 32
 #: Words of a notice that lies whole in a window; a line has a word at least, so as many lines hold it.
 REACH = WINDOW - STEP + 1
 LINE_END = r"\r\n|\r|\n"
-#: Words of the corpus around a template in training, at most.
-AROUND = (0, 8, 16, 32, 48, WINDOW)
+#: The share of a cut template's weight in training that lies in it alone; the rest lies in it within windows of the corpus.
+ALONE = 1 / 6
+#: What all windows of the corpus weigh in training, for each unit of weight of all cut templates.
+PROSE = 3.0
 #: Words that a licence of any family may have: paragraphs that hold one are no examples of prose.
 LICENCE_LIKE = r"(?i)licen[sc]|copyright|copyleft|permission|permitted|redistribut|spdx"
-#: The share of the calibrating paragraphs that stay below the threshold.
-QUANTILE = 0.999
+#: The share of the calibrating windows that stay below the threshold, and the steps that probabilities are counted by.
+QUANTILE, STEPS = 0.999, 10_000
 
 
 @dataclass(frozen=True)
 class Scanner:
     """A trained model, its families by class number, and the calibrated thresholds.
 
-    `prose` is what sampled prose stays below. It is the threshold where a window holds
+    `prose` is what the calibrating windows stay below. It is the threshold where a window holds
     a word that is `LICENCE_LIKE`; everywhere else it is `threshold`, which is 0.5 at least.
     """
 
@@ -130,35 +134,34 @@ def _starts(n: Column) -> Column:
 
 
 def _window(one: Column, two: Column, three: Column, start: Column, n: Column) -> Column:
-    """The window of `n` words from `start` (from 0): its grams, and the hashes of its neighbouring words."""
+    """The window of `n` words from `start` (from 0): its grams and, of these, those of neighbouring words; nulls are left out."""
     pairs = F.slice(two, start + 1, n - 1)
     grams = F.concat(F.slice(one, start + 1, n), pairs, F.slice(three, start + 1, F.greatest(n - 2, F.lit(0))))
-    return F.struct(start.alias("start"), (start + n).alias("end"), grams.alias("grams"))
+    held = F.array_sort(F.array_distinct(F.array_compact(grams)))
+    return F.struct(start.alias("start"), (start + n).alias("end"), held.alias("grams"), F.array_distinct(F.array_compact(pairs)).alias("own"))
 
 
-def _windows(split: Column) -> Column:
-    """All windows of a paragraph."""
+def _windows(split: Column, known: list[int]) -> Column:
+    """All windows of a paragraph, with those of its grams that are among `known`."""
 
     def cut(one: Column, two: Column, three: Column) -> Column:
-        n = F.size(one)
-        return F.transform(_starts(n), lambda s: _window(one, two, three, s, F.least(n - s, F.lit(WINDOW))))
-
-    return _hashed(split, cut)
+        places = F.transform(F.array(one, two, three), lambda grams: F.transform(grams, lambda g: F.when(g.isin(known), g)))
+        return _let(places, lambda held: windows(held, F.size(split)))
 
+    def windows(held: Column, n: Column) -> Column:
+        return F.transform(_starts(n), lambda s: _window(held[0], held[1], held[2], s, F.least(n - s, F.lit(WINDOW))))
 
-def _pairs(grams: Column, n: Column) -> Column:
-    """The distinct neighbouring words among the grams of a window of `n` words."""
-    return F.array_distinct(F.slice(grams, n + 1, n - 1))
+    return _hashed(split, cut)
 
 
 def _features(rows: DataFrame, features: int) -> DataFrame:
     return HashingTF(numFeatures=features, binary=True, inputCol="grams", outputCol="features").transform(rows)
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    """One row for each window of `words`: `start`, `end`, `grams` instead of them."""
+def _exploded(rows: DataFrame, known: list[int]) -> DataFrame:
+    """One row for each window of `words`: `start`, `end`, `grams`, `own` instead of them."""
     kept = [c for c in rows.columns if c != "words"]
-    return rows.select(*kept, F.explode(_windows(F.col("words"))).alias("window")).select(*kept, "window.*")
+    return rows.select(*kept, F.explode(_windows(F.col("words"), known)).alias("window")).select(*kept, "window.*")
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -177,37 +180,24 @@ def _share(own: Column, pairs: list[int]) -> Column:
     return F.size(F.array_intersect(own, F.lit(pairs))) / len(pairs)
 
 
-def _within(templates: DataFrame, context: DataFrame, copies: int) -> DataFrame:
-    """`copies` examples of each template: cut at both ends, most of them in between words of `context`."""
+def _known(spark: SparkSession) -> list[int]:
+    """The hashes of all words, pairs and triples of the templates: grams of no template tell none from another."""
+    every = F.explode(_hashed(F.col("words"), lambda one, two, three: F.concat(one, two, three))).alias("gram")
+    return sorted(r.gram for r in _templates(spark).select(every).distinct().collect())
+
+
+def _cut_templates(spark: SparkSession, copies: int, known: list[int]) -> DataFrame:
+    """`copies` examples of each template, cut at both ends: `cell` (from 0), `family`, `grams`."""
     nth = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("nth")
-    spread = templates.select("family", "text", "words", nth)
+    spread = _templates(spark).select("family", "text", "words", nth)
     head = F.pmod(F.col("nth"), F.lit(3))
     tail = F.pmod(F.floor(F.col("nth") / 3), F.lit(3)).cast("int")
     kept = F.greatest(F.size("words") - head - tail, F.least(F.size("words"), F.lit(4)))
     start = F.least(head, F.size("words") - kept) + 1
     cut = spread.select("family", "text", "nth", F.slice("words", start, kept).alias("words"))
     by_hash = Window.orderBy(F.xxhash64("family", "text", "nth"), "family", "text", "nth")
-    numbered = cut.withColumn("row", F.row_number().over(by_hash) - 1)  # `copies` rows for each template, as the context has
-    # the longest, so that there are words enough to put around
-    longest = context.select(F.slice("words", 1, WINDOW).alias("around"), F.xxhash64("words").alias("hash"))
-    ranked = longest.orderBy(-F.size("around"), "hash", "around").limit(len(sum(TEMPLATES.values(), [])) * copies)
-    contexts = ranked.withColumn("row", F.row_number().over(Window.orderBy("hash", "around")) - 1)
-    joined = numbered.join(F.broadcast(contexts), "row", "left")
-    most = F.element_at(F.array(*map(F.lit, AROUND)), (F.pmod(F.floor(F.col("nth") / 4), F.lit(len(AROUND))) + 1).cast("int"))
-    around = F.coalesce("around", F.array().cast("array<string>"))
-    n = F.greatest(F.least(most, F.size(around), WINDOW - F.size("words")), F.lit(0))
-    before = F.pmod(F.xxhash64("text", "nth"), n + 1).cast("int")
-    return joined.select(
-        "family",
-        F.concat(F.slice(around, 1, before), F.col("words"), F.slice(around, before + 1, n - before)).alias("words"),
-    )
-
-
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The lines that have a word: `id`, `line` (from 0), `paragraph`, `words`."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), LINE_END, -1)).alias("line", "paragraph"))
-    # a generated column: filters on what is made of the words don't split the text once more
-    return lines.select("*", F.explode(F.array(words(F.col("paragraph")))).alias("words")).where(F.size("words") > 0)
+    numbered = cut.withColumn("cell", F.row_number().over(by_hash) - 1)  # `copies` rows for each template
+    return _exploded(numbered.select("cell", "family", "words"), known).select("cell", "family", "grams")
 
 
 def _wrapped(lines: Column) -> Column:
@@ -263,39 +253,70 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("*", F.explode(F.array(made)).alias("words")).where(F.size("words") > 0)
 
 
-def train(docs: DataFrame, sample_rows: int = 4000, copies: int = 24, features: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
-    """Train on altered templates and on a bounded sample of the corpus' paragraphs.
+def cut_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every window of every text, as training and scanning take it.
 
-    `sample_rows` documents, those with the least hashes of their ids, give one paragraph
-    each; half of them train the class `none`, with one window each, and the other half
-    calibrate: the threshold is the quantile `QUANTILE` of the highest licence probability
-    of each paragraph, and at least 0.5 for windows without a licence's words. Paragraphs that hold half of a template's word
-    pairs or a word that is `LICENCE_LIKE` stay out of both: licences that no template has
-    may be among them, and shall come out as unknown. Each template gives `copies` examples that start and end at different words
-    and lie in between words of the sampled paragraphs, from none up to a whole window.
+    Gives `id`, `doc` (the text's hash), `line`, `wrapped`, `hash` (of the paragraph's words), `start`, `end`, `grams` and `own`
+    (those of the templates that it holds), `like` (whether it has a licence's word) and `prose`: whether the paragraph is an
+    example of none. Paragraphs that hold half of a template's word pairs or a word that is `LICENCE_LIKE` are not: licences
+    that no template has may be among them, and shall come out as unknown.
+    """
+    known, pairs = _known(docs.sparkSession), _template_pairs(docs.sparkSession)
+    marked = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(LICENCE_LIKE), i)), lambda i: i.isNotNull())
+    wrapped = F.col("around").isNotNull()
+    suspect = F.col("like") & (wrapped | F.col("paragraph").rlike(LICENCE_LIKE))
+    places = F.when(suspect, marked).otherwise(F.array().cast("array<int>"))
+    kept = ("id", "doc", "line", wrapped.alias("wrapped"), F.xxhash64("words").alias("hash"), (~suspect).alias("plain"), places.alias("places"), "words")
+    windows = _exploded(_units(docs, id_col, text_col).select(*kept), known)
+    like = F.exists("places", lambda i: (i >= F.col("start")) & (i < F.col("end")))
+    least = min(len(own) for _, own in pairs) / 2
+    half = F.greatest(*(_share(F.col("own"), own) for _, own in pairs)) >= 0.5
+    prose = F.col("plain") & ~F.when(F.size("own") >= least, half).otherwise(False)
+    return windows.select("id", "doc", "line", "wrapped", "hash", "start", "end", "grams", "own", like.alias("like"), prose.alias("prose"))
+
+
+def train(docs: DataFrame, copies: int = 24, features: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+    """Train on altered templates and on all windows of all texts.
+
+    The windows of half the texts, by their hashes, train the class `none`, and those of the other half
+    calibrate: the threshold is the quantile `QUANTILE` of their licence probabilities, rounded up to a
+    step of `STEPS`, and at least 0.5 for windows without a licence's words. Windows that hold the same of the templates'
+    grams count once, lest the many that hold nothing decide; those that are no `prose` (see `cut_windows`) stay out of both.
+    Each template gives `copies` examples that start and end at different words. They lie alone, and each
+    different window that trains `none` has one of them added to it, which a hash names. All these windows
+    together weigh `PROSE` times what the examples do, however many they are.
     """
-    spark = docs.sparkSession
-    whole = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0))
-    ids = whole.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample_rows)
-    chosen = whole.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")  # sample_rows ids at most
-    sample = paragraphs(chosen, id_col, text_col)
-    one = sample.groupBy("id").agg(F.min_by("words", F.xxhash64("id", "line")).alias("words"))
-    own = one.withColumn("own", F.array_distinct(_hashed(F.col("words"), lambda one, two, three: two)))
-    like = F.array_join("words", " ").rlike(LICENCE_LIKE)
-    for _, pairs in _template_pairs(spark):
-        like = like | (_share(F.col("own"), pairs) >= 0.5)
-    corpus = checkpointed(own.where(~like).drop("own").withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2))))
+    return _train(cut_windows(docs, id_col, text_col), copies, features)
+
+
+def _train(windows: DataFrame, copies: int, features: int) -> Scanner:
+    spark = windows.sparkSession
+    half = F.pmod("doc", F.lit(2)).alias("half")
+    different = checkpointed(windows.where("prose").select(half, "grams").distinct())
+    total = {r.half: r.sets for r in different.groupBy("half").agg(F.count(F.lit(1)).alias("sets")).collect()}
     families = (NONE, *TEMPLATES)
-    label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    some = F.pmod(F.xxhash64("id", F.lit("window")), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))).cast("int")
-    negative = corpus.where("half = 0").select(F.lit(NONE).alias("family"), F.slice("words", some + 1, WINDOW).alias("words"))
-    positive = _within(_templates(spark), negative, copies)
-    rows = checkpointed(_features(_exploded(positive.unionByName(negative).withColumn("label", label.cast("double"))), features).select("label", "features"))
-    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40).fit(rows.coalesce(4))
+    label = (F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1).cast("double").alias("label")
+    cut = _cut_templates(spark, copies, _known(spark))
+    cells = len(sum(TEMPLATES.values(), [])) * copies
+    none = different.where("half = 0")
+    rows = cut.select(label, "grams", F.lit(ALONE).alias("weight"))
+    if 0 in total:
+        within = none.withColumn("cell", F.pmod(F.xxhash64("grams"), F.lit(cells)).cast("int")).withColumnRenamed("grams", "around").join(F.broadcast(cut), "cell")
+        rows = rows.unionByName(within.select(label, F.array_union("grams", "around").alias("grams"), F.lit((1 - ALONE) * cells / total[0]).alias("weight")))
+        rows = rows.unionByName(none.select(F.lit(0.0).alias("label"), "grams", F.lit(PROSE * cells / total[0]).alias("weight")))
+    made = _features(rows, features).select("label", "features", "weight")
+    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40, weightCol="weight").fit(made)
     scanner = Scanner(model, families, 0.0, 0.0, features)
-    unseen = _score(_exploded(corpus.where("half = 1")), scanner)
-    highest = unseen.groupBy("id").agg(F.max(1 - F.col("none_probability")).alias("p"))
-    bound = highest.agg(F.percentile("p", F.lit(QUANTILE))).head()[0] or 0.0
+    bound = 0.0
+    if 1 in total:
+        step = F.ceil((1 - F.col("none_probability")) * STEPS).alias("step")
+        steps = _score(different.where("half = 1"), scanner).groupBy(step).agg(F.count(F.lit(1)).alias("n")).orderBy("step").collect()
+        below = 0
+        for row in steps:
+            below += row.n
+            if below >= QUANTILE * total[1]:
+                bound = row.step / STEPS
+                break
     return Scanner(model, families, max(0.5, min(0.999, bound)), min(0.999, bound), features)
 
 
@@ -344,36 +365,50 @@ def scan(
     word is not found. Documents without a licence, null and
     empty texts have no row; rows with equal ids count together; other columns are ignored.
     """
-    marked = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(LICENCE_LIKE), i)), lambda i: i.isNotNull())
-    wrapped = F.col("around").isNotNull()
-    places = F.when(F.col("like") & (wrapped | F.col("paragraph").rlike(LICENCE_LIKE)), marked).otherwise(F.array().cast("array<int>"))
-    kept = ("id", "doc", "line", wrapped.alias("wrapped"), F.xxhash64("words").alias("hash"), places.alias("places"), "words")
-    split = _units(docs, id_col, text_col).select(*kept)
-    scored = _score(_exploded(split), scanner)
-    like = F.exists("places", lambda i: (i >= F.col("start")) & (i < F.col("end")))
-    licensed = scored.where(1 - F.col("none_probability") > F.when(like, scanner.prose).otherwise(scanner.threshold))
+    return _found(_hits(cut_windows(docs, id_col, text_col), scanner, confirm), id_col)
+
+
+def train_and_scan(docs: DataFrame, copies: int = 24, features: int = 1 << 14, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`scan` of a table by what `train` learns from it; its windows are cut once, and written to the shared folder meanwhile."""
+    place = f"{shared_folder(docs.sparkSession)}/license-windows-{uuid.uuid4().hex}"
+    windows = written(cut_windows(docs, id_col, text_col), place)
+    hits = checkpointed(_hits(windows, _train(windows, copies, features), confirm))
+    discard(docs.sparkSession, place)
+    return _found(hits, id_col)
+
+
+#: What makes windows ones of the same paragraph.
+PARAGRAPH = ("id", "doc", "line", "wrapped", "hash")
+
+
+def _hits(windows: DataFrame, scanner: Scanner, confirm: float) -> DataFrame:
+    """The windows above the threshold, named or unknown, with how many `rows` are equal."""
+    licensed = _score(windows, scanner).where(1 - F.col("none_probability") > F.when(F.col("like"), scanner.prose).otherwise(scanner.threshold))
     by_family: dict[str, list[list[int]]] = {}
-    for family, pairs in _template_pairs(docs.sparkSession):
+    for family, pairs in _template_pairs(windows.sparkSession):
         by_family.setdefault(family, []).append(pairs)
     likeness, shared = F.lit(0.0), F.array().cast("array<bigint>")
     for family, every in sorted(by_family.items()):
         shares = [_share(F.col("own"), pairs) for pairs in every]
         likeness = F.when(F.col("family") == family, F.greatest(*shares, F.lit(0.0))).otherwise(likeness)
         shared = F.when(F.col("family") == family, F.array_intersect(F.col("own"), F.lit(sorted(set(sum(every, [])))))).otherwise(shared)
-    compared = licensed.withColumn("own", _pairs(F.col("grams"), F.col("end") - F.col("start"))).withColumn("likeness", likeness).withColumn("shared", shared)
+    compared = licensed.withColumn("likeness", likeness).withColumn("shared", shared)
     named = F.when(F.col("likeness") >= confirm, F.col("family")).otherwise(UNKNOWN)
-    paragraph = ["id", "doc", "line", "wrapped", "hash"]
     # equal rows are counted before they meet, so that no id gathers more than its different paragraphs
-    hits = (
+    return (
         compared.where((F.col("likeness") >= confirm) | ~F.col("wrapped"))
         .withColumn("family", named)
-        .groupBy(*paragraph, "start", "end", "family", "likeness", "shared")
+        .groupBy(*PARAGRAPH, "start", "end", "family", "likeness", "shared")
         .agg(F.count(F.lit(1)).alias("rows"), F.max(1 - F.col("none_probability")).alias("probability"))
     )
-    ordered = Window.partitionBy(*paragraph).orderBy("start", "end")
+
+
+def _found(hits: DataFrame, id_col: str) -> DataFrame:
+    """What is found of each family in each text."""
+    ordered = Window.partitionBy(*PARAGRAPH).orderBy("start", "end")
     apart = F.coalesce(F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
     runs = hits.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*paragraph, "run")
+    inside = Window.partitionBy(*PARAGRAPH, "run")
     bases = F.collect_set(F.struct("family", "likeness", "shared")).over(inside)
     better = F.exists(
         "bases",
@@ -381,7 +416,7 @@ def scan(
         & ((F.col("family") == UNKNOWN) | ((o.family != F.col("family")) & (o.likeness > F.col("likeness")) & (F.size(F.array_except(F.col("shared"), o.shared)) == 0))),
     )
     kept = runs.withColumn("bases", bases).where(~better)
-    found = kept.groupBy(*paragraph, "family").agg(
+    found = kept.groupBy(*PARAGRAPH, "family").agg(
         F.max("rows").alias("rows"), F.max("probability").alias("probability"), F.max("likeness").alias("likeness")
     )
     return _settled(found).groupBy(F.col("id").alias(id_col), "family").agg(

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerlake.llm import license_scan as ls
 from offerlake.llm import queries
@@ -97,3 +98,12 @@ def test_wrapped_notices(spark, scanner):
     named = {(r.doc_id, r.family) for r in got if r.family != ls.UNKNOWN}
     assert named == want
     assert all(r.n_paragraphs == 1 for r in got if r.family != ls.UNKNOWN), [r for r in got if r.n_paragraphs != 1]
+
+
+def test_all_texts_train(spark):
+    # what only the last of 4,600 texts say, by the order of their ids' hashes and by their lines, is known to be no licence
+    said = "files of this program {} and binary forms, with or without modification, provided to any person, version {}"
+    ids = [r.id for r in spark.range(4600).orderBy(F.xxhash64("id")).collect()]
+    texts = [f"a plain text number {n}" for n in range(4200)] + [f"first\nsecond\n{said.format(n % 7, n)}" for n in range(400)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert ls.scan(docs, ls.train(docs)).count() == 0

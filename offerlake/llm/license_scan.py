@@ -1,7 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 Each paragraph (line) of a text is cut into overlapping windows of words, and each window
-becomes a sparse vector of those hashed word 1-, 2- and 3-grams that a template has. A
+becomes a sparse vector of those word 1-, 2- and 3-grams that a template has, a place for
+each of them, so that the model is no larger than the templates. A
 multinomial logistic regression, trained on cut template notices, alone and within windows
 of the corpus, and on all windows of half the corpus' texts, gives it a licence family or
 none. Windows of equal grams count once. A family counts only above a
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,6 +81,8 @@ ALONE = 1 / 6
 PROSE = 3.0
 #: Words that a licence of any family may have: paragraphs that hold one are no examples of prose.
 LICENCE_LIKE = r"(?i)licen[sc]|copyright|copyleft|permission|permitted|redistribut|spdx"
+#: Training rows of one task: each sends the driver a gradient in each iteration, however few its rows are.
+TASK_ROWS = 1 << 13
 #: The share of the calibrating windows that stay below the threshold, and the steps that probabilities are counted by.
 QUANTILE, STEPS = 0.999, 10_000
 
@@ -96,7 +99,6 @@ class Scanner:
     families: tuple[str, ...]
     threshold: float
     prose: float
-    features: int
 
 
 def words(text: Column) -> Column:
@@ -154,8 +156,11 @@ def _windows(split: Column, known: list[int]) -> Column:
     return _hashed(split, cut)
 
 
-def _features(rows: DataFrame, features: int) -> DataFrame:
-    return HashingTF(numFeatures=features, binary=True, inputCol="grams", outputCol="features").transform(rows)
+def _features(rows: DataFrame) -> DataFrame:
+    """Which of the templates' grams each row holds, by their order."""
+    names = [str(gram) for gram in _known(rows.sparkSession)]
+    places = CountVectorizerModel.from_vocabulary(names, inputCol="_names", outputCol="features").setBinary(True).setMinTF(1.0)
+    return places.transform(rows.withColumn("_names", F.col("grams").cast("array<string>"))).drop("_names")
 
 
 def _exploded(rows: DataFrame, known: list[int]) -> DataFrame:
@@ -275,7 +280,7 @@ def cut_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return windows.select("id", "doc", "line", "wrapped", "hash", "start", "end", "grams", "own", like.alias("like"), prose.alias("prose"))
 
 
-def train(docs: DataFrame, copies: int = 24, features: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+def train(docs: DataFrame, copies: int = 24, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
     """Train on altered templates and on all windows of all texts.
 
     The windows of half the texts, by their hashes, train the class `none`, and those of the other half
@@ -286,10 +291,10 @@ def train(docs: DataFrame, copies: int = 24, features: int = 1 << 14, id_col: st
     different window that trains `none` has one of them added to it, which a hash names. All these windows
     together weigh `PROSE` times what the examples do, however many they are.
     """
-    return _train(cut_windows(docs, id_col, text_col), copies, features)
+    return _train(cut_windows(docs, id_col, text_col), copies)
 
 
-def _train(windows: DataFrame, copies: int, features: int) -> Scanner:
+def _train(windows: DataFrame, copies: int) -> Scanner:
     spark = windows.sparkSession
     half = F.pmod("doc", F.lit(2)).alias("half")
     different = checkpointed(windows.where("prose").select(half, "grams").distinct())
@@ -304,9 +309,10 @@ def _train(windows: DataFrame, copies: int, features: int) -> Scanner:
         within = none.withColumn("cell", F.pmod(F.xxhash64("grams"), F.lit(cells)).cast("int")).withColumnRenamed("grams", "around").join(F.broadcast(cut), "cell")
         rows = rows.unionByName(within.select(label, F.array_union("grams", "around").alias("grams"), F.lit((1 - ALONE) * cells / total[0]).alias("weight")))
         rows = rows.unionByName(none.select(F.lit(0.0).alias("label"), "grams", F.lit(PROSE * cells / total[0]).alias("weight")))
-    made = _features(rows, features).select("label", "features", "weight")
+    tasks = 1 + (2 * total.get(0, 0)) // TASK_ROWS
+    made = _features(rows).select("label", "features", "weight").coalesce(tasks)
     model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40, weightCol="weight").fit(made)
-    scanner = Scanner(model, families, 0.0, 0.0, features)
+    scanner = Scanner(model, families, 0.0, 0.0)
     bound = 0.0
     if 1 in total:
         step = F.ceil((1 - F.col("none_probability")) * STEPS).alias("step")
@@ -317,12 +323,12 @@ def _train(windows: DataFrame, copies: int, features: int) -> Scanner:
             if below >= QUANTILE * total[1]:
                 bound = row.step / STEPS
                 break
-    return Scanner(model, families, max(0.5, min(0.999, bound)), min(0.999, bound), features)
+    return Scanner(model, families, max(0.5, min(0.999, bound)), min(0.999, bound))
 
 
 def _score(rows: DataFrame, scanner: Scanner) -> DataFrame:
     """Add the likeliest family, its probability and that of `none`."""
-    scored = scanner.model.transform(_features(rows, scanner.features)).withColumn("p", vector_to_array("probability"))
+    scored = scanner.model.transform(_features(rows)).withColumn("p", vector_to_array("probability"))
     licences = F.slice("p", 2, len(scanner.families) - 1)
     names = F.array(*map(F.lit, scanner.families[1:]))
     return (
@@ -368,11 +374,11 @@ def scan(
     return _found(_hits(cut_windows(docs, id_col, text_col), scanner, confirm), id_col)
 
 
-def train_and_scan(docs: DataFrame, copies: int = 24, features: int = 1 << 14, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_scan(docs: DataFrame, copies: int = 24, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`scan` of a table by what `train` learns from it; its windows are cut once, and written to the shared folder meanwhile."""
     place = f"{shared_folder(docs.sparkSession)}/license-windows-{uuid.uuid4().hex}"
     windows = written(cut_windows(docs, id_col, text_col), place)
-    hits = checkpointed(_hits(windows, _train(windows, copies, features), confirm))
+    hits = checkpointed(_hits(windows, _train(windows, copies), confirm))
     discard(docs.sparkSession, place)
     return _found(hits, id_col)
 

@@ -107,3 +107,12 @@ def test_all_texts_train(spark):
     texts = [f"a plain text number {n}" for n in range(4200)] + [f"first\nsecond\n{said.format(n % 7, n)}" for n in range(400)]
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     assert ls.scan(docs, ls.train(docs)).count() == 0
+
+
+def test_model_is_no_larger_than_the_templates(spark, scanner):
+    # the driver gets classes x features numbers of every task in every iteration
+    known = ls._known(spark)
+    assert scanner.model.numFeatures == len(known)
+    rows = spark.createDataFrame([([known[3], known[3], known[7], 5],), ([],)], "grams array<bigint>")
+    held = [r.features for r in ls._features(rows).orderBy(F.size("grams").desc()).collect()]
+    assert held[0].indices.tolist() == [3, 7] and held[0].values.tolist() == [1, 1] and held[1].numNonzeros() == 0

@@ -24,8 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     whose best language needs more bits for each symbol than any held-back labelled text
     did, by a quarter: random letters, codes, a language that nobody labelled.
     """
-    sample = language_id.learn(docs)
-    bound = language_id.calibrate(docs, sample)
+    sample, bound = language_id.learn_and_calibrate(docs)
     found = language_id.predict(docs, sample, keep=COLUMNS[1:])
     strange = (F.col("bits") > bound) & (F.col("n_symbols") >= language_id.JUDGED_LETTERS)
     kept = found.where((F.col("lang_pred") != language_id.UNDECIDED) & ~F.coalesce(strange, F.lit(False)))

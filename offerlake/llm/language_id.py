@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-A text is parsed into the longest phrases that occur in the training text of a language;
-the fewer phrases, the closer the language. The training text of each language is held
+A text is parsed into the longest phrases that occur in the training text of a language,
+the words that its labelled texts have most often, counted in all of them; the fewer phrases, the closer the language. The training text of each language is held
 as a suffix automaton: following its transitions tells how far a match goes on, and a
 missing transition ends the phrase. The phrase count is normalised to bits for each
 symbol (phrases times the logarithm of the training length, over the text's length), and
@@ -19,11 +19,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.llm.shared_windows import mix
-from offerlake.llm.tables import in_small_batches, one_model, slices
+from offerlake.llm.tables import checkpointed, in_small_batches, one_model, slices
 
 #: Symbols of a part of a text; the parts of all texts advance together.
 PART = 256
@@ -31,6 +31,8 @@ PART = 256
 STEP_BYTES, STEP_ROWS, TRACE_BYTES = 1 << 19, 4000, 32 << 20
 #: Letters from which on a text's cost is held against the calibrated bound.
 JUDGED_LETTERS = 100
+#: A word that is learned: letters and marks, 16 at most.
+WORD = r"[\p{L}\p{M}]{1,16}"
 #: The prediction for texts without a letter.
 UNDECIDED = "und"
 
@@ -42,68 +44,72 @@ class Sample:
     texts: tuple[tuple[str, str], ...]
 
 
-def _cut(docs: DataFrame, lang_col: str, id_col: str, text_col: str, chars: int) -> DataFrame:
-    """Labelled rows, each text cut to `chars` characters from a place that a hash of the id names."""
+def _half(text_col: str) -> Column:
+    """Which half of the texts one is in; equal texts are in the same."""
+    return F.pmod(F.xxhash64(text_col), F.lit(2))
+
+
+def _counted(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """How often each word is in the labelled texts: `lang`, `half` (of the texts), `word`, `n`."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    place = F.xxhash64(F.col(id_col))
-    start = F.pmod(place, F.greatest(F.length(text_col) - chars, F.lit(0)) + 1).cast("int") + 1
-    return known.select(
-        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(chars)).alias("text"), place.alias("place")
-    )
-
-
-def _numbered(rows: DataFrame, until: int) -> DataFrame:
-    first = Window.partitionBy("lang").orderBy("place", "text")
-    return rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= until)
-
-
-def learn(
-    docs: DataFrame,
-    lang_col: str = "lang",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    rows_per_language: int = 160,
-    chars_per_row: int = 1024,
-    chars_per_language: int = 80_000,
-) -> Sample:
-    """Gather a bounded sample of labelled rows to learn from.
-
-    Each language gives at most `rows_per_language` rows, in order of a hash of the id, of
-    at most `chars_per_row` characters each, and its automaton holds `chars_per_language`
-    characters at most. The bounds hold for each language, however many there are, and
-    don't follow the corpus; what is collected grows with the number of languages only.
-    Rows whose language or text is null teach nothing.
+    words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))).alias("word")
+    return known.select(F.col(lang_col).alias("lang"), _half(text_col).alias("half"), words).groupBy("lang", "half", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sample(counted: DataFrame, chars: int) -> Sample:
+    """Each language's most frequent words, until they and a separator each fill `chars` characters; ties in order of the word."""
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    first = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= chars // 2)
+    until = F.sum(F.length("word") + 1).over(most.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = first.withColumn("until", until).where(F.col("until") <= chars + 1).select("lang", "nth", "word").collect()
+    texts: dict[str, list[str]] = {}
+    for row in sorted(rows, key=lambda r: (r.lang, r.nth)):
+        texts.setdefault(row.lang, []).append(row.word)
+    return Sample(tuple((lang, " ".join(words)) for lang, words in texts.items()))
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", chars_per_language: int = 80_000) -> Sample:
+    """Learn from the words of all labelled texts.
+
+    The words are counted in every labelled text, whole; an automaton holds the
+    `chars_per_language` characters of those that its language has most often. This
+    bounds the model, not what is read: it is a vocabulary, and what is collected grows
+    with the number of languages only. A longer run of letters than `WORD` takes, as
+    scripts without spaces have, is several words. Rows whose language or text is null
+    teach nothing.
     """
-    rows = _numbered(_cut(docs, lang_col, id_col, text_col, chars_per_row), rows_per_language)
-    texts: dict[str, dict[str, None]] = {}
-    for row in sorted(rows.collect(), key=lambda r: (r.lang, r.nth)):
-        texts.setdefault(row.lang, {})[row.text] = None
-    return Sample(tuple((lang, "\n".join(parts)[:chars_per_language]) for lang, parts in texts.items()))
-
-
-def calibrate(
-    docs: DataFrame,
-    sample: Sample,
-    lang_col: str = "lang",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    rows_per_language: int = 320,
-    learned_rows: int = 160,
-    chars_per_row: int = 2048,
-    slack: float = 1.25,
-) -> float:
+    return _sample(_counted(docs, lang_col, text_col), chars_per_language)
+
+
+def calibrate(docs: DataFrame, sample: Sample, lang_col: str = "lang", text_col: str = "text", slack: float = 1.25) -> float:
     """The bits for each symbol that texts of the learned languages stay below.
 
-    `slack` times the highest cost of the labelled rows that follow those learned from,
-    where a text has `JUDGED_LETTERS` symbols: short texts can cost anything. The rows are
-    bounded like those of `learn`. Without such a row nothing is too dear.
+    `slack` times the highest cost of all labelled texts, whole, of a language that `sample`
+    has, where a text has `JUDGED_LETTERS` symbols: short texts can cost anything. Without
+    such a text nothing is too dear.
     """
-    rows = _numbered(_cut(docs, lang_col, id_col, text_col, chars_per_row), learned_rows + rows_per_language)
-    costs = predict(rows.where(F.col("nth") > learned_rows), sample, id_col="nth")
-    highest = costs.where(F.col("n_symbols") >= JUDGED_LETTERS).agg(F.max("bits")).head()[0]
+    known = docs.where(F.col(lang_col).isin([lang for lang, _ in sample.texts]))
+    highest = predict(known, sample, id_col=lang_col, text_col=text_col).where(F.col("n_symbols") >= JUDGED_LETTERS).agg(F.max("bits")).head()[0]
     return float("inf") if highest is None else slack * highest
 
 
+def learn_and_calibrate(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", chars_per_language: int = 80_000, slack: float = 1.25
+) -> tuple[Sample, float]:
+    """What `learn` gives, and a bound by `calibrate` for which each half of the texts is held against what the other half teaches.
+
+    So every labelled text teaches, and every one is held back once. Where the texts of
+    either half teach nothing of the other's languages, nothing is too dear.
+    """
+    counted = checkpointed(_counted(docs, lang_col, text_col))
+    bounds = []
+    for half in (0, 1):
+        others = _sample(counted.where(F.col("half") != half), chars_per_language)
+        bounds.append(calibrate(docs.where(_half(text_col) == half), others, lang_col, text_col, slack))
+    found = [bound for bound in bounds if bound < float("inf")]
+    return _sample(counted, chars_per_language), max(found, default=float("inf"))
+
+
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """For each code point its lower-case code point, or 0 for what is no letter or mark."""

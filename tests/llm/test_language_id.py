@@ -86,3 +86,21 @@ def test_many_languages_and_clashing_names(spark):
     assert len(sample.texts) == 30
     got = lid.predict(docs.withColumn("text", F.col("_text")), sample, keep=("_text", "text")).collect()
     assert len(got) == 60 and all(r["_text"] == r["text"] for r in got)
+
+
+def test_all_texts_teach_and_calibrate(spark):
+    # what only texts after the first 480 say, by the order of their ids' hashes, is learned, and their cost is in the bound
+    ids = [r.id for r in spark.range(700).orderBy(F.xxhash64("id")).collect()]
+    texts = [f"one text of alpha and beta, number {chr(97 + n % 26)} " * 4 for n in range(600)] + ["some gamma and delta words " * 5 for _ in range(98)]
+    texts += ["kwjx qzvb fpmg hdtl " * 9, "zqpw vmxk jgbf lthd " * 9]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in zip(ids, texts, strict=True)], "doc_id long, lang string, text string")
+    sample, bound = lid.learn_and_calibrate(docs)
+    assert {"alpha", "gamma", "kwjx", "lthd"} <= set(sample.texts[0][1].split())
+    assert sample == lid.learn(docs)
+    dear = []
+    for half in (0, 1):
+        mine, others = (docs.where(lid._half("text") == h) for h in (half, 1 - half))
+        known = lid.learn(others)
+        dear += [brute_force(r.text, known)[1] for r in mine.select("text").distinct().collect()]
+    assert abs(bound - 1.25 * max(dear)) < 1e-9
+    assert lid.learn_and_calibrate(docs.limit(0)) == (lid.Sample(()), float("inf"))

@@ -20,6 +20,14 @@ def test_blocked_pairs_are_written_out_last(spark):
     assert "Join" not in above_the_pairs(pairs) and "Aggregate" not in above_the_pairs(pairs)
 
 
+def test_every_part_asks_for_its_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    frame = __spark_entry__.queries()["blocked_pairs"](spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("url"))
+    assert frame.select("url").distinct().count() == parts.count()
+    assert frame.where("url = product_url").count() == parts.count()  # each has at least itself
+
+
 def test_retrieved_pairs_are_written_out_last(spark):
     offers = spark.range(300).select(F.col("id").alias("url"), F.lit("Maker").alias("maker"), F.lit("Hot Ring").alias("name"), F.lit(None).cast("string").alias("name_jp"))
     names = F.when(F.col("id") < 4, "hot ring").when(F.col("id") < 1500, "hot bolt").otherwise("cold bolt")

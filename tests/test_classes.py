@@ -4,7 +4,7 @@ import duckdb
 import pyspark.sql.functions as F
 
 import __spark_entry__
-from offerlake.operators import blocking, linkage
+from offerlake.operators import blocking, classes, linkage
 
 
 def above_the_pairs(frame) -> str:
@@ -20,6 +20,27 @@ def test_blocked_pairs_are_written_out_last(spark):
     assert "Join" not in above_the_pairs(pairs) and "Aggregate" not in above_the_pairs(pairs)
 
 
+def test_a_task_does_not_hold_all_rows_of_a_pair_of_arrays(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        members = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(-i).alias("less")) for i in (1, 2)), F.struct(F.lit(None).cast("int").alias("id"), F.lit(0).alias("less")))
+        keys = F.transform(members, lambda m: F.struct(m["id"].alias("key")))
+        pairs = classes.written_out(spark.range(1).select("id", members.alias("l"), keys.alias("r")), "l", "r")
+        plan = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert {(r["id"], r["l"]["id"], r["l"]["less"], r["r"]["key"]) for r in pairs.collect()} == {(0, i, less, k) for i, less in ((1, -1), (2, -2), (None, 0)) for k in (1, 2, None)}
+    steps = [line for line in plan if "Generate explode" in line]
+    assert len(steps) == 2 and "*(" in steps[0] and "*(" not in steps[1]  # of the left side, it is no part of generated code
+
+
+def test_hot_words_count_classes(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "PIECE", 2)
+    rows = spark.range(50).select(F.lit(1).alias("block"), F.array(F.lit("ipa"), F.when(F.col("id") < 25, "a").otherwise("b")).alias("words"))
+    assert blocking._pieces(rows, rows).count() == 0  # 50 rows, two classes
+
+
 def test_every_part_asks_for_its_pairs(spark):
     sf = "/root/testdata/sf0.001"
     frame = __spark_entry__.queries()["blocked_pairs"](spark, sf)

@@ -176,34 +176,34 @@ def retrieve(wanted: DataFrame, products: DataFrame, enough: int = 5) -> DataFra
     of it, has the same key. Later stages count only where the earlier ones brought too few
     (`in_stages`): `url`, `product_url`, `stage` 1 to 3, `pos` of the token.
 
-    Offers with the same probes are one class, as are products with the same keys. Classes are joined and counted, tokens
+    Offers of the same texts are one class, as are products. Probes and keys are made once a class; classes are joined and counted, tokens
     only for classes whose names brought fewer than `enough`; what they found is written out for their members last.
     """
+    # the texts of an offer or a product make its class, all of them where it has several rows; offers without a url are found by nobody
+    said = lambda df, key, *columns: df.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("said"))
+    offers = checkpointed(classes.grouped(said(wanted.where("url IS NOT NULL"), "url", "maker", "name", "name_jp"), "said"))
+    goods = checkpointed(classes.grouped(said(products, "product_url", "product_name", "producer_name"), "said"))
     probe = lambda stage, pos, c: F.struct(F.lit(stage).alias("stage"), pos.alias("pos"), text.key(c).alias("probe"))
     kind = "array<struct<stage:int,pos:int,probe:string>>"
     tokens = F.concat(*(F.coalesce(text.search_tokens(F.col(c)), F.array().cast("array<string>")) for c in ("name", "name_jp")))
     tried = F.transform(F.slice(F.array_distinct(tokens), 1, text.TRIED), lambda t, i: probe(3, i, t)).cast(kind)
     whole = F.array(probe(1, F.lit(0), text.without_year(F.col("name"))), probe(2, F.lit(0), text.without_year(F.col("name_jp")))).cast(kind)
-    makers = wanted.select("url", F.explode(text.collaborators(F.col("maker"))).alias("one"), F.concat(whole, tried).alias("probes"))
-    left = makers.select("url", block(F.col("one")).alias("block"), F.explode("probes").alias("p")).select("url", "block", "p.*").where("block IS NOT NULL AND probe <> ''")
+    asking = offers.select("said").distinct().select(F.col("said").alias("url"), F.explode("said").alias("s")).select("url", "s.*")
+    makers = asking.select("url", F.explode(text.collaborators(F.col("maker"))).alias("one"), F.concat(whole, tried).alias("probes"))
+    ours = makers.select("url", block(F.col("one")).alias("block"), F.explode("probes").alias("p")).select("url", "block", "p.*").where("block IS NOT NULL AND probe <> ''")
     name = F.col("product_name")
     release = F.regexp_extract(text.expand_abbreviations(name), r"(?i)limited release [0-9]+", 0)
     held = F.concat(F.array(text.without_year(name), release), F.split(name, r"[\s/—–\-()（）\[\]]+"), F.regexp_extract_all(name, F.lit("([0-9]+)")))
     keys = F.array_distinct(F.transform(held, text.key))
-    right = products.select("product_url", block(F.col("producer_name")).alias("block"), F.explode(keys).alias("probe")).where("block IS NOT NULL AND probe <> ''")
-
-    # what an offer or a product is found by makes its class; offers without a url are found by nobody
-    sets = lambda df, key, *columns: df.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("by"))
-    offers, goods = checkpointed(sets(left.where("url IS NOT NULL"), "url", "block", "stage", "pos", "probe")), checkpointed(sets(right, "product_url", "block", "probe"))
-    ours = offers.select("by").distinct().select(F.col("by").alias("url"), F.explode("by").alias("p")).select("url", "p.*")
-    theirs = goods.groupBy("by").agg(F.count(F.lit(1)).alias("size")).select(F.col("by").alias("product_url"), "size", F.explode("by").alias("p"))
-    theirs = theirs.select("product_url", "size", "p.*")
+    sized = goods.groupBy("said").agg(F.sum(F.size("members").cast("long")).alias("size"))
+    answering = sized.select(F.col("said").alias("product_url"), "size", F.explode("said").alias("s")).select("product_url", "size", "s.*")
+    theirs = answering.select("product_url", "size", block(F.col("producer_name")).alias("block"), F.explode(keys).alias("probe")).where("block IS NOT NULL AND probe <> ''").distinct()
+
     by_name = ours.where("stage < 3").join(theirs, ["block", "probe"]).select("url", "product_url", "size", "stage", "pos")
     settled = by_name.select("url", "product_url", "size").distinct().groupBy("url").agg(F.sum("size").alias("n")).where(F.col("n") >= enough)
     by_token = ours.where("stage = 3").join(settled.select("url"), "url", "left_anti").join(theirs, ["block", "probe"]).select("url", "product_url", "size", "stage", "pos")
     needed = in_stages(by_name.unionByName(by_token), enough, "size")
-    one = classes.grouped(offers, "by").select(F.col("by").alias("url"), F.col("members").alias("l"))
-    two = classes.grouped(goods, "by").select(F.col("by").alias("product_url"), F.col("members").alias("r"))
+    one, two = offers.select(F.col("said").alias("url"), F.col("members").alias("l")), goods.select(F.col("said").alias("product_url"), F.col("members").alias("r"))
     met = needed.join(one, "url").join(two, "product_url").select("stage", "pos", "l", "r")
     return classes.written_out(met, "l", "r").select("l.url", "r.product_url", "stage", "pos")
 

@@ -60,6 +60,17 @@ def test_retrieved_pairs_are_written_out_last(spark):
     assert "Join" not in above_the_pairs(few) and "Aggregate" not in above_the_pairs(few)
 
 
+def test_probes_and_keys_are_made_once_a_class(spark, monkeypatch):
+    offers = spark.range(300).select((F.col("id") % 299).alias("url"), F.lit("Maker").alias("maker"), F.when(F.col("id") == 299, "Cold Bolt").otherwise("Hot Ring").alias("name"), F.lit(None).cast("string").alias("name_jp"))
+    names = F.when(F.col("id") < 9, "hot ring").otherwise("cold bolt")
+    goods = spark.range(2000).select(F.col("id").alias("product_url"), names.alias("product_name"), F.lit("Maker Brewing").alias("producer_name"))
+    kept, numbers = linkage.checkpointed, []
+    monkeypatch.setattr(linkage, "checkpointed", lambda df: numbers.append(df.count()) or kept(df))
+    found = linkage.retrieve(offers, goods)
+    assert numbers == [2, 2]  # of 299 offers, one of which has two names, and of 2,000 products
+    assert found.groupBy("stage").count().collect() == [(1, 299 * 9 + 1991)]
+
+
 def test_offline_links_meet_by_distinct_names(spark):
     rows = spark.range(3000).select(F.col("id").alias("url"), F.lit("Maker").alias("maker"), F.lit("Hot Ring").alias("name"))
     goods = rows.select(F.col("url").alias("product_url"), F.lower("name").alias("product_name"), F.lit("THE MAKER").alias("producer_name"))
